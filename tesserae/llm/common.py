@@ -10,7 +10,6 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -96,7 +95,8 @@ def numbered(df: DataFrame, group: list[str], order: list[str], name: str, rows:
     """Adds the gapless number of each row within its group, from 0.
 
     A group may hold most rows, so rows are numbered within hash buckets of
-    their group, and each bucket starts where those before it end. ``rows``,
+    their group, and each bucket starts where those before it end. Groups are
+    not null. ``rows``,
     the number of all rows, sets how many buckets there are. Ties in ``order``
     fall to any of the tied rows.
     """
@@ -107,5 +107,4 @@ def numbered(df: DataFrame, group: list[str], order: list[str], name: str, rows:
     starts = sizes.select(*group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     within = Window.partitionBy(*group, "_b").orderBy(*order)
     ranked = dealt.withColumn("_r", F.row_number().over(within) - 1)
-    same = reduce(lambda a, b: a & b, (ranked[c].eqNullSafe(starts[c]) for c in [*group, "_b"]))
-    return ranked.join(starts, same).select(*(ranked[c] for c in df.columns), (F.col("_start") + F.col("_r")).cast("long").alias(name))
+    return ranked.join(starts, [*group, "_b"]).select(*(ranked[c] for c in df.columns), (F.col("_start") + F.col("_r")).cast("long").alias(name))

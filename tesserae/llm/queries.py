@@ -5,19 +5,31 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import bpe
-from tesserae.llm.common import table
+from tesserae.llm import bpe, packing, store
+from tesserae.llm.common import folder, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, BYTE_RANKS)
+
+
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark, "store")
+    store.write(table(spark, sf_dir, "documents"), path, WORD_BPE)
+    return store.catalogue(spark, path)
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
 QUERIES = {
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op9_token_store": op9_token_store,
     "op10_bpe_codec": op10_bpe_codec,
 }
 ORACLES: dict[str, str] = {}
