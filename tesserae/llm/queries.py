@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, packing, sharding, store
+from tesserae.llm import bpe, packing, sharding, simhash, store
 from tesserae.llm.common import folder, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +23,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, BYTE_RANKS)
 
 
+def op7_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "store")
     store.write(table(spark, sf_dir, "documents"), path, WORD_BPE)
@@ -36,6 +41,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_minimax_shards": op3_minimax_shards,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op7_simhash_classes": op7_simhash_classes,
     "op9_token_store": op9_token_store,
     "op10_bpe_codec": op10_bpe_codec,
 }
