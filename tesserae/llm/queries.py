@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, packing, sharding, simhash, store
+from tesserae.llm import bpe, packing, pii, sharding, simhash, store
 from tesserae.llm.common import folder, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -28,6 +28,10 @@ def op7_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.counts(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "store")
     store.write(table(spark, sf_dir, "documents"), path, WORD_BPE)
@@ -42,6 +46,7 @@ QUERIES = {
     "op3_minimax_shards": op3_minimax_shards,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op7_simhash_classes": op7_simhash_classes,
+    "op8_personal_data": op8_personal_data,
     "op9_token_store": op9_token_store,
     "op10_bpe_codec": op10_bpe_codec,
 }
