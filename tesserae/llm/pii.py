@@ -57,6 +57,14 @@ def _valid(kind: str, m: Column) -> Column:
     return F.when(F.length(digits).between(14, 19), F.aggregate(each, F.lit(0), lambda a, x: a + x) % 10 == 0).otherwise(False)
 
 
+def _counts_as(kind: str):
+    return lambda span: _valid(kind, span["value"])
+
+
+def _is(kind: str):
+    return lambda span: span["kind"] == kind
+
+
 def located(text: Column, pattern: Column, kind: str) -> Column:
     """Spans of the pattern's matches, leftmost and without overlap: what lies between matches gives their places."""
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
@@ -81,7 +89,7 @@ def base_spans(text: Column) -> Column:
     found = []
     for kind, pattern in PATTERNS.items():
         may = text.contains(HINTS[kind]) if HINTS[kind] else text.rlike(pattern)
-        found.append(F.when(may, F.filter(located(text, F.lit(pattern), kind), lambda s, k=kind: _valid(k, s["value"]))).otherwise(none))
+        found.append(F.when(may, F.filter(located(text, F.lit(pattern), kind), _counts_as(kind))).otherwise(none))
     return F.array_sort(F.concat(*found))
 
 
@@ -180,5 +188,5 @@ def masked(text: Column, spans: Column) -> Column:
 
 def counts(found: DataFrame) -> DataFrame:
     """The digest of ``find``: counts by kind, the base spans' hash, all spans."""
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
+    count = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
     return found.select("doc_id", *count, F.sha2(described(F.col("base")), 256).alias("base_sha256"), described(F.col("spans")).alias("spans"))
