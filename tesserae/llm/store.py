@@ -30,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -38,37 +39,55 @@ from tesserae.llm.common import bucket, cuts, documents, parts
 
 #: Cut after at least, about and at most so many ids.
 LEAST, USUAL, MOST = 64, 256, 2048
-#: Distinct pre-tokens that a worker keeps with their ids.
-MEMO = 800_000
+#: Runs between white space that a worker keeps with their ids.
+MEMO = 1_000_000
 
 PROSE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
 UNUSUAL = re.compile(r"[^\t-\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]|<\|")
 
 
 class WordIds:
-    """The tokenizers library, asked once for each distinct pre-token of ordinary prose and directly for any other text."""
+    """The tokenizers library, asked once for each distinct word of ordinary prose and directly for any other text."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.memo: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.dtype = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # ids of tokens that end a word
+        self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}  # of what stands between white space
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+
+    def _learn(self, words: list[str]) -> None:
+        ids = self._ids("\n".join(words))
+        data, width = ids.tobytes(), self.dtype.itemsize
+        ends = [0, *((np.flatnonzero(self.ends[ids]) + 1) * width).tolist()]
+        for word, a, b in zip(words, ends[:-1], ends[1:], strict=True):
+            self.words[word] = data[a:b]
 
     def encode(self, text: str) -> bytes:
         if UNUSUAL.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        words, memo = PROSE.findall(text.lower()), self.memo
-        try:
-            return b"".join(map(memo.__getitem__, words))
-        except KeyError:
-            pass
-        if len(memo) > MEMO:
-            memo.clear()
-        new = list({w for w in words if w not in memo})
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            memo[word] = np.array(found.ids, self.dtype).tobytes()
-        return b"".join(map(memo.__getitem__, words))
+            return self._ids(text).tobytes()
+        runs = text.lower().split()
+        new = set(runs).difference(self.runs)
+        if new:
+            if len(self.runs) > MEMO:
+                self.runs.clear()
+                self.words.clear()
+                new = set(runs)
+            parts = {run: PROSE.findall(run) for run in new}
+            unknown = {w for words in parts.values() for w in words}.difference(self.words)
+            if unknown:
+                self._learn(list(unknown))
+            known = self.words.__getitem__
+            for run, words in parts.items():
+                self.runs[run] = known(words[0]) if len(words) == 1 else b"".join(map(known, words))
+        return b"".join(map(self.runs.__getitem__, runs))
 
 
 @lru_cache(maxsize=2)
@@ -116,8 +135,21 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+SCHEMA = pa.schema(
+    [("kind", pa.string()), ("doc_id", pa.int64()), ("segment", pa.int32()), ("ordinal", pa.int64()), ("before", pa.int64()), ("n_ids", pa.int64())]
+    + [(name, pa.binary()) for name in ("digests", "lengths", "digest", "payload")]
+    + [("width", pa.int32())]
+)
 COLUMNS = "kind string, doc_id long, segment int, ordinal long, before long, n_ids long, digests binary, lengths binary, digest binary, payload binary, width int"
-NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
+
+
+def _batch(n: int, **columns) -> pa.RecordBatch:
+    """A batch of n rows with these columns (lists, or one value for all rows); the others are null."""
+    arrays = []
+    for field in SCHEMA:
+        x = columns.get(field.name)
+        arrays.append(pa.nulls(n, field.type) if x is None else pa.array(x if isinstance(x, list) else [x] * n, field.type))
+    return pa.RecordBatch.from_arrays(arrays, schema=SCHEMA)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
@@ -131,70 +163,87 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
     n = parts(docs.sparkSession)
     at = cuts(rows, "doc_id", n)
 
-    def chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, sent = word_ids(tokenizer), set()
-        end = np.array([end_id], coder.dtype).tobytes()
-        width = coder.dtype.itemsize
-        for batch in batches:
-            out: list[tuple] = []
-            for doc_id, text, segment in zip(batch["doc_id"], batch["text"], batch["segment"], strict=True):
-                data = coder.encode(text) + end
-                ends = cut_points(np.frombuffer(data, coder.dtype))
-                digests = []
-                for a, b in zip([0, *ends], ends, strict=False):
-                    payload = data[a * width : b * width]
-                    digest = hashlib.sha256(payload).digest()
-                    digests.append(digest)
-                    if digest not in sent:
-                        if len(sent) > 200_000:
-                            sent.clear()
-                        sent.add(digest)
-                        out.append(("chunk", None, int.from_bytes(digest[:3], "big"), None, None, None, None, None, digest, payload, width))
-                lengths = np.diff([0, *ends]).astype("<u4").tobytes()
-                out.append(("recipe", doc_id, segment, None, None, len(data) // width, b"".join(digests), lengths, None, None, width))
-                if len(out) > 4000:
-                    yield pd.DataFrame(out, columns=NAMES).astype(TYPES)
-                    out = []
-            yield pd.DataFrame(out, columns=NAMES).astype(TYPES)
-
-    def sealed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        end, dtype, width = np.array([end_id], coder.dtype).tobytes(), coder.dtype, coder.dtype.itemsize
+        sha256, add = hashlib.sha256, sent.add
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                payloads, names, n_ids, digests, lengths = [], [], [], [], []
+                for text in batch.column("text").to_pylist():
+                    data = coder.encode(text) + end
+                    ends = cut_points(np.frombuffer(data, dtype))
+                    own, a = [], 0
+                    for b in ends:
+                        payload = data[a * width : b * width]
+                        digest = sha256(payload).digest()
+                        own.append(digest)
+                        if digest not in sent:
+                            if len(sent) > 200_000:
+                                sent.clear()
+                            add(digest)
+                            names.append(digest)
+                            payloads.append(payload)
+                        a = b
+                    n_ids.append(len(data) // width)
+                    digests.append(b"".join(own))
+                    lengths.append(np.diff(ends, prepend=0).astype("<u4").tobytes())
+                places = [int.from_bytes(x[:3], "big") for x in names]
+                yield _batch(len(names), kind="chunk", segment=places, digest=names, payload=payloads, width=width)
+                ids, segments = batch.column("doc_id").to_pylist(), batch.column("segment").to_pylist()
+                yield _batch(len(ids), kind="recipe", doc_id=ids, segment=segments, n_ids=n_ids, digests=digests, lengths=lengths, width=width)
+
+    def sealed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, segment, ordinal, before, roots = None, None, 0, 0, []
 
-        def seal() -> pd.DataFrame:
-            row = ("segment", None, segment, ordinal, None, before, merkle(roots), None, None, None, None)
-            return pd.DataFrame([row], columns=NAMES).astype(TYPES)
-
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                if row.kind == "chunk":
-                    if row.digest != last:
-                        out.append(tuple(row))
-                    last = row.digest
-                    continue
-                if row.segment != segment:
+        def seal() -> pa.RecordBatch:
+            return _batch(1, kind="segment", segment=segment, ordinal=ordinal, n_ids=before, digests=[merkle(roots)])
+
+        for batch in batches:  # sorted: first chunks by digest, then recipes by segment and doc_id
+            n = sum(x == "chunk" for x in batch.column("kind").to_pylist())
+            if n:
+                names = batch.column("digest").slice(0, n).to_pylist()
+                new = [a != b for a, b in zip(names, [last, *names], strict=False)]
+                last = names[-1]
+                yield batch.slice(0, n).filter(pa.array(new))
+            if n == batch.num_rows:
+                continue
+            rows = batch.slice(n)
+            ordinals, befores = [], []
+            done = 0
+            for at, digests, n_ids in zip(*(rows.column(c).to_pylist() for c in ("segment", "digests", "n_ids")), strict=True):
+                if at != segment:
                     if segment is not None:
+                        yield _numbered(rows.slice(done, len(ordinals)), ordinals, befores)
                         yield seal()
-                    segment, ordinal, before, roots = row.segment, 0, 0, []
-                out.append((*row[:3], ordinal, before, *row[5:]))
-                roots.append(merkle([row.digests[i : i + 32] for i in range(0, len(row.digests), 32)]))
-                ordinal, before = ordinal + 1, before + int(row.n_ids)
-            yield pd.DataFrame(out, columns=NAMES).astype(TYPES)
+                        done, ordinals, befores = done + len(ordinals), [], []
+                    segment, ordinal, before, roots = at, 0, 0, []
+                ordinals.append(ordinal)
+                befores.append(before)
+                roots.append(merkle([digests[i : i + 32] for i in range(0, len(digests), 32)]))
+                ordinal, before = ordinal + 1, before + n_ids
+            yield _numbered(rows.slice(done, len(ordinals)), ordinals, befores)
         if segment is not None:
             yield seal()
 
     (
         rows.withColumn("segment", bucket("doc_id", at))
-        .mapInPandas(chunked, COLUMNS)
+        .mapInArrow(chunked, COLUMNS)
         .repartitionById(n, F.col("segment"))
         .sortWithinPartitions("kind", "digest", "segment", "doc_id", "digests")
-        .mapInPandas(sealed, COLUMNS)
+        .mapInArrow(sealed, COLUMNS)
         .write.partitionBy("kind")
         .parquet(path)
     )
 
 
-TYPES = {c.split()[0]: "Int64" for c in COLUMNS.split(", ") if c.split()[1] in ("long", "int")}
+def _numbered(rows: pa.RecordBatch, ordinals: list[int], befores: list[int]) -> pa.RecordBatch:
+    arrays = list(rows.columns)
+    arrays[SCHEMA.get_field_index("ordinal")] = pa.array(ordinals, pa.int64())
+    arrays[SCHEMA.get_field_index("before")] = pa.array(befores, pa.int64())
+    return pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, SCHEMA, strict=True)], schema=SCHEMA)
+
 
 #: CRC-32's polynomial, bit-reversed.
 POLYNOMIAL = np.uint64(0xEDB88320)
