@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, packing, pii, sharding, simhash, store, toxicity
+from tesserae.llm import bpe, digest, packing, pii, sharding, simhash, store, toxicity
 from tesserae.llm.common import folder, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -14,6 +14,11 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op2_improbable_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return digest.compare(docs, digest.fit(docs))
+
+
 def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shard(table(spark, sf_dir, "documents"), 24)
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -50,6 +55,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_improbable_digest": op2_improbable_digest,
     "op3_minimax_shards": op3_minimax_shards,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_toxicity": op6_toxicity,
