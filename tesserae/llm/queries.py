@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, digest, packing, pii, sharding, simhash, store, toxicity
+from tesserae.llm import bpe, digest, packing, pii, sharding, simhash, store, toxicity, vafile
 from tesserae.llm.common import folder, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -28,6 +28,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, BYTE_RANKS)
 
 
+def op5_va_file_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, 10)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
@@ -58,6 +62,7 @@ QUERIES = {
     "op2_improbable_digest": op2_improbable_digest,
     "op3_minimax_shards": op3_minimax_shards,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_va_file_topk": op5_va_file_topk,
     "op6_toxicity": op6_toxicity,
     "op7_simhash_classes": op7_simhash_classes,
     "op8_personal_data": op8_personal_data,
