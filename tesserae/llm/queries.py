@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, digest, packing, pii, sharding, simhash, store, toxicity, vafile
+from tesserae.llm import bpe, digest, packing, pii, sharding, simhash, store, toolcalls, toxicity, vafile
 from tesserae.llm.common import folder, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -14,6 +14,60 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+#: What the turns of a conversation are asked as: a question by the number of its words.
+TOOLS = {
+    "answer": {"properties": {"query": {"type": "string", "required": True, "maxLength": 400}, "words": {"type": "integer", "required": True, "minimum": 3}}, "additionalProperties": False},
+    "summarise": {"properties": {"query": {"type": "string", "required": True}, "words": {"type": "integer", "required": True, "maximum": 120}}, "additionalProperties": False},
+}
+
+
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's turn is a call (conversation:turn) that waits for the user's turn before; the assistant's next turn is its result."""
+    turns = table(spark, sf_dir, "conversations")
+    named = lambda back: F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("?")), F.coalesce((F.col("turn") - back).cast("string"), F.lit("?")))
+    words = F.when(F.trim("text") == "", 0).otherwise(F.size(F.split(F.col("text"), " ")))
+    asked = turns.where("role = 'user'").select(
+        named(0).alias("call_id"),
+        named(2).alias("before"),
+        F.when(F.col("turn") < 2, F.lit("answer")).otherwise(F.lit("summarise")).alias("name"),
+        F.to_json(F.struct(words.alias("words"), F.col("text").alias("query"))).alias("arguments"),
+    )
+    known = asked.select(F.col("call_id").alias("before"), F.col("call_id").alias("parent_id")).distinct()
+    calls = asked.join(known, "before", "left").select("call_id", "parent_id", "name", "arguments")
+    results = turns.where("role = 'assistant'").select(named(1).alias("call_id"), F.col("text").alias("content"))
+    return toolcalls.link(calls, results, TOOLS).select("*", F.sha2("message", 256).alias("message_sha256")).drop("message")
+
+
+OP1_SQL = """
+with recursive turns as (select coalesce(conv_id::varchar, '?') || ':' as c, * from conversations),
+asked as (
+  select c || coalesce(turn::varchar, '?') as call_id, c || coalesce((turn - 2)::varchar, '?') as before,
+         case when turn < 2 then 'answer' else 'summarise' end as name,
+         case when trim(text) = '' then 0 else len(string_split(text, ' ')) end as words, text as query
+  from turns where role = 'user'),
+calls as (
+  select call_id, name, count(*) as n_calls, min(words) as words, min(query) as query,
+         max(case when before in (select call_id from asked) then before end) as parent_id
+  from asked group by call_id, name),
+chain as (
+  select call_id, 0::bigint as level from calls where parent_id is null
+  union all select calls.call_id, level + 1 from calls join chain on calls.parent_id = chain.call_id),
+results as (
+  select c || coalesce((turn - 1)::varchar, '?') as call_id, min(text) as content, count(*) as n_results
+  from turns where role = 'assistant' group by 1),
+linked as (
+  select coalesce(calls.call_id, results.call_id) as call_id, name, level, coalesce(n_calls, 0) as n_calls, coalesce(n_results, 0) as n_results, query, words, content,
+         coalesce(case when name = 'answer' then concat_ws('; ', case when length(query) > 400 then 'query: over 400 characters' end, case when words < 3 then 'words: under 3' end)
+              when name = 'summarise' then case when words > 120 then 'words: over 120' end end, '') as errors
+  from calls join chain using (call_id) full join results on calls.call_id = results.call_id)
+select call_id, name, level, '' as waits, n_calls, n_results, errors,
+       case when n_calls = 0 then 'result without call' when errors <> '' then 'invalid' when n_results = 0 then 'call without result' else 'linked' end as status,
+       sha256('{"arguments":' || case when n_calls = 0 then 'null' else '{"query":' || to_json(query)::varchar || ',"words":' || words || '}' end
+              || ',"id":' || to_json(call_id)::varchar || ',"name":' || coalesce(to_json(name)::varchar, 'null') || ',"result":' || coalesce(to_json(content)::varchar, 'null') || '}') as message_sha256
+from linked
+"""
+
+
 def op2_improbable_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return digest.compare(docs, digest.fit(docs))
@@ -59,6 +113,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_tool_calls": op1_tool_calls,
     "op2_improbable_digest": op2_improbable_digest,
     "op3_minimax_shards": op3_minimax_shards,
     "op4_best_fit_packing": op4_best_fit_packing,
@@ -69,4 +124,4 @@ QUERIES = {
     "op9_token_store": op9_token_store,
     "op10_bpe_codec": op10_bpe_codec,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_tool_calls": OP1_SQL}
