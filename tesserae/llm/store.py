@@ -38,7 +38,7 @@ from tokenizers import Tokenizer
 from tesserae.llm.common import bucket, cuts, documents, parts
 
 #: Cut after at least, about and at most so many ids.
-LEAST, USUAL, MOST = 64, 256, 2048
+LEAST, USUAL, MOST = 128, 512, 4096
 #: Runs between white space that a worker keeps with their ids.
 MEMO = 1_000_000
 
@@ -46,6 +46,17 @@ PROSE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
 UNUSUAL = re.compile(r"[^\t-\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]|<\|")
 
 
+#: ASCII without the controls that are white space to one library only.
+ORDINARY = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F)])
+
+
+def unusual(text: str) -> bool:
+    """Whether a text must go to the library as it is: rare letters, controls, or what may be a special token."""
+    if text.isascii():
+        return "<|" in text or bool(text.encode("ascii").translate(None, ORDINARY))
+    return UNUSUAL.search(text) is not None
+
+
 class WordIds:
     """The tokenizers library, asked once for each distinct word of ordinary prose and directly for any other text."""
 
@@ -71,7 +82,7 @@ class WordIds:
             self.words[word] = data[a:b]
 
     def encode(self, text: str) -> bytes:
-        if UNUSUAL.search(text):
+        if unusual(text):
             return self._ids(text).tobytes()
         runs = text.lower().split()
         new = set(runs).difference(self.runs)
