@@ -234,3 +234,21 @@ def classes(docs: DataFrame, width: int = 3, distance: int = 2, seed: int = 42)
 
 def hexadecimal(fp: str) -> Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, distance: int = 2, seed: int = 42) -> DataFrame:
+    """The rows of ``docs`` (all columns) that stand for their class: of each class, one row of the least doc_id.
+
+    Rows without a doc_id stay: they have no name to be a copy by. Of rows that
+    share a doc_id the one with the least text stays.
+    """
+    found = classes(docs, width, distance, seed)
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    names = docs.columns
+    rows = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    lost = rows.where(F.col("_id").isNull()).select(*names)
+    some = rows.join(kept.withColumnRenamed("doc_id", "_id"), "_id", "left_semi")
+    repeated = some.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id")
+    once = some.join(repeated, "_id", "left_anti").select(*names)
+    first = some.join(repeated, "_id", "left_semi").groupBy("_id").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in names)), F.coalesce("text", F.lit(""))).alias("row"))
+    return once.unionByName(first.select(*(F.col(f"row.`{c}`").alias(c) for c in names))).unionByName(lost)
