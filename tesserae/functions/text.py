@@ -101,8 +101,12 @@ def utf16_units(text: Column) -> Column:
 
 def shingles(words: Column, width: int) -> Column:
     """Runs of ``width`` neighbouring elements, joined by blanks; none if there are too few."""
-    n = F.size(words) - width + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(words, i, width), " "))).otherwise(F.array().cast("array<string>"))
+    # ``words`` is only named outside of lambdas: inside, it would be made anew for each place
+    n = F.greatest(F.size(words) - width + 1, F.lit(0))
+    out = F.slice(words, 1, n)
+    for k in range(2, width + 1):
+        out = F.zip_with(out, F.slice(words, k, n), lambda a, b: F.concat(a, F.lit(" "), b))
+    return out
 
 
 def in_vocabulary(found: Column, vocabulary: tuple[str, ...]) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("catalog", "records")
+MODULES = ("catalog", "records", "measures")
 
 
 def _merged(attribute: str) -> dict:
