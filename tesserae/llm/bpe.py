@@ -18,15 +18,14 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from tesserae.llm.common import documents
 
@@ -54,6 +53,7 @@ class WordBpe:
             spec = json.load(f)
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
+        self.end = END if self.suffix else ""
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         vocab: dict[str, int] = model["vocab"]
         names = {i: s for s, i in vocab.items()} | {i: s for s, i in self.special.items()}
@@ -83,7 +83,7 @@ class WordBpe:
         self.memo: dict[str, tuple[int, ...]] = {}
         self.prose = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
         self.unusual = re.compile(r"[^\t-\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]|<\|")
-        self.words_any = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.reader = Tokenizer.from_file(path)
         self.marks = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
 
     def _spelling(self, token: str) -> str:
@@ -125,7 +125,7 @@ class WordBpe:
             self.memo.clear()
         if len(self.fits) >= 4 * MEMO:
             self.fits.clear()
-        known = self.memo[word] = self._walk("".join(map(self.letters.__getitem__, word.encode())) + (END if self.suffix else ""))
+        known = self.memo[word] = self._walk("".join(map(self.letters.__getitem__, word.encode())) + self.end)
         return known
 
     def _longest(self, s: str) -> list[int]:
@@ -161,14 +161,14 @@ class WordBpe:
                 raise ValueError("no encoding: the vocabulary lacks a byte")
         return tuple(out)
 
-    def words(self, text: str) -> list[str]:
-        """Normalised pre-tokens of a text without special tokens."""
-        if not self.unusual.search(text):
-            return self.prose.findall(text.lower())
-        text = unicodedata.normalize("NFC", text)
-        # letter by letter: the context rule for a final sigma is not the tokenizer's
-        text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
-        return self.words_any.findall(text)
+    def spelt_words(self, text: str) -> list[str]:
+        """Pre-tokens of a text with rare letters, in byte letters.
+
+        Which code points are letters, and how they are lowered, depends on the
+        Unicode version of the tokenizer's own library, so that library reads them.
+        """
+        normal = self.reader.normalizer.normalize_str(text)
+        return [word for word, _ in self.reader.pre_tokenizer.pre_tokenize_str(normal)]
 
     def segments(self, text: str) -> Iterator[str | int]:
         """Runs of words, and the ids of special tokens between them."""
@@ -187,8 +187,12 @@ class WordBpe:
             if isinstance(piece, int):
                 out.append(piece)
                 continue
-            for word in self.words(piece):
-                add(known(word) or self.encode_word(word))
+            if self.unusual.search(piece):
+                for word in self.spelt_words(piece):
+                    add(self._walk(word + self.end))
+            else:
+                for word in self.prose.findall(piece.lower()):
+                    add(known(word) or self.encode_word(word))
         return out
 
     def decode(self, ids) -> bytes:
