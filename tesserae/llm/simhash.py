@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import documents, settle
 from tesserae.llm.components import least_labels
+from tesserae.llm.resemblance import pairs
 
 BITS = 64
 #: Members of a bucket that are paired directly.
@@ -236,19 +237,24 @@ def hexadecimal(fp: str) -> Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, width: int = 5, distance: int = 2, seed: int = 42) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = 5, distance: int = 2, threshold: float = 0.8, seed: int = 42) -> DataFrame:
     """The rows of ``docs`` (all columns) that stand for their class: of each class, one row of the least doc_id.
 
-    Rows without a doc_id stay: they have no name to be a copy by. Of rows that
-    share a doc_id the one with the least text stays.
+    Classes are joined by fingerprints within the distance, and those of their
+    representatives whose shingle sets resemble each other by the threshold are
+    joined further. Rows without a doc_id stay: they have no name to be a copy
+    by. Of rows that share a doc_id the one with the least text stays.
     """
     found = classes(docs, width, distance, seed)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = settle(found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct(), "kept")
     names = docs.columns
     rows = docs.withColumn("_id", F.col("doc_id").cast("long"))
     lost = rows.where(F.col("_id").isNull()).select(*names)
-    some = rows.join(kept.withColumnRenamed("doc_id", "_id"), "_id", "left_semi")
+    some = rows.join(kept, "_id", "left_semi")
     repeated = some.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id")
-    once = some.join(repeated, "_id", "left_anti").select(*names)
-    first = some.join(repeated, "_id", "left_semi").groupBy("_id").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in names)), F.coalesce("text", F.lit(""))).alias("row"))
-    return once.unionByName(first.select(*(F.col(f"row.`{c}`").alias(c) for c in names))).unionByName(lost)
+    once = some.join(repeated, "_id", "left_anti")
+    first = some.join(repeated, "_id", "left_semi").groupBy("_id").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in [*names, "_id"])), F.coalesce("text", F.lit(""))).alias("row"))
+    single = once.select(*names, "_id").unionByName(first.select(*(F.col(f"row.`{c}`").alias(c) for c in [*names, "_id"])))
+    near = pairs(single.select("doc_id", "text"), width, threshold).select("a", "b")
+    copies = least_labels(settle(near, "near")).where("node <> root").select(F.col("node").alias("_id"))
+    return single.join(copies, "_id", "left_anti").select(*names).unionByName(lost)
