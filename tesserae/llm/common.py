@@ -69,8 +69,15 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{source}`").alias(name) for name, source in columns.items()))
 
 
+#: Rows that travel to Python at once, unless the session asks for other than Spark's default: texts are long.
+ROWS = 1000
+
+
 def documents(df: DataFrame, *more: str) -> DataFrame:
     """doc_id (long) and text (null: empty), with ``more`` columns kept."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(ROWS))
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 

@@ -46,7 +46,7 @@ LANDMARKS = 128
 DECAY = 0.7
 #: Letters in a string that is scored as one; longer runs are scored in overlapping windows.
 LONGEST = 24
-MEMO = 600_000
+MEMO = 300_000
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßéèêçñíóáúàâîôû"
 #: Signs that stand in for letters.
@@ -129,7 +129,7 @@ def alike(x: np.ndarray) -> Iterator[np.ndarray]:
     """Indices of rows with as many letters (three or more, after the start), few enough at a time for their triples to fit in memory."""
     counts = (x != GAP).sum(axis=1)
     for n in np.unique(counts[counts >= 4]).tolist():
-        rows, room = np.flatnonzero(counts == n), max(1, 6_000_000 // (n * (n - 1) * (n - 2)))
+        rows, room = np.flatnonzero(counts == n), max(1, 2_000_000 // (n * (n - 1) * (n - 2)))
         for at in range(0, len(rows), room):
             yield rows[at : at + room]
 
@@ -165,8 +165,8 @@ class Model:
         cut = [windows(w) for w in words]
         flat = [v for vs in cut for v in vs]
         values = np.full(len(flat), self.bias)
-        for at in range(0, len(flat), 50_000):
-            x = coded(flat[at : at + 50_000])
+        for at in range(0, len(flat), 20_000):
+            x = coded(flat[at : at + 20_000])
             for rows in alike(x):
                 part = trimmed(x[rows])
                 code, weight = triples(part)
@@ -335,8 +335,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[str, float] = {}
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
+            for at in range(0, len(batch), 200):
+                part = batch.iloc[at : at + 200]
                 if model.weights is None:
                     found = np.zeros(len(part))
                 else:
@@ -365,8 +365,8 @@ def keep_civil(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
 
         memo: dict[str, float] = {}
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                part = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, 200):
+                part = whole.slice(at, 200)
                 texts = [t or "" for t in part.column(names.index("text")).to_pylist()]
                 if model.weights is None:
                     yield part
