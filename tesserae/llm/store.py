@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -117,25 +118,35 @@ def _mixed(ids: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream; the last is its length."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Ends of the runs of 32 ids whose hash marks a cut.
+
+    Streams may lie behind one another: what the hash sees of the stream before is
+    only within the first ``LEAST`` ids, where nothing is cut.
+    """
     h = _mixed(ids)
     for k in (1, 2, 4, 8, 16):  # h[i] becomes the sum of the last 2k mixed ids, each shifted by its age
         h[k:] += h[:-k] << np.uint64(k)
-    marks = np.flatnonzero(h >> np.uint64(32) & np.uint64(USUAL - 1) == 0) + 1
-    ends, start = [], 0
-    for m in [*marks.tolist(), n]:
+    return np.flatnonzero(h >> np.uint64(32) & np.uint64(USUAL - 1) == 0) + 1
+
+
+def _ends(found: list[int], start: int, stop: int) -> list[int]:
+    """Ends of the chunks of the stream from start to stop, from the marks within it."""
+    out = []
+    for m in (*found, stop):
         while m - start > MOST:
             start += MOST
-            ends.append(start)
-        if m - start >= LEAST or m == n:
+            out.append(start)
+        if m - start >= LEAST or m == stop:
             if m > start:
-                ends.append(m)
+                out.append(m)
             start = m
-    return ends
+    return out
+
+
+def cut_points(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of an id stream; the last is its length."""
+    return _ends(marks(ids).tolist(), 0, len(ids))
 
 
 def merkle(leaves: list[bytes]) -> bytes:
@@ -182,14 +193,19 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 payloads, names, n_ids, digests, lengths = [], [], [], [], []
-                for text in batch.column("text").to_pylist():
-                    data = coder.encode(text) + end
-                    ends = cut_points(np.frombuffer(data, dtype))
-                    own, a = [], 0
-                    for b in ends:
+                streams = [coder.encode(text) + end for text in batch.column("text").to_pylist()]
+                data = b"".join(streams)
+                cuts_at = marks(np.frombuffer(data, dtype))
+                stops = np.cumsum([len(s) // width for s in streams])
+                owned = np.split(cuts_at, np.searchsorted(cuts_at, stops[:-1], "right"))
+                start = 0
+                for stop, found in zip(stops.tolist(), owned, strict=True):
+                    own, sizes, a = [], array("I"), start
+                    for b in _ends(found.tolist(), start, stop):
                         payload = data[a * width : b * width]
                         digest = sha256(payload).digest()
                         own.append(digest)
+                        sizes.append(b - a)
                         if digest not in sent:
                             if len(sent) > 200_000:
                                 sent.clear()
@@ -197,9 +213,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
                             names.append(digest)
                             payloads.append(payload)
                         a = b
-                    n_ids.append(len(data) // width)
+                    n_ids.append(stop - start)
                     digests.append(b"".join(own))
-                    lengths.append(np.diff(ends, prepend=0).astype("<u4").tobytes())
+                    lengths.append(sizes.tobytes())
+                    start = stop
                 places = [int.from_bytes(x[:3], "big") for x in names]
                 yield _batch(len(names), kind="chunk", segment=places, digest=names, payload=payloads, width=width)
                 ids, segments = batch.column("doc_id").to_pylist(), batch.column("segment").to_pylist()
