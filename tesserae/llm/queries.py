@@ -86,6 +86,14 @@ def op5_va_file_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, 10)
 
 
+OP5_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as x from embeddings where len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding) and len(embedding) > 0),
+scored as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.x, c.x)::bigint as score from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.x) = len(c.x)),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 10
+"""
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
@@ -124,4 +132,4 @@ QUERIES = {
     "op9_token_store": op9_token_store,
     "op10_bpe_codec": op10_bpe_codec,
 }
-ORACLES = {"op1_tool_calls": OP1_SQL}
+ORACLES = {"op1_tool_calls": OP1_SQL, "op5_va_file_topk": OP5_SQL}

@@ -30,6 +30,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -46,7 +47,7 @@ LANDMARKS = 128
 DECAY = 0.7
 #: Letters in a string that is scored as one; longer runs are scored in overlapping windows.
 LONGEST = 24
-MEMO = 300_000
+MEMO = 400_000
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßéèêçñíóáúàâîôû"
 #: Signs that stand in for letters.
@@ -126,24 +127,38 @@ POWERS = DECAY ** np.arange(4 * LONGEST, dtype=float)
 
 
 def alike(x: np.ndarray) -> Iterator[np.ndarray]:
-    """Indices of rows with as many letters (three or more, after the start), few enough at a time for their triples to fit in memory."""
-    counts = (x != GAP).sum(axis=1)
+    """Indices of rows with as many letters (three or more, after the start) and alike in having gaps, few enough at a time for their triples to fit in memory."""
+    letters = x != GAP
+    counts = letters.sum(axis=1)
+    whole = np.arange(x.shape[1]) < counts[:, None]
+    gaps = (letters != whole).any(axis=1)
     for n in np.unique(counts[counts >= 4]).tolist():
-        rows, room = np.flatnonzero(counts == n), max(1, 2_000_000 // (n * (n - 1) * (n - 2)))
-        for at in range(0, len(rows), room):
-            yield rows[at : at + room]
+        room = max(1, 3_000_000 // (n * (n - 1) * (n - 2)))
+        for rows in (np.flatnonzero((counts == n) & ~gaps), np.flatnonzero((counts == n) & gaps)):
+            for at in range(0, len(rows), room):
+                yield rows[at : at + room]
+
+
+@lru_cache(maxsize=64)
+def _choices(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All i < j < k below n."""
+    i, j, k = (a.ravel() for a in np.meshgrid(*[np.arange(n)] * 3, indexing="ij"))
+    keep = (i < j) & (j < k)
+    return i[keep], j[keep], k[keep]
 
 
 def triples(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and weights of the letter triples of rows that have as many letters."""
+    """Codes and weights of the letter triples of rows that have as many letters; one row of weights if no row has gaps."""
     letters = x != GAP
     n = int(letters[0].sum())
-    place = np.nonzero(letters)[1].reshape(-1, n)
-    code = np.take_along_axis(x, place, axis=1).astype(np.int32)
-    i, j, k = (a.ravel() for a in np.meshgrid(*[np.arange(n)] * 3, indexing="ij"))
-    keep = (i < j) & (j < k)
-    i, j, k = i[keep], j[keep], k[keep]
-    return (code[:, i] * SYMBOLS + code[:, j]) * SYMBOLS + code[:, k], POWERS[place[:, k] - place[:, i] + 1]
+    i, j, k = _choices(n)
+    whole = letters[:, :n].all()
+    place = None if whole else np.nonzero(letters)[1].reshape(-1, n)
+    code = (x[:, :n] if whole else np.take_along_axis(x, place, axis=1)).astype(np.int32)
+    codes = (code * SYMBOLS * SYMBOLS)[:, i]
+    codes += (code * SYMBOLS)[:, j]
+    codes += code[:, k]
+    return codes, POWERS[k - i + 1][None] if whole else POWERS[place[:, k] - place[:, i] + 1]
 
 
 def trimmed(x: np.ndarray) -> np.ndarray:
@@ -170,7 +185,9 @@ class Model:
             for rows in alike(x):
                 part = trimmed(x[rows])
                 code, weight = triples(part)
-                values[at + rows] += (self.weights[code] * weight).sum(axis=1) / np.sqrt(kernel(part, part))
+                found = self.weights[code]
+                found = found @ weight[0] if len(weight) == 1 else (found * weight).sum(axis=1)
+                values[at + rows] += found / np.sqrt(kernel(part, part))
         starts = np.cumsum([0] + [len(vs) for vs in cut[:-1]])
         return np.maximum.reduceat(values, starts) if len(flat) else values
 
@@ -268,7 +285,7 @@ def _svm(positive: dict[str, int], negative: dict[str, int]) -> tuple[np.ndarray
     table = np.zeros(SYMBOLS**3)
     for a, i in zip(alpha, chosen, strict=True):
         code, part = triples(x[i : i + 1])
-        np.add.at(table, code[0], a * part[0] / own[i])
+        np.add.at(table, code[0], a * part[0] / own[i])  # one row of each
     return table, float(w[-1])
 
 
@@ -335,8 +352,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[str, float] = {}
         for batch in batches:
-            for at in range(0, len(batch), 200):
-                part = batch.iloc[at : at + 200]
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at : at + 500]
                 if model.weights is None:
                     found = np.zeros(len(part))
                 else:
@@ -365,8 +382,8 @@ def keep_civil(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
 
         memo: dict[str, float] = {}
         for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                part = whole.slice(at, 200)
+            for at in range(0, whole.num_rows, 500):
+                part = whole.slice(at, 500)
                 texts = [t or "" for t in part.column(names.index("text")).to_pylist()]
                 if model.weights is None:
                     yield part
