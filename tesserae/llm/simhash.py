@@ -243,18 +243,16 @@ def one_of_each(docs: DataFrame, width: int = 5, distance: int = 2, threshold: f
     Classes are joined by fingerprints within the distance, and those of their
     representatives whose shingle sets resemble each other by the threshold are
     joined further. Rows without a doc_id stay: they have no name to be a copy
-    by. Of rows that share a doc_id the one with the least text stays.
+    by. Of rows that share a doc_id the one with the least text stays; they are
+    classed by their fingerprints only. Texts move once, when all is decided.
     """
     found = classes(docs, width, distance, seed)
-    kept = settle(found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct(), "kept")
+    kept = settle(found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")), "kept")
+    near = pairs(docs, width, threshold, kept.where("_n = 1").select("_id")).select("a", "b")
+    copies = least_labels(settle(near, "near")).where("node <> root").select(F.col("node").alias("_id"))
+    chosen = settle(kept.join(copies, "_id", "left_anti"), "chosen")
     names = docs.columns
     rows = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    lost = rows.where(F.col("_id").isNull()).select(*names)
-    some = rows.join(kept, "_id", "left_semi")
-    repeated = some.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id")
-    once = some.join(repeated, "_id", "left_anti")
-    first = some.join(repeated, "_id", "left_semi").groupBy("_id").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in [*names, "_id"])), F.coalesce("text", F.lit(""))).alias("row"))
-    single = once.select(*names, "_id").unionByName(first.select(*(F.col(f"row.`{c}`").alias(c) for c in [*names, "_id"])))
-    near = pairs(single.select("doc_id", "text"), width, threshold).select("a", "b")
-    copies = least_labels(settle(near, "near")).where("node <> root").select(F.col("node").alias("_id"))
-    return single.join(copies, "_id", "left_anti").select(*names).unionByName(lost)
+    some = rows.join(chosen.hint("merge"), "_id")  # ids grow with the corpus: they are never broadcast
+    first = some.where("_n > 1").groupBy("_id").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in names)), F.coalesce("text", F.lit(""))).alias("row"))
+    return some.where("_n = 1").select(*names).unionByName(first.select(*(F.col(f"row.`{c}`").alias(c) for c in names))).unionByName(rows.where(F.col("_id").isNull()).select(*names))
