@@ -92,14 +92,15 @@ def bm25(tfs: list[Column], ns: list[Column], length: Column, rows: Column, mean
 def scored(items: DataFrame, tokens: str, words: list[list[str]]) -> DataFrame:
     """Rows that have every phrase, with their score; corpus figures are of all rows of ``items``."""
     tfs = [f"_tf{i}" for i in range(len(words))]
-    counted = items.withColumn("_length", F.size(tokens).cast("long"))
+    # an array of one, exploded: else every expression below would tokenise the text again
+    counted = items.withColumn("_tokens", F.explode(F.array(tokens))).withColumn("_length", F.size("_tokens").cast("long"))
     for name, phrase in zip(tfs, words, strict=True):
         # a word that the index splits into nothing matches nothing
-        counted = counted.withColumn(name, occurrences(F.col(tokens), phrase) if phrase else F.lit(0).cast("long"))
+        counted = counted.withColumn(name, occurrences(F.col("_tokens"), phrase) if phrase else F.lit(0).cast("long"))
     figures = counted.agg(F.count(F.lit(1)).alias("_rows"), F.avg("_length").alias("_mean"), *(F.count_if(F.col(t) > 0).alias(f"{t}n") for t in tfs))
     hits = counted.where(reduce(lambda a, b: a & b, (F.col(t) > 0 for t in tfs))).crossJoin(F.broadcast(figures))  # one row
     score = bm25([F.col(t) for t in tfs], [F.col(f"{t}n") for t in tfs], F.col("_length"), F.col("_rows"), F.col("_mean"))
-    return hits.withColumn("score", score).drop("_length", "_rows", "_mean", *tfs, *(f"{t}n" for t in tfs))
+    return hits.withColumn("score", score).drop("_tokens", "_length", "_rows", "_mean", *tfs, *(f"{t}n" for t in tfs))
 
 
 def filtered(items: DataFrame, equal: Mapping[str, str] | None = None, holding: Mapping[str, str] | None = None, any_of: Mapping[str, Iterable[str]] | None = None) -> DataFrame:
