@@ -3,8 +3,10 @@
 A resemblance of 0.8 lets SimHash fingerprints differ in a dozen bits and more,
 where every partition of 64 bits is matched by a share of all pairs. So pairs
 are sought by sketches: shingle hashes fall into bins, a bin keeps its least
-hash, and runs of bins are keys. Candidates are compared by whole sketches and
-the ones left by their whole shingle sets, so what is returned is exact.
+hash, and runs of bins are keys. Candidates are compared by their whole shingle
+sets, so what is returned is exact; before that only those go whose numbers of
+shingles alone rule the threshold out, which loses none. (How far sketches agree
+is no such bound: in a short text one shingle owns many bins.)
 
 A key that many texts share (a passage, a large group of near copies) is not
 paired: its members are held against the least of them, and meet again under
@@ -26,8 +28,6 @@ from tesserae.llm.common import documents, settle
 BINS, RUN = 192, 8
 #: Texts of a key that are paired directly.
 ROOM = 24
-#: How much under the threshold a sketch's estimate may be: four standard deviations.
-SLACK = 0.12
 
 
 def hashes(text: str, width: int) -> np.ndarray:
@@ -55,13 +55,14 @@ def resemblance(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, sketch (the lowest byte of each bin), and keys by level: longs, one for each run of bins."""
+    """doc_id, n (its distinct shingles), and keys by level: longs, one for each run of bins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                x = np.stack([sketch(hashes(t, width)) for t in batch.column("text").to_pylist()])
+                found = [hashes(t, width) for t in batch.column("text").to_pylist()]
+                x, n = np.stack([sketch(h) for h in found]), pa.array([len(h) for h in found], pa.int64())
                 levels = []
                 for wide in (1, 2, 4):
                     key = np.zeros((len(x), BINS // RUN // wide), np.uint64)
@@ -69,9 +70,9 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                         key = (key ^ x[:, i :: RUN * wide]) * np.uint64(0x9E3779B97F4A7C15)
                         key ^= key >> np.uint64(29)
                     levels.append(pa.array(list(key.view(np.int64)), pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r.tobytes() for r in x.astype(np.uint8)], pa.binary()), *levels], names=["doc_id", "sketch", "k0", "k1", "k2"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, *levels], names=["doc_id", "n", "k0", "k1", "k2"])
 
-    return documents(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, sketch binary, k0 array<bigint>, k1 array<bigint>, k2 array<bigint>")
+    return documents(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, n long, k0 array<bigint>, k1 array<bigint>, k2 array<bigint>")
 
 
 def _candidates(made: DataFrame) -> DataFrame:
@@ -100,16 +101,10 @@ def pairs(docs: DataFrame, width: int = 5, threshold: float = 0.8, among: DataFr
     if among is not None:
         made = made.join(among.toDF("doc_id").hint("merge"), "doc_id", "left_semi")  # ids grow with the corpus: they are never broadcast
     made = settle(made, "sketches")
-    found = settle(_candidates(made), "candidates")
-    sides = found.join(made.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x")), "a").join(made.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y")), "b")
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("x", "y"))
-                yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= threshold - SLACK))
-
-    near = settle(sides.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"), "near")
+    size = lambda x: made.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"))
+    found = _candidates(made).join(size("a"), "a").join(size("b"), "b")
+    # the lesser set over the greater bounds the resemblance: none is lost
+    near = settle(found.where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold) - F.lit(1e-9)).select("a", "b"), "near")
     needed = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
     texts = settle(documents(docs).join(needed.hint("merge"), "doc_id", "left_semi"), "texts")
     both = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b")

@@ -69,3 +69,13 @@ def test_stage_drops_near_copies_and_keeps_the_rest(spark):
     alone = {a for a in sets if all(a == b or len(sets[a] & sets[b]) < 0.8 * len(sets[a] | sets[b]) for b in sets)}
     assert alone <= kept and len(kept) < len(rows)
     assert not any(a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a in kept for b in kept)
+
+
+@pytest.mark.parametrize(("shared", "more", "other"), [(16, 2, 2), (8, 1, 1), (5, 1, 0), (4, 1, 0), (20, 2, 2)])
+def test_short_texts_that_are_just_alike_are_found(spark, shared, more, other):
+    rows = []
+    for i in range(150):
+        words = [f"p{i}x{j}" for j in range(shared + 4)]
+        rows += [(2 * i, " ".join(words + [f"p{i}a{j}" for j in range(more)])), (2 * i + 1, " ".join(words + [f"p{i}b{j}" for j in range(other)]))]
+    got = {(r["a"], r["b"]) for r in resemblance.pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(150)}
