@@ -9,8 +9,11 @@ shingles alone rule the threshold out, which loses none. (How far sketches agree
 is no such bound: in a short text one shingle owns many bins.)
 
 A key that many texts share (a passage, a large group of near copies) is not
-paired: its members are held against the least of them, and meet again under
-keys of twice and four times the bins.
+paired at once: its members are held against the least of them, then against the
+least of each component that is left, for as long as that links any. In the end
+all its members of different components are compared. So two texts of a key are
+either compared or connected already. Members that do not come together cost
+their square; those that do, hardly more than one comparison each.
 """
 
 from __future__ import annotations
@@ -24,10 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import documents, settle
+from tesserae.llm.components import least_labels
 
 BINS, RUN = 192, 8
 #: Texts of a key that are paired directly.
 ROOM = 24
+#: Shingle hashes that a task keeps of texts it has just compared.
+KEPT = 2_000_000
 
 
 def hashes(text: str, width: int) -> np.ndarray:
@@ -55,64 +61,94 @@ def resemblance(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (its distinct shingles), and keys by level: longs, one for each run of bins."""
+    """doc_id, n (its distinct shingles) and keys: longs, one for each run of bins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                found = [hashes(t, width) for t in batch.column("text").to_pylist()]
-                x, n = np.stack([sketch(h) for h in found]), pa.array([len(h) for h in found], pa.int64())
-                levels = []
-                for wide in (1, 2, 4):
-                    key = np.zeros((len(x), BINS // RUN // wide), np.uint64)
-                    for i in range(RUN * wide):
-                        key = (key ^ x[:, i :: RUN * wide]) * np.uint64(0x9E3779B97F4A7C15)
-                        key ^= key >> np.uint64(29)
-                    levels.append(pa.array(list(key.view(np.int64)), pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, *levels], names=["doc_id", "n", "k0", "k1", "k2"])
-
-    return documents(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, n long, k0 array<bigint>, k1 array<bigint>, k2 array<bigint>")
-
-
-def _candidates(made: DataFrame) -> DataFrame:
-    """a < b: pairs that share a key, or a key's least text and another of its texts."""
-    out, held = None, made.select("doc_id", "k0", "k1", "k2")
-    for level in range(3):
-        keyed = held.select("doc_id", F.posexplode(f"k{level}").alias("run", "key"))
-        sizes = keyed.groupBy("run", "key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).where("n > 1")
-        met = settle(keyed.join(sizes, ["run", "key"]), f"met{level}")
-        few = met.where(F.col("n") <= ROOM)
-        pairs = few.select("run", "key", F.col("doc_id").alias("a")).join(few.select("run", "key", F.col("doc_id").alias("b")), ["run", "key"]).where("a < b").select("a", "b")
-        star = met.where((F.col("n") > ROOM) & (F.col("doc_id") != F.col("least"))).select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
-        found = pairs.union(star)
-        out = found if out is None else out.union(found)
-        held = held.join(met.where(F.col("n") > ROOM).select("doc_id").distinct(), "doc_id", "left_semi")
-    return out.distinct()
+                n, made = [], []
+                for t in batch.column("text").to_pylist():
+                    h = hashes(t, width)
+                    n.append(len(h))
+                    made.append(sketch(h))
+                x, key = np.stack(made), np.zeros((len(made), BINS // RUN), np.uint64)
+                for i in range(RUN):
+                    key = (key ^ x[:, i::RUN]) * np.uint64(0x9E3779B97F4A7C15)
+                    key ^= key >> np.uint64(29)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(list(key.view(np.int64)), pa.list_(pa.int64()))], names=["doc_id", "n", "keys"])
+
+    return documents(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, n long, keys array<bigint>")
+
+
+def _compared(found: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
+    """a, b, similarity of those pairs that are at or over the threshold. Texts of documents in a pair only are moved."""
+    needed = found.select(F.col("a").alias("doc_id")).union(found.select("b")).distinct()
+    texts = settle(documents(docs).join(needed.hint("merge"), "doc_id", "left_semi"), "texts")
+    both = found.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b")
+
+    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict[int, np.ndarray] = {}
+        held = 0
+
+        def of(doc_id: int, text: str) -> np.ndarray:
+            nonlocal held
+            if doc_id not in kept:
+                h = hashes(text, width)
+                if held + len(h) > KEPT:
+                    kept.clear()
+                    held = 0
+                kept[doc_id] = h
+                held += len(h)
+            return kept[doc_id]
+
+        for batch in batches:
+            score = [resemblance(of(a, s), of(b, t)) for a, b, s, t in zip(batch["a"], batch["b"], batch["s"], batch["t"], strict=True)]
+            out = batch[["a", "b"]].assign(similarity=np.array(score, float))
+            yield out[out["similarity"] >= threshold]
+
+    return settle(both.select("a", "b", "s", "t").mapInPandas(exact, "a long, b long, similarity double"), "alike")
 
 
 def pairs(docs: DataFrame, width: int = 5, threshold: float = 0.8, among: DataFrame | None = None) -> DataFrame:
     """a, b (doc_ids, a < b), similarity: pairs at or over the threshold that connect all that keys bring together.
 
     ``among`` (one column of doc_ids) names the documents in question; doc_ids
-    are unique among them. Texts of documents in a likely pair only are moved.
+    are unique among them.
     """
     made = sketches(docs, width)
     if among is not None:
         made = made.join(among.toDF("doc_id").hint("merge"), "doc_id", "left_semi")  # ids grow with the corpus: they are never broadcast
     made = settle(made, "sketches")
-    size = lambda x: made.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"))
-    found = _candidates(made).join(size("a"), "a").join(size("b"), "b")
-    # the lesser set over the greater bounds the resemblance: none is lost
-    near = settle(found.where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold) - F.lit(1e-9)).select("a", "b"), "near")
-    needed = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-    texts = settle(documents(docs).join(needed.hint("merge"), "doc_id", "left_semi"), "texts")
-    both = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b")
-
-    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            score = [resemblance(hashes(s, width), hashes(t, width)) for s, t in zip(batch["s"], batch["t"], strict=True)]
-            out = batch[["a", "b"]].assign(similarity=np.array(score, float))
-            yield out[out["similarity"] >= threshold]
-
-    return both.select("a", "b", "s", "t").mapInPandas(exact, "a long, b long, similarity double")
+    keyed = made.select("doc_id", "n", F.posexplode("keys").alias("run", "key"))
+    sizes = keyed.groupBy("run", "key").agg(F.count(F.lit(1)).alias("texts"), F.min(F.struct("doc_id", "n")).alias("hub")).where("texts > 1")
+    met = settle(keyed.join(sizes, ["run", "key"]), "met")
+
+    def paired(left: DataFrame, right: DataFrame, apart: bool) -> DataFrame:
+        """a < b that share a key and may be alike by their numbers of shingles; of different components, if ``apart``."""
+        side = lambda df, x: df.select("run", "key", F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), *([F.col("root").alias(f"root_{x}")] if apart else []))
+        both = side(left, "x").join(side(right, "y"), ["run", "key"]).where("root_x <> root_y" if apart else "x < y")
+        return both.where(may("n_x", "n_y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    def may(x: str, y: str):
+        return F.least(x, y) >= F.greatest(x, y) * F.lit(threshold) - F.lit(1e-9)
+
+    few, many = met.where(F.col("texts") <= ROOM), settle(met.where(F.col("texts") > ROOM), "many")
+    star = many.where(F.col("doc_id") != F.col("hub.doc_id")).where(may("n", "hub.n")).select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b"))
+    tried = settle(paired(few, few, False).union(star).distinct(), "candidates")
+    links = _compared(tried, docs, width, threshold)
+    hubs_only = True
+    while True:
+        roots = least_labels(links).select(F.col("node").alias("doc_id"), "root")
+        placed = settle(many.join(roots, "doc_id", "left").select("run", "key", "doc_id", "n", F.coalesce("root", "doc_id").alias("root")), "placed")
+        parted = placed.groupBy("run", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("run", "key")
+        left = settle(placed.join(parted, ["run", "key"], "left_semi"), "left")
+        if left.isEmpty():
+            return links
+        hubs = left.groupBy("run", "key", "root").agg(F.min(F.struct("doc_id", "n")).alias("hub")).select("run", "key", "root", "hub.*")
+        found = settle(paired(hubs if hubs_only else left, left, True).join(tried, ["a", "b"], "left_anti"), "candidates")
+        more = _compared(found, docs, width, threshold)
+        links, tried = links.union(more), tried.union(found)
+        if not hubs_only:
+            return links
+        hubs_only = not more.isEmpty()

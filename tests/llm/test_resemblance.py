@@ -79,3 +79,38 @@ def test_short_texts_that_are_just_alike_are_found(spark, shared, more, other):
         rows += [(2 * i, " ".join(words + [f"p{i}a{j}" for j in range(more)])), (2 * i + 1, " ".join(words + [f"p{i}b{j}" for j in range(other)]))]
     got = {(r["a"], r["b"]) for r in resemblance.pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(2 * i, 2 * i + 1) for i in range(150)}
+
+
+def edited(seed, copies, least, most):
+    """Copies of one text of 400 words, each with runs of its five-word shingles replaced."""
+    rnd = random.Random(seed)
+    text = [f"w{rnd.randrange(5000)}" for _ in range(404)]
+    rows = []
+    for i in range(copies):
+        copy = list(text)
+        for _ in range(rnd.randrange(least, most + 1)):
+            copy[rnd.randrange(len(copy))] = f"edit{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+def components(nodes, links):
+    root = {i: i for i in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    return {i: find(i) for i in nodes}
+
+
+@pytest.mark.parametrize(("least", "most"), [(3, 9), (4, 5)])
+def test_a_large_group_of_edited_copies_stays_together(spark, least, most):
+    rows = edited(most, 300, least, most)
+    sets = {i: set(resemblance.hashes(t, 5).tolist()) for i, t in rows}
+    want = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = [(r["a"], r["b"]) for r in resemblance.pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert set(got) <= set(want) and components(sets, got) == components(sets, want)
