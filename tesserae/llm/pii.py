@@ -1,17 +1,24 @@
 """Personal data, and the terms that give it away.
 
-Base spans come from patterns with exact rules. Around each base span lies its
-context. Over the corpus, a term t that stands in contexts of a protected entity
-c (the value of a base span) discloses it by its pointwise mutual information,
+Base spans come from patterns with exact rules. A document's other words are the
+context of each of them. Over the corpus, a term t that stands in documents with a
+protected entity c (the value of a base span) discloses it by its pointwise mutual
+information,
 
     PMI(c; t) = log2( n(c, t) * N / (n(c) * n(t)) )
 
 in documents. What there is to disclose is the entity's information content,
-IC(c) = log2(N / n(c)); a term is flagged if PMI(c; t) >= IC(c) / alpha. A term
-seen once beside an entity seen once would always be flagged, so a pair counts
-only with ``support`` different contexts; copies of a context are one. In every
-document with the entity, all places of its flagged terms become spans of kind
-``term``. Sanitising replaces spans by their kind (a generalisation).
+IC(c) = log2(N / n(c)); a term is flagged if PMI(c; t) >= IC(c) / alpha and chance
+does not explain that they meet: in k(c, t) of the k(c) different texts with c, where
+t is in a share p = n(t) / N of all documents, that has at most the probability
+
+    2 ^ -(k(c) * D(k(c, t) / k(c) || p))    (Chernoff; D in bits)
+
+which must be under ``doubt`` over the number of words that stand beside c. So a
+rare word of a large corpus counts beside an entity seen once, in a small corpus it
+is no evidence. Copies of a text are one text here. In every document with the
+entity, all places of its flagged terms become spans of kind ``term``. Sanitising
+replaces spans by their kind (a generalisation).
 
 Everything here is DataFrame functions: no Python runs on the executors.
 
@@ -38,8 +45,8 @@ PATTERNS = {
 #: A text without a match of this has none of the kind.
 HINTS = {"email": "@", "ip": None, "card": None, "phone": "+"}
 SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
-#: Code points of text on either side of a span that are its context.
-REACH = 120
+#: An entity in over one of so many documents is frequent; there are at most so many for each span of a document.
+FREQUENT = 1000
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -101,41 +108,49 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{3,}"), F.lit(0)))
 
 
-def disclosing(found: DataFrame, docs: DataFrame, alpha: float = 1.25, support: int = 3) -> DataFrame:
+def disclosing(texts: DataFrame, docs: DataFrame, alpha: float = 1.25, doubt: float = 0.01) -> DataFrame:
     """kind, value, term, pmi, ic: the terms that disclose an entity beyond the threshold.
 
-    ``found`` has text and spans of the documents with base spans, ``docs`` all documents.
+    ``texts`` has text, spans and n, the documents of each different text with base spans, ``docs`` all documents.
     """
-    one = found.select(F.xxhash64("text", "doc_id").alias("doc"), "text", F.explode("spans").alias("s")).select("doc", "text", "s.*")
-    before = F.expr(f"substring(text, greatest(start - {REACH}, 0) + 1, least(start, {REACH}))")
-    after = F.expr(f"substring(text, end + 1, {REACH})")
-    # a word that the window cuts is no word
-    context = F.concat_ws(" ", F.regexp_replace(before, r"^\p{L}+", ""), F.regexp_replace(after, r"\p{L}+$", ""))
-    seen = one.select("doc", "kind", "value", _words(context).alias("terms")).withColumn("context", F.xxhash64("terms"))
-    entities = seen.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_c"))
-    beside = seen.select("kind", "value", "doc", "context", F.explode("terms").alias("term"))
-    # contexts of a pair, each with its documents, and then the pair: two steps, so copies fold before they meet
-    folded = beside.groupBy("kind", "value", "term", "context").agg(F.count(F.lit(1)).alias("n"))
-    pairs = folded.groupBy("kind", "value", "term").agg(F.sum("n").alias("n_ct"), F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= support)
-    pairs = settle(pairs, "pairs")
+    total = float(docs.count())
     words = documents(docs).select(F.explode(_words(F.col("text"))).alias("term"))
-    counts = words.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = docs.count()
-    known = pairs.join(entities, ["kind", "value"]).join(counts, "term")
-    pmi = F.log2(F.col("n_ct") * F.lit(float(total)) / (F.col("n_c") * F.col("n_t")))
-    ic = F.log2(F.lit(float(total)) / F.col("n_c"))
-    return known.select("kind", "value", "term", pmi.alias("pmi"), ic.alias("ic")).where((F.col("ic") > 0) & (F.col("pmi") >= F.col("ic") / alpha))
-
-
-def _terms(found: DataFrame, flagged: DataFrame) -> DataFrame:
+    counts = settle(words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "counts")
+    bare = masked(F.col("text"), F.col("spans"), lambda s: F.lit(" "))
+    whose = F.array_distinct(F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))
+    seen = settle(texts.select("n", whose.alias("c"), _words(bare).alias("terms")), "seen").select("n", F.explode("c").alias("c"), "terms").select("n", "c.*", "terms")
+    entities = settle(seen.groupBy("kind", "value").agg(F.sum("n").alias("n_c"), F.count(F.lit(1)).alias("k_c"), F.sum(F.size("terms")).alias("beside")), "entities")
+
+    # PMI >= IC / alpha means n_t <= n_ct * (N / n_c) ** (1 - 1 / alpha), and n_ct is n_c at most: beside
+    # entities that are not frequent, common terms never reach it, so they go before anything is dealt out
+    def most(n):
+        return F.pow(n, F.lit(1 / alpha)) * F.lit(total ** (1 - 1 / alpha) * (1 + 1e-9))
+
+    frequent = entities.where(F.col("n_c") > total / FREQUENT).select("kind", "value", F.col("n_c").alias("often"))
+    common = counts.where(F.col("n_t") > total * FREQUENT ** (-1 / alpha) * (1 + 1e-9)).select("term", F.col("n_t").alias("widely"))
+    beside = seen.join(F.broadcast(frequent), ["kind", "value"], "left").select("n", "kind", "value", "often", F.explode("terms").alias("term"))
+    beside = beside.join(F.broadcast(common), "term", "left").where(F.col("widely").isNull() | (F.col("widely") <= most(F.col("often"))))
+    pairs = settle(beside.groupBy("kind", "value", "term").agg(F.sum("n").alias("n_ct"), F.count(F.lit(1)).alias("k_ct")), "pairs")
+    known = settle(pairs.join(counts, "term").where(F.col("n_t") <= most(F.col("n_ct"))), "known").join(entities, ["kind", "value"])
+
+    pmi = F.log2(F.col("n_ct") * F.lit(total) / (F.col("n_c") * F.col("n_t")))
+    ic = F.log2(F.lit(total) / F.col("n_c"))
+    p, q = F.col("n_t") / F.lit(total), F.col("k_ct") / F.col("k_c")
+    rest = F.when((q < 1) & (p < 1), (1 - q) * F.log2((1 - q) / (1 - p))).otherwise(0.0)
+    bits = F.when(q > p, F.col("k_c") * (q * F.log2(q / p) + rest)).otherwise(0.0)
+    sure = bits >= F.log2(F.col("beside") / F.lit(doubt))
+    return known.where(sure).select("kind", "value", "term", pmi.alias("pmi"), ic.alias("ic")).where((F.col("ic") > 0) & (F.col("pmi") >= F.col("ic") / alpha))
+
+
+def _terms(texts: DataFrame, flagged: DataFrame) -> DataFrame:
     """text_key and terms (spans) of the texts in which a flagged term stands."""
-    texts = found.groupBy("text_key").agg(F.first("text").alias("text"), F.first("spans").alias("spans"))
     held = texts.select("text_key", F.explode("spans").alias("s")).select("text_key", "s.kind", "s.value").distinct()
-    hits = held.join(flagged.select("kind", "value", "term"), ["kind", "value"]).select("text_key", "term").distinct()
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})"), F.col("term"), F.lit(r"(?!\p{L})"))
-    placed = hits.join(texts, "text_key").select("text_key", "spans", F.explode(located(F.col("text"), pattern, "term")).alias("t"))
-    free = ~F.exists("spans", lambda s: (s["start"] < F.col("t")["end"]) & (F.col("t")["start"] < s["end"]))
-    return placed.where(free).groupBy("text_key").agg(F.array_sort(F.collect_set("t")).alias("terms"))
+    named = flagged.groupBy("kind", "value").agg(F.collect_set("term").alias("said"))
+    hits = held.join(named, ["kind", "value"]).groupBy("text_key").agg(F.array_distinct(F.flatten(F.collect_list("said"))).alias("said"))
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("said", "|"), F.lit(r")(?!\p{L})"))
+    placed = hits.join(texts, "text_key").select("text_key", "spans", located(F.col("text"), pattern, "term").alias("terms"))
+    free = F.filter("terms", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    return placed.select("text_key", free.alias("terms"))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -154,8 +169,9 @@ def _found(rows: DataFrame) -> DataFrame:
 def _completed(spotted: DataFrame, docs: DataFrame) -> DataFrame:
     some = spotted.where(F.col("_key").isNotNull())
     found = some.select("doc_id", "text", F.col("_base").alias("spans"), F.col("_key").alias("text_key"))
-    flagged = settle(disclosing(found, docs), "flagged")
-    terms = settle(_terms(found, flagged), "terms").withColumnRenamed("text_key", "_key")
+    texts = settle(found.groupBy("text_key").agg(F.first("text").alias("text"), F.first("spans").alias("spans"), F.count(F.lit(1)).alias("n")), "texts")
+    flagged = settle(disclosing(texts, docs), "flagged")
+    terms = settle(_terms(texts, flagged), "terms").withColumnRenamed("text_key", "_key")
     none = F.array().cast(f"array<{SPAN}>")
     more = some.join(terms, "_key", "left").withColumn("_terms", F.coalesce("terms", none)).drop("terms")
     both = more.unionByName(spotted.where(F.col("_key").isNull()).withColumn("_terms", none))
@@ -173,13 +189,17 @@ def sanitise(docs: DataFrame) -> DataFrame:
     return done.select(*(F.when(F.size("_all") > 0, masked(F.col("text"), F.col("_all"))).otherwise(F.col("_row.text")).alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in names))
 
 
-def masked(text: Column, spans: Column) -> Column:
+def bracketed(span: Column) -> Column:
+    return F.concat(F.lit("["), F.upper(span["kind"]), F.lit("]"))
+
+
+def masked(text: Column, spans: Column, said=bracketed) -> Column:
     """The text with its spans, in order, replaced; a span within one before it is part of that."""
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
         gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        piece = F.when(fresh, F.concat(gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(F.lit(""))
+        piece = F.when(fresh, F.concat(gap, said(s))).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
 
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

@@ -303,6 +303,19 @@ def test_terms_that_disclose_an_entity_are_spans(spark):
     assert "Zanzibarov" not in clean[0] and "boss@" not in clean[0] and "[EMAIL]" in clean[0] and clean[100] == dict(rows)[100]
 
 
+def test_terms_of_an_entity_seen_once_and_far_from_it(spark):
+    rnd = random.Random(4)
+    filler = [f"filler{chr(97 + i)}{chr(97 + j)}" for i in range(9) for j in range(9)]
+    some = lambda n: " ".join(rnd.choice(filler) for _ in range(n))
+    rows = [(i, some(30)) for i in range(20_000)]
+    rows += [(30_000, f"Quagmirovna {some(40)} writes.from@once.org {some(9)}"), (30_001, some(20) + " alone@other.net " + some(20))]
+    rows += [(31_000 + i, f"{some(5)} Zanzibarov {some(40 + i)} boss@secret.org") for i in range(6)]
+    spans = {r["doc_id"]: [s["value"] for s in r["spans"] if s["kind"] == "term"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert spans[30_000] == ["Quagmirovna"] and spans[30_001] == []
+    assert all(spans[31_000 + i] == ["Zanzibarov"] for i in range(6))
+    assert sum(map(len, spans.values())) == 7
+
+
 def test_sanitise_keeps_rows_and_columns(spark):
     docs = awkward(spark)
     done = pii.sanitise(docs)
