@@ -6,18 +6,21 @@ stored once, under its SHA-256. Under ``path`` lie, as Parquet parts
 
 * ``kind=chunk``: digest, payload (the ids, little-endian, of the width in the manifest)
 * ``kind=recipe``: one row for each document, in ascending doc_id order over
-  segment and ordinal: its chunks' digests and lengths, the ids before it in its
-  segment, and the Merkle root of the digests
-* ``kind=segment``: one row for each segment: documents, ids, and the Merkle root of its recipes' roots
+  segment and ordinal: its chunks' digests and lengths, its ids and those before
+  it in its segment, and the Merkle root of the digests
+* ``kind=segment``: one row for each segment: documents, ids, and the Merkle root
+  over its recipes (doc_id, ids and root of each)
 
-Reading checks every chunk against its digest, every length against its recipe
-and every root. The CRC-32 of a document follows from those of its chunks, so
-checking a corpus moves no payload between executors; ``read`` does, and returns
-the ids themselves.
+Both ``catalogue`` and ``read`` check every chunk against its digest, every
+length and root against its recipe, and every recipe against its segment's root,
+and fail if anything is missing, changed or in another place. The CRC-32 of a
+document follows from those of its chunks, so ``catalogue`` moves no payload
+between executors; ``read`` does, and returns the ids themselves.
 
 Defined results: a null or empty text is the end id alone; repeated rows are
-documents of their own that share all chunks; a null doc_id comes first; an
-empty table makes an empty store; other columns are ignored.
+documents of their own that share all chunks, in any order among each other; a
+null doc_id comes first; a very long text has as many chunks as it needs and is
+never cut short; an empty table makes an empty store; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -149,20 +152,56 @@ def cut_points(ids: np.ndarray) -> list[int]:
     return _ends(marks(ids).tolist(), 0, len(ids))
 
 
+class Tree:
+    """The root of a binary hash tree over leaves that come one by one; an odd last node moves up as it is.
+
+    Only the roots of whole subtrees are held, one for each bit of the number of leaves.
+    """
+
+    def __init__(self) -> None:
+        self.n, self.peaks = 0, []
+
+    def add(self, leaf: bytes) -> None:
+        n = self.n
+        while n & 1:
+            leaf = hashlib.sha256(b"\x01" + self.peaks.pop() + leaf).digest()
+            n >>= 1
+        self.peaks.append(leaf)
+        self.n += 1
+
+    def root(self) -> bytes:
+        if not self.peaks:
+            return hashlib.sha256(b"").digest()
+        out = self.peaks[-1]
+        for peak in reversed(self.peaks[:-1]):
+            out = hashlib.sha256(b"\x01" + peak + out).digest()
+        return out
+
+
 def merkle(leaves: list[bytes]) -> bytes:
-    """The root of a binary hash tree; an odd last node moves up as it is."""
-    level = leaves or [hashlib.sha256(b"").digest()]
-    while len(level) > 1:
-        level = [hashlib.sha256(b"\x01" + level[i] + level[i + 1]).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-    return level[0]
+    if len(leaves) == 1:
+        return leaves[0]
+    tree = Tree()
+    for leaf in leaves:
+        tree.add(leaf)
+    return tree.root()
+
+
+def _split(digests: bytes) -> list[bytes]:
+    return [digests[i : i + 32] for i in range(0, len(digests), 32)]
+
+
+def _leaf(doc_id: int | None, n_ids: int, root: bytes) -> bytes:
+    """What a recipe is to its segment's tree."""
+    return hashlib.sha256(b"\x00%d,%d," % (n_ids, doc_id) + root if doc_id is not None else b"\x00%d,," % n_ids + root).digest()
 
 
 SCHEMA = pa.schema(
     [("kind", pa.string()), ("doc_id", pa.int64()), ("segment", pa.int32()), ("ordinal", pa.int64()), ("before", pa.int64()), ("n_ids", pa.int64())]
-    + [(name, pa.binary()) for name in ("digests", "lengths", "digest", "payload")]
+    + [(name, pa.binary()) for name in ("digests", "lengths", "root", "digest", "payload")]
     + [("width", pa.int32())]
 )
-COLUMNS = "kind string, doc_id long, segment int, ordinal long, before long, n_ids long, digests binary, lengths binary, digest binary, payload binary, width int"
+COLUMNS = "kind string, doc_id long, segment int, ordinal long, before long, n_ids long, digests binary, lengths binary, root binary, digest binary, payload binary, width int"
 
 
 def _batch(n: int, **columns) -> pa.RecordBatch:
@@ -192,7 +231,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                payloads, names, n_ids, digests, lengths = [], [], [], [], []
+                payloads, names, n_ids, digests, lengths, roots = [], [], [], [], [], []
                 streams = [coder.encode(text) + end for text in batch.column("text").to_pylist()]
                 data = b"".join(streams)
                 cuts_at = marks(np.frombuffer(data, dtype))
@@ -215,18 +254,19 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
                         a = b
                     n_ids.append(stop - start)
                     digests.append(b"".join(own))
+                    roots.append(merkle(own))
                     lengths.append(sizes.tobytes())
                     start = stop
                 places = [int.from_bytes(x[:3], "big") for x in names]
                 yield _batch(len(names), kind="chunk", segment=places, digest=names, payload=payloads, width=width)
                 ids, segments = batch.column("doc_id").to_pylist(), batch.column("segment").to_pylist()
-                yield _batch(len(ids), kind="recipe", doc_id=ids, segment=segments, n_ids=n_ids, digests=digests, lengths=lengths, width=width)
+                yield _batch(len(ids), kind="recipe", doc_id=ids, segment=segments, n_ids=n_ids, digests=digests, lengths=lengths, root=roots, width=width)
 
     def sealed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, segment, ordinal, before, roots = None, None, 0, 0, []
+        last, segment, ordinal, before, tree = None, None, 0, 0, Tree()
 
         def seal() -> pa.RecordBatch:
-            return _batch(1, kind="segment", segment=segment, ordinal=ordinal, n_ids=before, digests=[merkle(roots)])
+            return _batch(1, kind="segment", segment=segment, ordinal=ordinal, n_ids=before, root=[tree.root()])
 
         for batch in batches:  # sorted: first chunks by digest, then recipes by segment and doc_id
             n = sum(x == "chunk" for x in batch.column("kind").to_pylist())
@@ -240,16 +280,16 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
             rows = batch.slice(n)
             ordinals, befores = [], []
             done = 0
-            for at, digests, n_ids in zip(*(rows.column(c).to_pylist() for c in ("segment", "digests", "n_ids")), strict=True):
+            for at, doc_id, root, n_ids in zip(*(rows.column(c).to_pylist() for c in ("segment", "doc_id", "root", "n_ids")), strict=True):
                 if at != segment:
                     if segment is not None:
                         yield _numbered(rows.slice(done, len(ordinals)), ordinals, befores)
                         yield seal()
                         done, ordinals, befores = done + len(ordinals), [], []
-                    segment, ordinal, before, roots = at, 0, 0, []
+                    segment, ordinal, before, tree = at, 0, 0, Tree()
                 ordinals.append(ordinal)
                 befores.append(before)
-                roots.append(merkle([digests[i : i + 32] for i in range(0, len(digests), 32)]))
+                tree.add(_leaf(doc_id, n_ids, root))
                 ordinal, before = ordinal + 1, before + n_ids
             yield _numbered(rows.slice(done, len(ordinals)), ordinals, befores)
         if segment is not None:
@@ -333,20 +373,68 @@ def _chunk_sums(chunks: DataFrame) -> DataFrame:
 
 
 def _steps(recipes: DataFrame) -> DataFrame:
-    """One row for each chunk of each document, with the bytes of ids (as 32 bits) that follow it."""
+    """One row for each chunk of each document, with the bytes of ids (as 32 bits) that follow it; recipes are checked against their roots."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             count = [len(x) // 4 for x in batch["lengths"]]
             lengths = [np.frombuffer(x, "<u4").astype(np.int64) for x in batch["lengths"]]
+            names = [_split(x) for x in batch["digests"]]
+            for own, sizes, root, n_ids in zip(names, lengths, batch["root"], batch["n_ids"], strict=True):
+                if len(own) != len(sizes) or sizes.sum() != n_ids or merkle(own) != root:
+                    raise ValueError("a recipe does not agree with its root or its length")
             after = [4 * (x.sum() - np.cumsum(x)) for x in lengths]
-            digests = [x[i : i + 32] for x in batch["digests"] for i in range(0, len(x), 32)]
             flat = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
             yield pd.DataFrame(
-                {"segment": np.repeat(batch["segment"], count), "ordinal": np.repeat(batch["ordinal"], count), "seq": flat([np.arange(c) for c in count]), "digest": digests, "length": flat(lengths), "after": flat(after)}
+                {"segment": np.repeat(batch["segment"], count), "ordinal": np.repeat(batch["ordinal"], count), "seq": flat([np.arange(c) for c in count]), "digest": [d for own in names for d in own], "length": flat(lengths), "after": flat(after)}
             )
 
-    return recipes.select("segment", "ordinal", "digests", "lengths").mapInPandas(run, "segment int, ordinal long, seq long, digest binary, length long, after long")
+    return recipes.select("segment", "ordinal", "n_ids", "digests", "lengths", "root").mapInPandas(run, "segment int, ordinal long, seq long, digest binary, length long, after long")
+
+
+def _seals(recipes: DataFrame) -> DataFrame:
+    """segment, documents, ids and root as they follow from the recipes; rows stream by in order, none are gathered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment, before, tree, sound = None, 0, Tree(), True
+
+        def seal() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"segment": pa.array([segment], pa.int32()), "documents": pa.array([tree.n], pa.int64()), "ids": pa.array([before], pa.int64()), "found": pa.array([tree.root() if sound else None], pa.binary())})
+
+        for batch in batches:
+            for at, doc_id, ordinal, start, n_ids, root in zip(*(batch.column(c).to_pylist() for c in ("segment", "doc_id", "ordinal", "before", "n_ids", "root")), strict=True):
+                if at != segment:
+                    if segment is not None:
+                        yield seal()
+                    segment, before, tree, sound = at, 0, Tree(), True
+                sound &= ordinal == tree.n and start == before
+                tree.add(_leaf(doc_id, n_ids, root or b""))
+                before += n_ids
+        if segment is not None:
+            yield seal()
+
+    rows = recipes.select("segment", "doc_id", "ordinal", "before", "n_ids", "root").repartition("segment").sortWithinPartitions("segment", "ordinal")
+    return rows.mapInArrow(run, "segment int, documents long, ids long, found binary")
+
+
+def verify(spark: SparkSession, path: str) -> DataFrame:
+    """The segments whose figures or Merkle root do not follow from their recipes; none if all recipes are whole."""
+    return _checked(spark, path).where(~F.col("sound")).select("segment", "root", "found")
+
+
+def _checked(spark: SparkSession, path: str) -> DataFrame:
+    want = _part(spark, path, "segment").select("segment", "ordinal", "n_ids", "root")
+    both = want.join(_seals(_part(spark, path, "recipe")), "segment", "full")
+    same = (F.col("root") == F.col("found")) & (F.col("ordinal") == F.col("documents")) & (F.col("n_ids") == F.col("ids"))
+    return both.withColumn("sound", F.coalesce(same, F.lit(False)))
+
+
+def _bases(spark: SparkSession, path: str) -> DataFrame:
+    """segment and the ids before it, after a check of every segment's root; a row for each segment."""
+    before = Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    n_ids = F.when(F.col("sound"), F.col("n_ids")).otherwise(F.raise_error(F.lit("a segment does not agree with its root")).cast("long"))
+    sure = _checked(spark, path).select("segment", n_ids.alias("n_ids"))
+    return F.broadcast(sure.select("segment", "n_ids", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base")).where("n_ids is not null"))  # as many rows as there were partitions
 
 
 def catalogue(spark: SparkSession, path: str) -> DataFrame:
@@ -360,41 +448,38 @@ def catalogue(spark: SparkSession, path: str) -> DataFrame:
 
     steps = _steps(recipes)
     found = steps.join(chunks, steps["digest"] == chunks["stored"], "left")
-    whole = F.when((F.col("n") == F.col("length")), F.col("n")).otherwise(F.raise_error(F.lit("a chunk is missing or has another length")).cast("long"))
-    sums = found.select("segment", "ordinal", whole.alias("n"), following("crc", "after").alias("part")).groupBy("segment", "ordinal").agg(F.sum("n").alias("n_tokens"), F.bit_xor("part").alias("ids_crc32"))
-    before = Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)  # a row for each segment
-    segments = _part(spark, path, "segment").select("segment", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    sums = found.select("segment", "ordinal", _whole(F.col("n")).alias("n"), following("crc", "after").alias("part")).groupBy("segment", "ordinal").agg(F.sum("n").alias("n_tokens"), F.bit_xor("part").alias("ids_crc32"))
     return (
         recipes.select("doc_id", "segment", "ordinal", "before")
         .join(sums, ["segment", "ordinal"])
-        .join(F.broadcast(segments), "segment")  # as many rows as there were partitions
+        .join(_bases(spark, path), "segment")
         .select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
     )
 
 
+def _whole(n: Column) -> Column:
+    """The ids of a chunk, which must be as many as its recipe says."""
+    return F.when(n == F.col("length"), n).otherwise(F.raise_error(F.lit("a chunk is missing or has another length")).cast("long"))
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id and ids (array<int>) of every document, put together from its chunks."""
+    """doc_id and ids (array<int>) of every document, put together from its chunks; all checks of ``catalogue`` hold here, too."""
     recipes = _part(spark, path, "recipe")
-    steps, chunks = _steps(recipes), _part(spark, path, "chunk").select("digest", "payload", "width")
+    chunks = _part(spark, path, "chunk").select(F.col("digest").alias("stored"), "payload", "width")
+    steps = _steps(recipes)
 
     @F.pandas_udf("array<int>")
-    def joined(payloads: pd.Series, widths: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(b"".join(p), f"<u{w}").astype(np.int32) for p, w in zip(payloads, widths, strict=True)])
-
-    found = steps.join(chunks, "digest").groupBy("segment", "ordinal").agg(F.sort_array(F.collect_list(F.struct("seq", "payload"))).alias("c"), F.first("width").alias("width"))
-    return recipes.select("doc_id", "segment", "ordinal").join(found, ["segment", "ordinal"]).select("doc_id", joined("c.payload", "width").alias("ids"))
-
-
-def verify(spark: SparkSession, path: str) -> DataFrame:
-    """The segments whose Merkle root does not follow from their recipes; none if the store is whole."""
-
-    def roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"segment": batch["segment"], "ordinal": batch["ordinal"], "root": [merkle([x[i : i + 32] for i in range(0, len(x), 32)]) for x in batch["digests"]]})
-
-    def tree(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"segment": [rows["segment"].iloc[0]], "found": [merkle(rows.sort_values("ordinal")["root"].tolist())]})
-
-    found = _part(spark, path, "recipe").select("segment", "ordinal", "digests").mapInPandas(roots, "segment int, ordinal long, root binary").groupBy("segment").applyInPandas(tree, "segment int, found binary")
-    want = _part(spark, path, "segment").select("segment", F.col("digests").alias("want"))
-    return want.join(found, "segment", "full").where(~F.col("want").eqNullSafe(F.col("found")))
+    def joined(payloads: pd.Series, digests: pd.Series, widths: pd.Series) -> pd.Series:
+        out = []
+        for own, names, width in zip(payloads, digests, widths, strict=True):
+            for payload, name in zip(own, _split(names), strict=True):
+                if hashlib.sha256(payload).digest() != name:
+                    raise ValueError(f"chunk {name.hex()} is damaged")
+            out.append(np.frombuffer(b"".join(own), f"<u{width}").astype(np.int32))
+        return pd.Series(out)
+
+    n = F.octet_length("payload") / F.col("width")
+    found = steps.join(chunks, steps["digest"] == chunks["stored"], "left").select("segment", "ordinal", "seq", "payload", "width", _whole(n).alias("n"))
+    whole = found.groupBy("segment", "ordinal").agg(F.sort_array(F.collect_list(F.struct("seq", "payload"))).alias("c"), F.first("width").alias("w"), F.sum("n").alias("n"))  # one document's chunks
+    rows = recipes.select("doc_id", "segment", "ordinal", "digests").join(whole, ["segment", "ordinal"]).join(_bases(spark, path).select("segment", "base"), "segment")
+    return rows.where("n > 0 and base >= 0").select("doc_id", joined("c.payload", "digests", "w").alias("ids"))
