@@ -3,7 +3,10 @@
 Equal texts are one group, groups stand in the order of their first doc_id, and
 shards are contiguous runs of groups. The largest shard shall be as small as can
 be: binary search for the least capacity with which the greedy walk (fill a shard
-while the next group fits) needs no more than the shards there are, then cut there.
+while the next group fits) needs no more than the shards there are. Many cuts keep
+to that capacity, and the greedy ones would leave all slack to the last shard; so
+each cut is the group end nearest to its even share that a walk from either side,
+filling shards to the capacity, can still reach.
 
 The greedy walk only asks for the last group end at or below a given sum of
 sizes. The driver never holds all groups: it holds the sums at the ends of
@@ -16,12 +19,14 @@ Defined results: a null text has size 8 (nothing plus 8); null and empty texts
 are one group: the empty text. A null doc_id
 comes before all others. Repeated rows are members of one group, as any copies
 are. If texts share a first doc_id (a doc_id that is not unique), they are one
-group in the order. An empty table gives no rows; other columns are ignored.
+group in the order. A text of any length is one atomic group; one that is larger
+than an even share has a shard for itself, and shards may then be empty. An empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -53,6 +58,26 @@ class Ends:
         i = bisect_right(self.sums, x)
         return (self.sums[i - 1] if i else 0) if i == len(self.sums) or self.whole[i] else x
 
+    def holder(self, x: int) -> int:
+        """The bucket with the first group end at or above x, for 0 < x <= the total."""
+        return bisect_left(self.sums, x)
+
+    def sure(self, x: int) -> bool:
+        """Whether the first group end at or above x is known."""
+        return x <= 0 or self.whole[self.holder(x)] or self.sums[self.holder(x)] == x
+
+    def next(self, x: int) -> tuple[int, int]:
+        """The first group end at or above x (0 is one) is from the first to the second of these."""
+        if x <= 0:
+            return 0, 0
+        end = self.sums[self.holder(x)]
+        return (end if self.sure(x) else x), end
+
+    def last(self, x: int) -> int:
+        """The last group end at or below x, where that is known."""
+        i = bisect_right(self.sums, x)
+        return self.sums[i - 1] if i else 0
+
     def reach(self, capacity: int, shards: int, step) -> int:
         at = 0
         for _ in range(shards):
@@ -91,11 +116,8 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
     origin, wide = edge[0], -(-(edge[1] + 1 - edge[0]) // FIRST)
     found = _sums(groups, [(origin, edge[1] + 1)], FIRST, origin, wide)
     while True:
-        sums, total = [], 0
-        for *_, size in found:
-            total += size
-            sums.append(total)
-        ends = Ends(sums, [(low, high) for low, high, _, _ in found], [n == 1 for _, _, n, _ in found])
+        ends = _ends(found)
+        sums, total = ends.sums, ends.sums[-1]
         start = -(-total // shards)
         sure = least(start, total, lambda c: ends.reach(c, shards, ends.below) >= total)
         possible = least(start, sure, lambda c: ends.reach(c, shards, ends.above) >= total)
@@ -109,14 +131,64 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
             low, high = ends.below(low + possible), ends.above(high + sure)
         finer = _sums(groups, [ends.spans[i] for i in sorted(unsure)], FAN, origin, wide)
         found = sorted([f for i, f in enumerate(found) if i not in unsure] + finer)
-    capacity, at, starts = sure, 0, []
-    while at < total:
-        reach = bisect_right(sums, at + capacity)
-        # the last group end below may lie in a bucket that needed no opening only if that bucket is whole
-        at = sums[reach - 1]
-        if at < total:
-            starts.append(ends.spans[reach][0])
-    return capacity, starts
+    while True:
+        ends = _ends(found)
+        cuts, unsure = _even(ends, sure, shards)
+        if not unsure:
+            return sure, [ends.spans[bisect_right(ends.sums, c)][0] for c in cuts if c < ends.sums[-1]]
+        finer = _sums(groups, [ends.spans[i] for i in sorted(unsure)], FAN, origin, wide)
+        found = sorted([f for i, f in enumerate(found) if i not in unsure] + finer)
+
+
+def _ends(found: list[tuple[int, int, int, int]]) -> Ends:
+    sums, total = [], 0
+    for *_, size in found:
+        total += size
+        sums.append(total)
+    return Ends(sums, [(low, high) for low, high, _, _ in found], [n == 1 for _, _, n, _ in found])
+
+
+def _even(ends: Ends, capacity: int, shards: int) -> tuple[list[int], set[int]]:
+    """Sums at the cuts, and the buckets to open before these are sure."""
+    total = ends.sums[-1]
+    unsure = set()
+
+    def ask(low: int, high: int) -> None:
+        """Each end from low to high may matter."""
+        if high > 0:
+            unsure.update(i for i in range(ends.holder(max(low, 1)), ends.holder(high) + 1) if not ends.whole[i])
+
+    # from the end: the first end from which the shards that follow still hold the rest
+    low = high = total
+    least_cut = [total]
+    for _ in range(shards):
+        if low == high and ends.sure(low - capacity):
+            low = high = ends.next(low - capacity)[1]
+        else:
+            ask(low - capacity, high - capacity)
+            low, high = ends.next(low - capacity)[0], ends.next(high - capacity)[1]
+        least_cut.append(high)
+    least_cut.reverse()
+    shares = [total * i // shards for i in range(1, shards)]
+    for x in shares:
+        if not ends.sure(x):
+            ask(x, x)
+    if unsure:
+        return [], unsure
+    at, cuts = 0, []
+    for i, share in enumerate(shares, 1):
+        first, most = max(at, least_cut[i]), at + capacity
+        if share <= first:
+            at = first
+        elif share >= most:
+            if most < total and not ends.sure(most):
+                ask(most, most)
+            at = ends.last(most)
+        else:
+            below, above = ends.last(share), ends.next(share)[1]
+            at = above if above <= most and above - share < share - below else below
+        cuts.append(at)
+    return cuts, unsure
 
 
 def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
