@@ -6,22 +6,29 @@ decay**s, so letters in between cost a little and do not break a match. What is
 not a letter takes a place and is never part of a subsequence ("i.d-i o_t").
 Kernels are normalised.
 
-Training works on the words of labelled sentences: words that mark the toxic
-class in their documents against words of the other class, and again with the
-words of clean documents that the first round scores highest. Words are mapped
-to their kernels with the landmarks, whitened (Nyström), and separated by a linear
-SVM with squared hinge loss. What the SVM says of a string is a weighted sum of
-kernels with landmarks, and so linear in the string's own subsequences: the
-landmarks fold into one weight for each triple of letters, which gives the same
-values in microseconds. A document counts by its strongest string, calibrated
-by a logistic curve on the labelled documents.
+Strings are words, and words written letter by letter. Nyström: they are mapped to
+their kernels with the landmarks, whitened. Landmarks are strings that are told
+apart from the other class by their documents, plain strings, and those plain
+strings that are most like the first.
+
+A linear SVM with squared hinge loss is trained on labelled sentences, of which
+each counts by its worst string: every sentence of a civil document is civil, and
+of a toxic document the worst sentence is toxic (the others are not judged). Which
+string is the worst follows from the model, so training goes in rounds: all sentences
+are read, those that do not keep their margin add their worst string to what is
+learnt from, and the SVM is solved again. What the SVM says of a string is linear in
+its subsequences: the landmarks fold into one weight for each triple of letters,
+which gives the same values in microseconds. A document counts by its worst
+sentences, calibrated by a logistic curve on the labelled documents.
 
 At most ``SAMPLE`` labelled documents of each class are learnt from (the ones
-whose ids hash lowest); everything is scored, in whole.
+whose ids hash lowest), with all their sentences; everything is scored, in whole.
 
-Defined results: null, empty and wordless texts score lowest, repeated rows
-score alike, a table without usable labels gives every document the score 0;
-an empty table gives no rows; other columns are ignored by ``score``.
+Defined results: null, empty and wordless texts score 0, repeated rows
+score alike, texts and runs of letters of any length count in whole, a table
+without usable labels gives every document the score 0; an empty table gives no
+rows; a null doc_id is scored, but has no label; other columns are ignored by
+``score`` and kept by ``keep_civil``.
 """
 
 from __future__ import annotations
@@ -41,13 +48,15 @@ from tesserae.llm.common import documents, settle
 
 #: Labelled documents of either class that are learnt from, at most.
 SAMPLE = 5000
-#: Words that are learnt from, at most: of the toxic class, of the other, and hard ones.
-POSITIVE, NEGATIVE, HARD = 1500, 4000, 1500
-LANDMARKS = 128
+#: Landmarks: telling strings, plain strings, and plain strings most like the telling ones.
+TELLING, PLAIN, HARD = 128, 64, 192
 DECAY = 0.7
-#: Letters in a string that is scored as one; longer runs are scored in overlapping windows.
+#: Letters in a string that counts as one; longer runs count as the overlapping windows that cover them.
 LONGEST = 24
+#: Strings that a task keeps with their values.
 MEMO = 300_000
+#: Partitions of the labelled sample, rounds of training, and Newton steps in each, at most.
+PARTS, ROUNDS, STEPS = 16, 3, 30
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßéèêçñíóáúàâîôû"
 #: Signs that stand in for letters.
@@ -59,13 +68,20 @@ EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 SINGLES = re.compile(r"(?<!\S)(?:\w[\W_]?\s+){3,}\w(?!\w)")
 
 
-def strings(text: str) -> set[str]:
-    """What a text is scored by: its words, and words written letter by letter."""
+#: Ends of sentences; signs within a word end none.
+ENDS = re.compile(r"(?<=[.!?;:])\s+|[\r\n]+")
+
+
+def sentences(text: str) -> list[list[str]]:
+    """The strings of each sentence, each once; a word written letter by letter is a sentence, too."""
     lower = text.lower()
-    out = set(lower.split())
-    for m in SINGLES.finditer(lower):
-        out.add("".join(m.group().split()))
-    return out
+    out = [list(dict.fromkeys(part.split())) for part in ENDS.split(lower)]
+    out += [["".join(m.group().split())] for m in SINGLES.finditer(lower)]
+    return [found for found in out if found]
+
+
+def strings(text: str) -> set[str]:
+    return set().union(*sentences(text))
 
 
 def _table() -> np.ndarray:
@@ -166,6 +182,61 @@ def trimmed(x: np.ndarray) -> np.ndarray:
     return x[:, : int(np.flatnonzero((x != GAP).any(axis=0)).max(initial=0)) + 1]
 
 
+class Landmarks:
+    """Normalised kernels with some strings: their triples in a table, a column for each string."""
+
+    def __init__(self, words: list[str]):
+        x = coded(words)
+        own = np.sqrt(kernel(x, x))
+        use = np.flatnonzero(own > 0)
+        found = [triples(x[i : i + 1]) for i in use]
+        codes = np.unique(np.concatenate([c[0] for c, _ in found])) if found else np.zeros(0, np.int64)
+        self.index = np.zeros(SYMBOLS**3, np.int32)
+        self.index[codes] = 1 + np.arange(len(codes))
+        self.table = np.zeros((1 + len(codes), len(use)), np.float32)
+        for column, (i, (code, weight)) in enumerate(zip(use, found, strict=True)):
+            np.add.at(self.table[:, column], self.index[code[0]], weight[0] / own[i])
+        self.words, self.own = [words[i] for i in use], own[use]
+
+    def similar(self, words: list[str]) -> np.ndarray:
+        """A row for each string, a column for each landmark."""
+        out = np.zeros((len(words), self.table.shape[1]), np.float32)
+        for at in range(0, len(words), 20_000):
+            x = coded(words[at : at + 20_000])
+            for rows in alike(x):
+                room = max(1, 40_000 // max(1, len(_choices(int((x[rows[0]] != GAP).sum()))[0])))
+                for a in range(0, len(rows), room):
+                    some = rows[a : a + room]
+                    part = trimmed(x[some])
+                    code, weight = triples(part)
+                    near = np.matmul(np.broadcast_to(weight, code.shape)[:, None, :].astype(np.float32), self.table[self.index[code]])[:, 0]
+                    out[at + some] = near / np.sqrt(kernel(part, part))[:, None]
+        return out
+
+    def whitening(self) -> np.ndarray:
+        """What makes the landmarks' own kernels the unit matrix (directions without weight left out)."""
+        values, vectors = np.linalg.eigh(self.similar(self.words).astype(float))
+        keep = values > 1e-5 * values.max()
+        return vectors[:, keep] / np.sqrt(values[keep])
+
+    def folded(self, alpha: np.ndarray) -> np.ndarray:
+        """The weight of each triple of letters in a sum of kernels with the landmarks."""
+        return (self.table @ alpha)[self.index]
+
+
+def apart(words: list[str], n: int) -> list[str]:
+    """Up to n of the words (the first of them, then in turn the one that those chosen are least like)."""
+    known, chosen = np.zeros(len(words)), []
+    while words and len(chosen) < n:
+        i = int(np.argmin(known))
+        if known[i] > 0.999:
+            break
+        chosen.append(words[i])
+        known = np.maximum(known, Landmarks([words[i]]).similar(words).max(axis=1, initial=0))
+        known[i] = 1
+    return chosen
+
+
 @dataclass(frozen=True)
 class Model:
     """A weight for each triple of letters, and the calibration; no weights: nothing was learnt."""
@@ -192,45 +263,51 @@ class Model:
         return np.maximum.reduceat(values, starts) if len(flat) else values
 
     def probability(self, value: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(value @ self.slope + self.shift, -500, 500)))
+        """Of documents by their ``_values``; 0 for texts without words."""
+        found = 1 / (1 + np.exp(-np.clip(value @ self.slope + self.shift, -500, 500)))
+        return np.where(value[:, 3] > 0, found, 0.0)
 
 
 #: Values below count as this.
 FLOOR = -3.0
 
 
-def _values(model: Model, texts: list[str], memo: dict[str, float]) -> np.ndarray:
-    """For each text the greatest and second greatest value of a string, and the sum of what is over 0 (of each, at most 1)."""
-    held = [strings(t) for t in texts]
+def _learn(model: Model, words: set[str], memo: dict[str, float]) -> None:
+    """Sees to it that the memo has these words."""
     if len(memo) > MEMO:
         memo.clear()
-    new = list(set().union(*held).difference(memo))
+    new = list(words.difference(memo))
     memo.update(zip(new, model.words(new).tolist(), strict=True))
-    out = np.full((len(texts), 3), FLOOR)
-    out[:, 2] = 0
+
+
+def _values(model: Model, texts: list[str], memo: dict[str, float]) -> np.ndarray:
+    """What a document counts by: the greatest and second greatest value of a string, then logarithms of the sum of what is
+    over 0 (of each string, at most 1) and of the number of strings (the greatest of many is greater)."""
+    held = [strings(t) for t in texts]
+    _learn(model, set().union(*held), memo)
+    out = np.zeros((len(texts), 4))
+    out[:, :2] = FLOOR
     for i, words in enumerate(held):
         if words:
             v = np.fromiter(map(memo.__getitem__, words), float, len(words))
             high = np.sort(np.partition(v, max(0, len(v) - 2))[-2:])
             out[i, : len(high)] = np.maximum(high[::-1], FLOOR)
-            out[i, 2] = np.clip(v, 0, 1).sum()
-    out[:, 2] = np.log1p(out[:, 2])
+            out[i, 2:] = np.clip(v, 0, 1).sum(), len(v)
+    out[:, 2:] = np.log1p(out[:, 2:])
     return out
 
 
-def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0) -> np.ndarray:
-    """Weights of a linear SVM, by Newton steps; the last column of x is the bias."""
-    w = np.zeros(x.shape[1])
-    ridge = np.eye(len(w))
-    ridge[-1, -1] = 1e-3
-    for _ in range(50):
-        active = y * (x @ w) < 1
-        xa = x[active] * weight[active, None]
-        step = np.linalg.solve(ridge + c * x[active].T @ xa, c * xa.T @ y[active])
-        if np.abs(step - w).max() < 1e-7:
-            break
-        w = step
-    return w
+def worst_strings(model: Model, text: str, toxic: int, memo: dict[str, float]) -> list[str]:
+    """Of a toxic text the worst string of all; of a civil one, that of each sentence without margin."""
+    said = sentences(text)
+    _learn(model, set().union(*said), memo)
+    tops = [(value, word) for value, word in (max((memo[w], w) for w in words) for words in said) if value > FLOOR or toxic]
+    chosen = [max(tops)] if toxic and tops else [t for t in tops if t[0] > -1 and not toxic]
+    out = []
+    for _, word in chosen:
+        parts = windows(word)
+        out.append(parts[0] if len(parts) == 1 else max(zip(model.words(parts).tolist(), parts, strict=True))[1])
+    return out
 
 
 def _logistic(value: np.ndarray, label: np.ndarray, rate: float) -> tuple[np.ndarray, float]:
@@ -250,54 +327,122 @@ def _logistic(value: np.ndarray, label: np.ndarray, rate: float) -> tuple[np.nda
     return w[:-1], float(w[-1])
 
 
-def _svm(positive: dict[str, int], negative: dict[str, int]) -> tuple[np.ndarray, float]:
-    """Triple weights and bias that tell the words apart; a word weighs as its number of documents."""
-    words = [EDGES.sub("", w)[:LONGEST] for w in [*positive, *negative]]
-    count = np.array([*positive.values(), *negative.values()], float)
-    x = coded(words)
-    own = np.sqrt(kernel(x, x))
-    use = (x != GAP).sum(axis=1) >= 4
-    y = np.r_[np.ones(len(positive)), -np.ones(len(negative))][use]
-    x, own, count = x[use], own[use], np.sqrt(count[use])
-
-    def against(i: int) -> np.ndarray:
-        return kernel(x, x[i : i + 1]) / (own * own[i])
-
-    # landmarks: of each class in turn, the word that those chosen so far explain least
-    chosen, columns, known = [], [], np.zeros(len(x))
-    for turn in range(LANDMARKS):
-        side = y > 0 if turn % 3 < 2 else y < 0
-        side = side & (known < 0.999)
-        if not side.any():
-            continue
-        i = int(np.flatnonzero(side)[np.argmin(known[side])])
-        chosen.append(i)
-        columns.append(against(i))
-        known = np.maximum(known, columns[-1])
-    k = np.stack(columns, axis=1)
-    values, vectors = np.linalg.eigh(k[chosen])
-    keep = values > 1e-6 * values.max()
-    white = vectors[:, keep] / np.sqrt(values[keep])
-    features = np.c_[k @ white, np.ones(len(k))]
-    weight = count * np.where(y > 0, 1 / count[y > 0].sum(), 1 / max(count[y < 0].sum(), 1)) * 2000
-    w = _squared_hinge(features, y, weight)
-    alpha = white @ w[:-1]
-    table = np.zeros(SYMBOLS**3)
-    for a, i in zip(alpha, chosen, strict=True):
-        code, part = triples(x[i : i + 1])
-        np.add.at(table, code[0], a * part[0] / own[i])  # one row of each
-    return table, float(w[-1])
+def newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hessian and right side of the squared hinge loss at w."""
+    active = y * (x @ w) < 1
+    x, y, weight = x[active].astype(float), y[active], weight[active, None]
+    return x.T @ (weight * x), (weight * x).T @ y
+
+
+def solved(sums, width: int) -> np.ndarray:
+    """Weights of the SVM by Newton steps over ``sums(w)``; the last is the bias."""
+    ridge = np.eye(width)
+    ridge[-1, -1] = 1e-3
+    w = np.zeros(width)
+    for _ in range(STEPS):
+        hessian, right = sums(w)
+        step = np.linalg.solve(ridge + hessian, right)
+        if np.abs(step - w).max() < 1e-6 * max(1.0, np.abs(step).max()):
+            break
+        w = step
+    return w
+
+
+#: Weight of all strings of a class against the ridge.
+COST = 2000.0
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from ``labels`` (doc_id, toxic 0 or 1) of ``docs``."""
-    marks = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    share = marks.agg(F.avg("toxic")).head()[0] or 0.0
+    marked = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    share = marked.agg(F.avg("toxic")).head()[0] or 0.0
     order = [F.xxhash64("id"), F.col("id")]
-    sample = marks.where("toxic = 1").orderBy(*order).limit(SAMPLE).union(marks.where("toxic = 0").orderBy(*order).limit(SAMPLE))
+    sample = marked.where("toxic = 1").orderBy(*order).limit(SAMPLE).union(marked.where("toxic = 0").orderBy(*order).limit(SAMPLE))
     sample = settle(sample, "sample")  # at most 2 * SAMPLE rows
     rows = documents(docs)
-    known = settle(rows.join(F.broadcast(sample), rows["doc_id"] == sample["id"]).select("toxic", "text").distinct(), "labelled")
+    known = settle(rows.join(F.broadcast(sample), rows["doc_id"] == sample["id"]).select("toxic", "text").distinct().repartition(PARTS), "labelled")
+    n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(n) < 2:
+        return Model(None)
+    telling, others = _landmarks(known, n)
+    if not telling or not others:
+        return Model(None)
+    marks = Landmarks(telling + others)
+    white = marks.whitening()
+    width = white.shape[1] + 1
+    # before anything is learnt: the sum of kernels that holds the landmarks themselves apart
+    sides = np.where(np.arange(len(marks.words)) < len(telling), 1.0, -1.0)
+    alpha = np.linalg.solve(marks.similar(marks.words) + 0.1 * np.eye(len(sides)), sides)
+    model, civil = Model(marks.folded(alpha)), None
+    for _ in range(ROUNDS):
+        found = settle(_mined(known, model), "mined")
+        toxic = found.where("toxic = 1")  # judged anew in each round
+        new = found.where("toxic = 0")
+        if civil is not None:
+            new = new.join(civil.select("word"), "word", "left_anti")
+        new = settle(_mapped(new, marks, white), "mapped")
+        if civil is not None and new.isEmpty():
+            break
+        civil = new if civil is None else civil.unionByName(new)
+        model = _trained(civil.unionByName(settle(_mapped(toxic, marks, white), "mapped")), marks, white, width)
+
+    def valued(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict[str, float] = {}
+        for batch in batches:
+            yield pd.DataFrame(_values(model, batch["text"].tolist(), memo), columns=list("abcd")).assign(toxic=batch["toxic"].tolist())
+
+    found = known.mapInPandas(valued, ", ".join(f"{c} double" for c in "abcd") + ", toxic int").toPandas()  # a few numbers for each document of the sample
+    slope, shift = _logistic(found[list("abcd")].to_numpy(), found["toxic"].to_numpy(), share)
+    return Model(model.weights, model.bias, slope, shift)
+
+
+def _mined(known: DataFrame, model: Model) -> DataFrame:
+    """word, toxic and n: the worst strings of the labelled sentences, and of how many."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict[str, float] = {}
+        for batch in batches:
+            out = [(word, toxic) for text, toxic in zip(batch["text"], batch["toxic"], strict=True) for word in worst_strings(model, text, toxic, memo)]
+            yield pd.DataFrame(out, columns=["word", "toxic"])
+
+    return known.mapInPandas(run, "word string, toxic int").groupBy("word", "toxic").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _mapped(words: DataFrame, marks: Landmarks, white: np.ndarray) -> DataFrame:
+    """The strings with their whitened kernels (32-bit numbers)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(map=[row.tobytes() for row in (marks.similar(batch["word"].tolist()) @ white).astype(np.float32)])
+
+    return words.mapInPandas(run, "word string, toxic int, n long, map binary")
+
+
+def _trained(held: DataFrame, marks: Landmarks, white: np.ndarray, width: int) -> Model:
+    """The SVM of these strings; a string weighs as the number of its sentences."""
+    total = {r["toxic"]: r["n"] for r in held.groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
+
+    def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            hessian, right = np.zeros((width, width)), np.zeros(width)
+            for batch in batches:
+                if len(batch):
+                    x = np.frombuffer(b"".join(batch["map"]), np.float32).reshape(-1, width - 1)
+                    weight = COST * batch["n"].to_numpy(float) / batch["toxic"].map(total).to_numpy(float)
+                    h, r = newton(np.c_[x, np.ones(len(x), np.float32)], 2.0 * batch["toxic"].to_numpy() - 1, weight, w)
+                    hessian, right = hessian + h, right + r
+            yield pd.DataFrame({"found": [np.append(hessian.ravel(), right).tobytes()]})
+
+        parts = held.select("toxic", "n", "map").coalesce(PARTS).mapInPandas(run, "found binary").collect()  # a row of a fixed size for each of a few partitions
+        found = np.sum([np.frombuffer(r["found"]) for r in parts], axis=0)
+        return found[: width * width].reshape(width, width), found[width * width :]
+
+    w = solved(sums, width)
+    return Model(marks.folded(white @ w[:-1]), float(w[-1]))
+
+
+def _landmarks(known: DataFrame, n: dict[int, int]) -> tuple[list[str], list[str]]:
+    """Telling strings, and others: plain ones and those most like the telling ones. ``n`` counts the documents of each class."""
 
     def spelt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -305,12 +450,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
                 doc, around = zlib.crc32(text.encode()), ["", *text.lower().split(), ""]
                 places = {w: f"{around[i - 1]} {around[i + 1]}" for i, w in enumerate(around[1:-1], 1)}
-                out += [(EDGES.sub("", s)[: 2 * LONGEST], toxic, doc, zlib.crc32(places.get(s, "").encode())) for s in strings(text)]
+                out += [(v, toxic, doc, zlib.crc32(places.get(s, "").encode())) for s in strings(text) for v in windows(s)]
             yield pd.DataFrame(out, columns=["word", "toxic", "doc", "place"])
 
-    n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(n) < 2:
-        return Model(None)
     seen = known.mapInPandas(spelt, "word string, toxic int, doc long, place long").where(F.length("word") > 2)
     # near copies of a document have a word between the same neighbours: they are one witness
     of = lambda toxic, what: F.count_distinct(F.when(F.col("toxic") == toxic, F.col(what)))
@@ -318,32 +460,22 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     words = settle(words.withColumn("odds", F.log((F.col("t") + 0.5) / n[1]) - F.log((F.col("c") + 0.5) / n[0])), "words")
     rate = n[1] / (n[0] + n[1])
     surprise = lambda k, share: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (F.lit(share) * (F.col("t") + F.col("c"))))).otherwise(0.0)
-    telling = words.withColumn("g", 2 * (surprise("t", rate) + surprise("c", 1 - rate))).where((F.col("odds") > np.log(8.0)) & (F.col("t") > 1))
+    strange = words.withColumn("g", 2 * (surprise("t", rate) + surprise("c", 1 - rate))).where((F.col("odds") > np.log(8.0)) & (F.col("t") > 1))
     least = 2 * np.log(max(2, words.count())) + 4  # so that chance is not likely to tell one word of so many
-    positive = {r["word"]: r["t"] for r in telling.where(F.col("g") > least).orderBy(F.desc("g"), "word").limit(POSITIVE).collect()}
-    negative = {r["word"]: r["c"] for r in words.where("c > 0 and odds < 0").orderBy(F.xxhash64("word"), "word").limit(NEGATIVE).collect()}
-    if not positive or not negative:
-        return Model(None)
-    table, bias = _svm(positive, negative)
-    first = Model(table, bias)
-
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(value=first.words(batch["word"].tolist()))
-
-    clean = words.where((F.col("c") > 0) & (F.col("odds") < np.log(4.0))).select("word", "c")
-    hard = {r["word"]: r["c"] for r in clean.mapInPandas(scored, "word string, c long, value double").orderBy(F.desc("value"), "word").limit(HARD).collect()}
-    table, bias = _svm(positive, negative | hard)
-    second = Model(table, bias)
+    top = lambda df, by, k: [r["word"] for r in df.orderBy(by, "word").limit(4 * k).collect()]
+    telling = apart(top(strange.where(F.col("g") > least), F.desc("g"), TELLING), TELLING)
+    if not telling:
+        return [], []
+    near = Landmarks(telling)
 
-    def valued(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, float] = {}
+    def liked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame(_values(second, batch["text"].tolist(), memo), columns=["a", "b", "c"]).assign(toxic=batch["toxic"])
+            yield pd.DataFrame({"word": batch["word"], "value": near.similar(batch["word"].tolist()).max(axis=1, initial=0)})
 
-    found = known.mapInPandas(valued, "a double, b double, c double, toxic int").toPandas()  # a few numbers for each document of the sample
-    slope, shift = _logistic(found[["a", "b", "c"]].to_numpy(), found["toxic"].to_numpy(), share)
-    return Model(table, bias, slope, shift)
+    clean = words.where((F.col("c") > 0) & (F.col("odds") < np.log(4.0))).select("word")
+    hard = apart(top(clean.mapInPandas(liked, "word string, value double"), F.desc("value"), HARD), HARD)
+    plain = apart(top(words.where("c > 0 and odds < 0"), F.xxhash64("word"), PLAIN), PLAIN)
+    return telling, [w for w in dict.fromkeys([*hard, *plain]) if w not in set(telling)]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
