@@ -8,13 +8,16 @@ reread and not a recomputation of everything before.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
+_settled: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of the cluster. Only where none is named (tests) is one made here."""
+    """The shared folder of the cluster. Only where none is named and all runs on this machine (tests) is one made here."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="tesserae-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -41,7 +47,16 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows to the shared folder and reads them back: a plan without a past."""
     spark, path = df.sparkSession, folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _settled[out] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes settled tables that nothing reads any more."""
+    for df in tables:
+        if path := _settled.pop(df, None):
+            remove(df.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -73,11 +88,15 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
 ROWS = 1000
 
 
+def small_batches(spark: SparkSession) -> None:
+    """For applications (the queries and the pipeline), which own their session; operators leave it as it is."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(ROWS))
+
+
 def documents(df: DataFrame, *more: str) -> DataFrame:
     """doc_id (long) and text (null: empty), with ``more`` columns kept."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(key) == "10000":
-        conf.set(key, str(ROWS))
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
@@ -105,14 +124,16 @@ def bucket(key: str, at: list[int]) -> Column:
 def numbered(df: DataFrame, group: list[str], order: list[str], name: str, rows: int) -> DataFrame:
     """Adds the gapless number of each row within its group, from 0.
 
-    A group may hold most rows, so rows are numbered within hash buckets of
-    their group, and each bucket starts where those before it end. Groups are
-    not null. ``rows``,
-    the number of all rows, sets how many buckets there are. Ties in ``order``
-    fall to any of the tied rows.
+    A group may hold most rows, and most rows may be alike, so rows are numbered
+    within buckets of their group (by hash of the order and, for rows that are
+    alike, by where they come from), and each bucket starts where those before it
+    end. Groups are not null. ``rows``, the number of all rows, sets how many buckets
+    there are. Ties in ``order`` fall to any of the tied rows; the buckets are
+    written before they are counted, so a lost executor changes none.
     """
     n = max(64, -(-rows // 100_000))
-    dealt = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(n)))
+    come = F.shiftright(F.monotonically_increasing_id(), 10)  # a thousand rows of a partition
+    dealt = settle(df.withColumn("_b", F.pmod(F.xxhash64(*order, come), F.lit(n))), "dealt")
     sizes = dealt.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

@@ -7,7 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import bpe, digest, packing, pii, sharding, simhash, store, toolcalls, toxicity, vafile
-from tesserae.llm.common import folder, table
+from tesserae.llm import common
+from tesserae.llm.common import folder
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    common.small_batches(spark)
+    return common.table(spark, sf_dir, name)
+
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")

@@ -124,6 +124,32 @@ def test_byte_ids_equal_the_library(text):
     assert packing.byte_ids(text, queries.BYTE_BPE, queries.BYTE_RANKS) == BYTE.encode(text, add_special_tokens=False).ids
 
 
+#: Letters of many scripts, marks, digits, blanks, apostrophes and what may be a special token.
+MIXED = st.one_of(st.text(max_size=60), st.lists(st.sampled_from([*"aZäßéñÇ'’ .,;:!?-_0123456789½²ªº\n\t\r\x0b\x0c\x1c\x85\xa0\u2028\u200b日本👍🏽\u0301", "'s", "'LL", "don't", "<|endoftext|>", "<|startoftext|>", "the ", " and", "  "]), max_size=40).map("".join))
+
+
+@settings(max_examples=400, deadline=None)
+@given(MIXED)
+def test_byte_ids_equal_the_library_on_any_text(text):
+    assert packing.byte_ids(text, queries.BYTE_BPE, queries.BYTE_RANKS) == BYTE.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=400, deadline=None)
+@given(MIXED)
+def test_word_ids_equal_the_library_on_any_text(text):
+    coder = store.word_ids(queries.WORD_BPE)
+    assert np.frombuffer(coder.encode(text), coder.dtype).tolist() == WORD.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_of_the_driver_texts_equal_the_library(small):
+    import pandas as pd
+
+    coder = store.word_ids(queries.WORD_BPE)
+    for text in pd.read_parquet(f"{small}/documents.parquet")["text"].fillna(""):
+        assert np.frombuffer(coder.encode(text), coder.dtype).tolist() == WORD.encode(text, add_special_tokens=False).ids
+        assert packing.byte_ids(text, queries.BYTE_BPE, queries.BYTE_RANKS) == BYTE.encode(text, add_special_tokens=False).ids
+
+
 def least_capacity(sizes, shards):
     def need(c):
         n, fill = 1, 0
@@ -153,6 +179,28 @@ def test_minimax_cuts_are_least(spark, monkeypatch, seed):
     edges = [places[0], *starts, places[-1] + 1]
     loads = [sum(s for p, s in zip(places, sizes, strict=True) if a <= p < b) for a, b in zip(edges, edges[1:], strict=False)]
     assert len(loads) <= 5 and max(loads) <= capacity
+    assert sorted(x for x in loads if x) == sorted(x for x in even_loads(sizes, capacity, 5) if x)
+
+
+def even_loads(sizes, capacity, shards):
+    """Loads where each cut is the group end nearest to its share that walks from both sides reach."""
+    ends = [0]
+    for x in sizes:
+        ends.append(ends[-1] + x)
+    total, reach = ends[-1], [ends[-1]]
+    for _ in range(shards):
+        reach.append(min(e for e in ends if e >= reach[-1] - capacity))
+    cuts = [0]
+    for i in range(1, shards):
+        open_ = [e for e in ends if max(cuts[-1], reach[shards - i]) <= e <= cuts[-1] + capacity]
+        cuts.append(min(open_, key=lambda e: (abs(e - total * i // shards), e)))
+    return [b - a for a, b in zip(cuts, [*cuts[1:], total], strict=True)]
+
+
+def test_shards_of_the_driver_texts_are_of_like_size(spark, small):
+    rows = queries.QUERIES["op3_minimax_shards"](spark, small).groupBy("shard").sum("size").collect()
+    loads = [r["sum(size)"] for r in rows]
+    assert len(loads) == 24 and min(loads) > 0.6 * np.mean(loads)
 
 
 def test_sharding_on_awkward_rows(spark):
@@ -356,6 +404,65 @@ def test_a_damaged_chunk_is_found(spark, tmp_path):
         store.catalogue(spark, bad).collect()
 
 
+def tampered(spark, tmp_path, change):
+    """A store, and the same with its rows changed."""
+    whole, bad = str(tmp_path / "whole"), str(tmp_path / "bad")
+    store.write(awkward(spark), whole, queries.WORD_BPE)
+    change(spark.read.schema(store.COLUMNS).parquet(whole)).write.partitionBy("kind").parquet(bad)
+    return bad
+
+
+def _gone(rows):
+    lost = rows.where("kind = 'chunk'").selectExpr("min(digest) as d").head()["d"]
+    return rows.where((rows["kind"] != "chunk") | (rows["digest"] != lost))
+
+
+def _cut(rows):
+    from pyspark.sql import functions as F
+
+    return rows.withColumn("digests", F.when(F.octet_length("digests") > 32, F.expr("substring(digests, 33)")).otherwise(F.col("digests"))).withColumn("lengths", F.when(F.octet_length("lengths") > 4, F.expr("substring(lengths, 5)")).otherwise(F.col("lengths")))
+
+
+def _swapped(rows):
+    from pyspark.sql import functions as F
+
+    return rows.withColumn("doc_id", F.when(F.col("doc_id") == 4, F.lit(6)).when(F.col("doc_id") == 6, F.lit(4)).otherwise(F.col("doc_id")))
+
+
+def _missing(rows):
+    return rows.where("kind <> 'recipe' or doc_id is null or doc_id <> 5")
+
+
+def _moved(rows):
+    from pyspark.sql import functions as F
+
+    return rows.withColumn("before", F.when(F.col("doc_id") == 6, F.col("before") + 1).otherwise(F.col("before")))
+
+
+@pytest.mark.parametrize("change", [_gone, _cut, _swapped, _missing, _moved])
+def test_a_store_that_was_tampered_with_is_not_read(spark, tmp_path, change):
+    bad = tampered(spark, tmp_path, change)
+    for use in (store.catalogue, store.read):
+        with pytest.raises(Exception, match="does not agree|is missing|do not agree"):
+            use(spark, bad).collect()
+    if change is not _gone and change is not _cut:
+        assert store.verify(spark, bad).count() > 0
+
+
+def plain_tree(leaves):
+    level = list(leaves) or [hashlib.sha256(b"").digest()]
+    while len(level) > 1:
+        pairs = [level[i : i + 2] for i in range(0, len(level), 2)]
+        level = [hashlib.sha256(b"\x01" + b"".join(p)).digest() if len(p) == 2 else p[0] for p in pairs]
+    return level[0]
+
+
+def test_roots_are_those_of_a_plain_tree():
+    for n in range(40):
+        leaves = [hashlib.sha256(bytes([i])).digest() for i in range(n)]
+        assert store.merkle(leaves) == plain_tree(leaves)
+
+
 def test_cut_points_follow_the_content():
     ids = np.random.default_rng(0).integers(0, 40_000, 20_000).astype(np.uint16)
     a, b = store.cut_points(ids), store.cut_points(np.concatenate([ids[:17], ids[5_000:]]))
