@@ -14,12 +14,14 @@ COORDINATE = r"\b(?:uv|p|texCoord|coord)\b"
 def analysed(rows: DataFrame, code: str = "code", scene: Column | None = None) -> DataFrame:
     """Adds asset_type, effects, components, techniques, use_cases, properties, uniforms and valid."""
     text = F.regexp_replace(F.col(code), r"/\*[\s\S]*?\*/|//[^\n]*", " ")
-    rows = rows.withColumn("_text", text)
+    # arrays of one, exploded: else every rule below would read the source again
+    rows = rows.withColumn("_text", F.explode(F.array(text)))
     text = F.col("_text")
     calls = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b([A-Za-z_]\w{0,79})\s*\("), F.lit(1)))
     samples = F.regexp_extract_all(text, F.lit(r"\bget(?:From|To)Color\s*\(([^;\n]{1,300})"), F.lit(1))
     uniforms = F.slice(F.regexp_extract_all(text, F.lit(r"\buniform\s+(?:float|int|bool|vec[234]|ivec[234]|mat[234]|sampler2D)\s+([A-Za-z_]\w{0,79})\s*;"), F.lit(1)), 1, 64)
-    rows = rows.withColumn("_calls", calls).withColumn("_samples", samples).withColumn("uniforms", uniforms)
+    found = F.struct(calls.alias("calls"), samples.alias("samples"), uniforms.alias("uniforms"))
+    rows = rows.withColumn("_found", F.explode(F.array(found))).withColumns({"_calls": F.col("_found.calls"), "_samples": F.col("_found.samples"), "uniforms": F.col("_found.uniforms")}).drop("_found")
     c = F.col("_calls")
     calls_any = lambda *names: F.arrays_overlap(c, F.array(*(F.lit(n) for n in names)))
     calls_all = lambda *names: F.size(F.array_intersect(c, F.array(*(F.lit(n) for n in names)))) == len(names)
