@@ -17,6 +17,11 @@ def bodies(rows: DataFrame) -> DataFrame:
     return groups(rows, "id", F.sha2("code", 256))
 
 
+def link(url: Column) -> Column:
+    """What two addresses must agree in to be one link."""
+    return urls.normalized_url(url)
+
+
 def references(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Same link and card, and same link with several cards."""
     keyed = rows.select("id", urls.normalized_url(F.col("sourceUrl")).alias("url"), F.coalesce("sourceCardId", F.lit("")).alias("card"))

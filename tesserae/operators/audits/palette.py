@@ -57,19 +57,35 @@ def subset_pairs(good: DataFrame) -> DataFrame:
 
 
 def near_cells(good: DataFrame) -> DataFrame:
-    """Pairs (a_*, b_*, a_id < b_id) of one size whose centroids pass the bound over both grounds."""
+    """Pairs (a_id < b_id, with unordered of both) of one size whose centroids pass the bound over both grounds.
+
+    Only centroids meet; colours are fetched for what is left.
+    """
     cell = lambda i: F.floor(F.get("centroid", F.lit(i)) / CELL)
-    base = good.select("id", "unordered", "vectors", "centroid", F.size("vectors").alias("size"), *(cell(i).alias(f"c{i}") for i in range(3)))
-    left = base.select(*(F.col(c).alias(f"a_{c}") if c in ("id", "unordered", "vectors", "centroid") else F.col(c) for c in base.columns))
+    kept = ("id", "unordered", "centroid")
+    base = good.select(*kept, F.size("vectors").alias("size"), *(cell(i).alias(f"c{i}") for i in range(3)))
+    left = base.select(*(F.col(c).alias(f"a_{c}") if c in kept else F.col(c) for c in base.columns))
     steps = F.array(*(F.struct(*(F.lit(d).alias(f"d{i}") for i, d in enumerate(ds))) for ds in product((-1, 0, 1), repeat=3)))
-    right = base.withColumn("d", F.explode(steps)).select(*(F.col(c).alias(f"b_{c}") for c in ("id", "unordered", "vectors", "centroid")), "size", *((F.col(f"c{i}") + F.col(f"d.d{i}")).alias(f"c{i}") for i in range(3)))
+    right = base.withColumn("d", F.explode(steps)).select(*(F.col(c).alias(f"b_{c}") for c in kept), "size", *((F.col(f"c{i}") + F.col(f"d.d{i}")).alias(f"c{i}") for i in range(3)))
     bound = [reduce(lambda x, y: x + y, [(F.col("a_centroid")[i] - F.col("b_centroid")[i]) ** 2 for i in range(at, at + 3)]) <= 1.0 + 1e-12 for at in (0, 3)]
     return left.join(right, ["size", "c0", "c1", "c2"]).where((F.col("a_id") < F.col("b_id")) & bound[0] & bound[1])
 
 
 def classified(good: DataFrame) -> DataFrame:
     """a_id, b_id, relation (near, candidate-reversed, candidate-matched), mean, most for pairs that are not permutations."""
-    pairs = near_cells(good).where("a_unordered <> b_unordered")
+    # equal lists are one: the least id stands for them, and its findings are theirs
+    firsts = good.groupBy("ordered").agg(F.min("id").alias("id"))
+    held = good.join(firsts.select("id"), "id", "left_semi")
+    met = near_cells(held).where("a_unordered <> b_unordered").select("a_id", "b_id")
+    lists = lambda p: held.select(F.col("id").alias(f"{p}_id"), F.col("vectors").alias(f"{p}_vectors"))
+    found = _classified(met.join(lists("a"), "a_id").join(lists("b"), "b_id"))
+    named = good.select("id", "ordered").join(firsts.withColumnRenamed("id", "first_id"), "ordered").select("first_id", "id")
+    whose = lambda p: named.select(F.col("first_id").alias(f"{p}_id"), F.col("id").alias(f"{p}_own"))
+    every = found.join(whose("a"), "a_id").join(whose("b"), "b_id")
+    return every.select(F.least("a_own", "b_own").alias("a_id"), F.greatest("a_own", "b_own").alias("b_id"), "relation", "mean", "most")
+
+
+def _classified(pairs: DataFrame) -> DataFrame:
     straight = C.distances(F.col("a_vectors"), F.col("b_vectors"))
     turned = C.distances(F.col("a_vectors"), F.reverse("b_vectors"))
     nearest = F.transform("a_vectors", lambda a: F.array_min(F.transform("b_vectors", lambda b: C.worst_distance(a, b))))
@@ -81,6 +97,43 @@ def classified(good: DataFrame) -> DataFrame:
     return ordered.unionByName(matched.where("mean <= 1.0 and most <= 2.0"))
 
 
+def size_families(palettes: DataFrame) -> DataFrame:
+    """source, name, ids, sizes, shared of palettes (id, colors, source, name) that their authors give in several sizes under one name.
+
+    Shared colours are those that each of them has.
+    """
+    good, _ = prepared(palettes)
+    rows = good.select("id", "colors").join(palettes.select("id", "source", "name"), "id").where("source is not null and name is not null")
+    groups = rows.groupBy("source", "name").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.sort_array(F.collect_set(F.size("colors"))).alias("sizes"), F.count(F.lit(1)).alias("n"))
+    each = rows.select("source", "name", F.explode(F.array_distinct("colors")).alias("c")).groupBy("source", "name", "c").agg(F.count(F.lit(1)).alias("k"))
+    common = each.join(groups.select("source", "name", "n"), ["source", "name"]).where("k = n").groupBy("source", "name").agg(F.sort_array(F.collect_list("c")).alias("shared"))
+    several = groups.where(F.size("sizes") > 1).join(common, ["source", "name"], "left")
+    return several.select("source", "name", "ids", "sizes", F.coalesce("shared", F.array().cast("array<string>")).alias("shared"))
+
+
+#: What a pair of palettes can be, in the order in which it is asked.
+CLASSES = ("exact", "reordered", "near", "candidate-reversed", "candidate-matched", "subset", "different")
+
+
+def pair_classes(good: DataFrame) -> DataFrame:
+    """relation, n over all pairs of palettes, each counted once, with 0 for what there is none of.
+
+    Nothing is paired for it: equal and reordered pairs follow from the sizes of
+    their classes, and different ones are what the others leave.
+    """
+    twos = lambda by: good.groupBy(by).agg(F.expr("count(1) * (count(1) - 1) div 2").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    count = lambda df: df.agg(F.count(F.lit(1)).alias("n"))
+    named = lambda df, name: df.select(F.lit(name).alias("relation"), "n")
+    all_ = good.agg(F.expr("count(1) * (count(1) - 1) div 2").alias("n"))
+    found = classified(good).groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+    rows = named(twos("ordered"), "exact").unionByName(named(twos("unordered"), "unordered")).unionByName(found).unionByName(named(count(subset_pairs(good)), "subset")).unionByName(named(all_, "all"))
+    n = lambda name: F.coalesce(F.sum(F.when(F.col("relation") == name, F.col("n"))), F.lit(0))
+    known = {"exact": n("exact"), "reordered": n("unordered") - n("exact")} | {c: n(c) for c in CLASSES[2:-1]}
+    rest = n("all") - n("unordered") - n("near") - n("candidate-reversed") - n("candidate-matched") - n("subset")
+    one = rows.agg(*(v.alias(k) for k, v in known.items()), rest.alias("different"))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("relation"), F.col(f"`{c}`").alias("n")) for c in CLASSES))).alias("r")).select("r.*")
+
+
 def coverage(good: DataFrame, errors: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row: palettes, errors, the pair universe, pairs by relation (0 where there are none)."""
     n = good.agg(F.count(F.lit(1)).alias("palettes")).withColumn("pairs", F.expr("palettes * (palettes - 1) div 2"))
