@@ -5,12 +5,14 @@ from __future__ import annotations
 import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae import vocab
 from tesserae.functions import text as T
-from tesserae.operators import analysis, consolidate, dedup, search, stats, validate
+from tesserae.functions import urls
+from tesserae.operators import analysis, consolidate, dedup, exports, integrity, search, stats, validate
+from tesserae.operators import reviews as human
 from tesserae.sources import scans, sinks
 
 
@@ -29,46 +31,87 @@ def index_tokens(parents: DataFrame) -> DataFrame:
     return parents.select("id", F.concat(*folded).alias("tokens"))
 
 
-def build(base: list[tuple[str, DataFrame]], waves: list[tuple[str, DataFrame]] = (), policy: DataFrame | None = None, removed: DataFrame | None = None) -> dict[str, DataFrame]:
+def record_digest(items: DataFrame) -> Column:
+    """The digest of what was collected of a record: its own columns in order of their names, those without a value, too."""
+    names = sorted(c for c in validate_columns() if c in items.columns)
+    return F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256)
+
+
+def build(
+    base: list[tuple[str, DataFrame]], waves: list[tuple[str, DataFrame]] = (), policy: DataFrame | None = None, removed: DataFrame | None = None,
+    repairs: DataFrame | None = None, reviews: DataFrame | None = None, receipts: str | None = None,
+) -> dict[str, DataFrame]:
     """All parts of a catalog. Inputs have the columns of ``validate.ITEM`` and row_order; errors stop the build.
 
     Base inputs are de-duplicated by id and by link and title; waves by content
-    only, since several of their records may share a page and a title.
+    only, since several of their records may share a page and a title. ``removed``
+    (id, source_sha256, reason, status, verified_at) takes out links that cannot be
+    reached, ``repairs`` gives new values to canonical records of component groups,
+    ``reviews`` (id, review as JSON) classifies every link. All are bound by digest to
+    what they speak of. ``receipts`` is the folder with the originals and notices
+    that the records of waves name.
     """
     rows = dedup.ordered_union(base, "row_order")
     valid, _ = validate.validated(rows, strict=True)
     valid = valid.withColumn("_at", F.col("input_order") * F.lit(1 << 40) + F.col("row_order"))
     kept = dedup.deduplicate(valid, "_at").drop("_at")
+    gone = None
     if removed is not None:
+        pinned = kept.select("id", "kind", "sourceUrl", record_digest(kept).alias("record_sha"))
+        _stop(human.removal_faults(removed, pinned), "removal")
+        gone = pinned.join(removed.select("id"), "id", "left_semi")
         kept = kept.join(removed.select("id"), "id", "left_anti")
     print_of = dedup.fingerprint(F.col("kind"), F.col("language"), F.col("code"), F.col("colors"), F.col("image.sha256"))
     kept = kept.withColumn("fingerprint", print_of)
     accepted = None
     if waves:
-        more, _ = validate.validated(dedup.ordered_union(list(waves), "row_order").withColumn("input_order", F.col("input_order") + len(base)), strict=True)
+        every = dedup.ordered_union(list(waves), "row_order")
+        if receipts is not None:
+            _stop(human.receipt_faults(every, receipts), "receipt")
+        more, _ = validate.validated(every.withColumn("input_order", F.col("input_order") + len(base)), strict=True)
         if twice := dedup.collisions(kept, more).head():
             raise validate.RecordError(f"{twice['id']}: an id of two inputs")
         accepted, excluded, counts = dedup.merge(kept, more.withColumn("fingerprint", print_of))
         kept = kept.unionByName(accepted.select(kept.columns))
-    items = analysis.analysed_items(kept.drop("fingerprint", "input_name"))
+    items = analysis.analysed_items(kept.drop("fingerprint", "input_name", "receipt"))
     items = items.withColumn("pos", F.col("input_order") * F.lit(1 << 40) + F.col("row_order")).drop("input_order", "row_order")
-    items = items.withColumn("code_sha", F.sha2(F.coalesce("code", F.lit("")), 256)).withColumn("record_sha", F.sha2(F.to_json(F.struct(*sorted(c for c in validate_columns() if c in items.columns))), 256))
+    items = items.withColumn("code_sha", F.sha2(F.coalesce("code", F.lit("")), 256)).withColumn("record_sha", record_digest(items))
     if policy is None:
         policy = items.sparkSession.createDataFrame([], "group string, member string, mode string, code_sha string, record_sha string")
-    parents, aliases = consolidate.apply(items, policy)
-    out = {"items": parents, "aliases": aliases}
+    if repairs is not None:
+        _stop(consolidate.unused_repairs(policy, repairs), "repair")
+    parents, aliases = consolidate.apply(items, policy, repairs)
+    if reviews is not None:
+        _stop(human.bound(reviews, parents), "review")
+        _stop(human.uncovered(reviews, parents).select("id", F.lit("not one review").alias("fault")), "review")
+        parents = human.annotated(parents, reviews)
+    out = {"items": parents, "aliases": aliases, "originals": items.select("id", "kind", "sourceUrl", "sourceName", "code_sha", "record_sha")}
+    if gone is not None:
+        out["gone"] = gone.select("id", "sourceUrl")
     if accepted is not None:
         out |= {"excluded": excluded, "wave_counts": counts}
     return out
 
 
-def derived(parents: DataFrame) -> dict[str, DataFrame]:
-    """The parts that follow from the entries."""
+def _stop(faults: DataFrame, what: str) -> None:
+    """Raises what the first faults say."""
+    if found := faults.limit(5).collect():
+        raise validate.RecordError("; ".join(f"{what} {': '.join(str(v) for v in r)}" for r in found))
+
+
+def derived(parents: DataFrame, originals: DataFrame | None = None, gone: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The parts that follow from the entries; ``originals`` are all records before consolidation, ``gone`` the links taken out."""
     tokens = index_tokens(parents)
     index = search.Index.build(tokens, "id", F.col("tokens"))
     facets = stats.facet_counts(parents, {n: F.col(n) for n in ("category", "kind", "license", "asset_type", "basis", "domain")}, {n: F.col(n) for n in ("effects", "components", "techniques", "use_cases")})
     totals = parents.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("kind") != "reference").alias("stored"), F.coalesce(F.sum("variant_count"), F.lit(0)).alias("variants"), F.max(F.substring("verifiedAt", 1, 10)).alias("updated_at"))
     sources = dedup.source_registry(parents, "sourceUrl", ["pos"]).select("source_id", "project", "sourceName", "records")
+    if originals is not None:  # providers of variants, too: another one's record may be canonical
+        others = dedup.source_registry(originals, "sourceUrl", ["id"]).select("source_id", "project", "sourceName", F.lit(0).cast("long").alias("records"))
+        sources = sources.unionByName(others.join(sources, "source_id", "left_anti"))
+    if gone is not None and originals is not None:
+        lost = gone.select(urls.project_url(F.col("sourceUrl")).alias("project")).join(originals.select(urls.project_url(F.col("sourceUrl")).alias("project")), "project", "left_anti")
+        sources = sources.join(lost, "project", "left_anti")
     return {"facets": facets, "totals": totals, "sources": sources, "postings": index.postings.repartitionByRange("term").sortWithinPartitions("term", "doc"), "lengths": index.lengths}
 
 
@@ -82,7 +125,8 @@ def publish(parts: dict[str, DataFrame], path: str, version: str | None = None)
     spark = parts["items"].sparkSession
     for name, df in parts.items():
         df.write.mode("overwrite").parquet(f"{path}/{version}/{name}")
-    sinks.publish(derived(spark.read.parquet(f"{path}/{version}/items")), path, version)
+    back = {name: spark.read.parquet(f"{path}/{version}/{name}") for name in parts}
+    sinks.publish(derived(back["items"], back.get("originals"), back.get("gone")), path, version)
     return version
 
 
@@ -142,17 +186,74 @@ class Catalog:
 
     def verify(self) -> DataFrame:
         """check, faults: how much speaks against each of the bundle's promises."""
-        from tesserae.operators import integrity
+        rows = [df.agg(F.count(F.lit(1)).alias("faults")).select(F.lit(name).alias("check"), "faults") for name, df in self._checks().items()]
+        return reduce(DataFrame.unionByName, rows)
+
+    def _there(self, name: str) -> bool:
+        try:
+            self.part(name)
+        except scans.Unavailable:
+            return False
+        return True
 
-        items, aliases = self.part("items"), self.part("aliases")
+    def _checks(self) -> dict[str, DataFrame]:
+        items, aliases, lengths, facets = (self.part(n) for n in ("items", "aliases", "lengths", "facets"))
         originals = consolidate.originals(items)
-        tests = {
+        grouped = items.where("variants is not null")
+        own = F.transform("variants", lambda v: v["id"])
+        each = grouped.select(F.col("id").alias("parent"), "mode", F.posexplode("variants").alias("at", "v")).select("parent", "mode", "at", "v.*")
+        role = F.when((F.col("mode") == "component") & (F.col("id") != F.col("parent")), "component-part")
+        for mode, name in vocab.ROLES.items():
+            role = role.when(F.col("mode") == mode, name)
+        stored = F.col("kind") != "reference"
+        total = lambda df, n: df.agg(F.sum(n).alias("n"))
+        count = items.agg(F.count(F.lit(1)).alias("m"))
+        fresh = derived(items)
+        checks = {
             "ids are unique": items.groupBy("id").count().where("count > 1"),
+            "entries are public": items.where("access <> 'public' or access is null"),
+            "entries are valid": validate.validated(items)[1],
+            "variants are valid": validate.validated(each)[1],
+            "groups have 2 to 64 members": grouped.where(~F.size("variants").between(2, 64)),
+            "the first variant is the entry": grouped.where(own[0] != F.col("id")),
+            "aliases are the other variants": grouped.where(F.slice(own, 2, 64) != F.col("aliases")),
+            "modes are known": grouped.where(~F.col("mode").isin(*vocab.ROLES)),
+            "roles follow from the mode": each.where(~F.col("variant_role").eqNullSafe(role)),
+            "parts are not counted as variants": grouped.where(F.col("variant_count") != F.size(F.filter("variants", lambda v: v["variant_role"] != "component-part"))),
+            "members are no cards": each.where("id <> parent").select("id").join(items.select("id"), "id", "left_semi"),
+            "palette groups hold palettes": each.where("mode = 'palette' and kind <> 'palette'"),
             "aliases name items": integrity.alias_faults(items, aliases),
             "every alias is a variant": aliases.select(F.col("alias").alias("id")).exceptAll(originals.where("id <> parent_id").select("id")),
-            "every item is indexed": items.select("id").exceptAll(self.part("lengths").select(F.col("doc").alias("id"))),
-            "facets count items": self.part("facets").where("field = 'category'").agg(F.sum("n").alias("n")).join(items.agg(F.count(F.lit(1)).alias("m"))).where("n <> m"),
-            "sources cover items": self.part("sources").agg(F.sum("records").alias("n")).join(items.agg(F.count(F.lit(1)).alias("m"))).where("n <> m"),
+            "palette code is its colours": exports.palette_code_faults(items),
+            "stored entries have a domain, links none": items.where((stored & ~F.coalesce(F.col("domain").isin(*vocab.DOMAINS), F.lit(False))) | (~stored & F.col("domain").isNotNull())),
+            "collections part the entries": integrity.not_partitioned(items, [items.where(F.col("category") == c) for c in vocab.CATEGORIES], "id"),
+            "every item is indexed": items.select("id").exceptAll(lengths.select(F.col("doc").alias("id"))),
+            "the index is of items": lengths.select(F.col("doc").alias("id")).exceptAll(items.select("id")),
+            "postings add up to lengths": self.part("postings").groupBy("doc").agg(F.sum("tf").alias("n")).join(lengths, "doc", "full").where(~F.coalesce(F.col("n"), F.lit(0)).eqNullSafe(F.col("length").cast("long"))),
+            "facets count items": integrity.differences(facets, fresh["facets"].select(facets.columns)),
+            "totals count items": integrity.differences(self.part("totals"), fresh["totals"].select(self.part("totals").columns)),
+            "sources cover items": total(self.part("sources"), "records").join(count).where("n <> m"),
+            "collections count entries": exports.collection_counts(items).where("collection not like 'domain-%'").agg(F.sum("n").alias("n")).join(count).where("n <> m"),
         }
-        rows = [df.agg(F.count(F.lit(1)).alias("faults")).select(F.lit(name).alias("check"), "faults") for name, df in tests.items()]
+        if self._there("originals"):
+            before = self.part("originals")
+            checks |= {
+                "no original is lost or invented": integrity.differences(before.select("id"), originals.select("id")),
+                "originals are as collected": each.select("id", "record_sha").unionByName(items.where("variants is null").select("id", "record_sha")).join(before.select("id", F.col("record_sha").alias("was")), "id").where("record_sha <> was"),
+            }
+        if self._there("excluded"):
+            out, counts = self.part("excluded"), self.part("wave_counts")
+            checks |= {
+                "excluded records name what is kept": out.select(F.col("same_as").alias("id")).join(originals, "id", "left_anti"),
+                "excluded records are not kept": out.select("id").join(originals, "id", "left_semi"),
+                "waves add up": counts.where("received <> accepted + excluded"),
+            }
+        return checks
+
+    def reconstructed(self, fresh: dict[str, DataFrame]) -> DataFrame:
+        """part, side, n: how many rows of a new build from the inputs are not in the bundle (left), and the other way round."""
+        rows = []
+        for name in ("items", "aliases"):
+            plain = lambda df: df.select(F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256).alias("row"))
+            rows.append(integrity.differences(plain(fresh[name]), plain(self.part(name))).groupBy("side").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "side", "n"))
         return reduce(DataFrame.unionByName, rows)

@@ -17,7 +17,7 @@ MARKED, PLAIN = "àáâäãåçèéêëìíîïñòóôöõùúûüýÿ", "aaaaa
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits, as an index sees them; accents kept."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}\p{Co}]+)"), F.lit(1))
 
 
 def plain_fold(text: Column) -> Column:
@@ -122,3 +122,13 @@ def formula_guarded(cell: Column) -> Column:
 def terminal_safe(text: str) -> str:
     """Controls except newline and tab as hexadecimal escapes."""
     return "".join(f"\\x{ord(c):02x}" if (ord(c) < 32 and c not in "\n\t") or 127 <= ord(c) < 160 else c for c in text)
+
+
+def terminal_json(value) -> str:
+    """JSON text in which no control beyond ASCII is left as it is (those within, JSON escapes itself)."""
+    return "".join(f"\\u{ord(c):04x}" if 127 <= ord(c) < 160 else c for c in json.dumps(value, ensure_ascii=False))
+
+
+@arrow("string")
+def for_terminal(texts: pd.Series) -> pd.Series:
+    return texts.map(terminal_safe, na_action="ignore")

@@ -22,13 +22,24 @@ def valid_url(url: Column) -> Column:
     return F.coalesce(p["scheme"].isin("http", "https") & (p["host"] != "") & ~p["host"].contains("@"), F.lit(False))
 
 
+def encoded(text: Column) -> Column:
+    """A parameter's name or value, decoded and encoded again in one way: blanks as plus signs, all but plain signs as bytes.
+
+    What stands after a percent sign without being a byte is taken as it is.
+    """
+    plain = text.rlike(r"^[A-Za-z0-9_.~+-]*\z")
+    sound = F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25")
+    again = F.regexp_replace(F.regexp_replace(F.url_encode(F.try_url_decode(sound)), r"\*", "%2A"), "%7E", "~")
+    return F.when(plain, text).otherwise(F.coalesce(again, text))
+
+
 def canonical_url(url: Column) -> Column:
     """Lower-case origin, no closing slashes, no tracking parameters, the others sorted, no fragment; null if invalid."""
     p = _parts(url)
     path = F.regexp_replace(p["path"], "/+$", "")
     path = F.when(path == "", F.lit("/")).otherwise(path)
     kept = F.array_sort(F.filter(F.split(p["query"], "&"), lambda x: (x != "") & ~F.lower(x).rlike(TRACKING)))
-    kept = F.transform(kept, lambda x: F.when(x.contains("="), x).otherwise(F.concat(x, F.lit("="))))
+    kept = F.transform(kept, lambda x: F.concat(encoded(F.substring_index(x, "=", 1)), F.lit("="), encoded(F.when(x.contains("="), F.regexp_replace(x, "^[^=]*=", "")).otherwise(F.lit("")))))
     query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit(""))
     return F.when(valid_url(url), F.concat(p["scheme"], F.lit("://"), p["host"], path, query))
 

@@ -7,6 +7,8 @@ gives the calls made, not those admitted.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,22 +17,25 @@ from tesserae import vocab
 
 
 def admitted(calls: DataFrame, key: str = "user_id", at: str = "ts", order: str = "event_id", most: int = vocab.RATE_CALLS, seconds: int = vocab.RATE_SECONDS) -> DataFrame:
-    """Adds ``admitted``. A key's state is the last ``most`` admitted times; its calls are one sorted group."""
+    """Adds ``admitted``. Calls come sorted and stream by; all that is kept is the last ``most`` admitted times of the key at hand."""
     rows = calls.select(F.col(key).alias("key"), F.col(order).alias("n"), F.unix_micros(F.col(at).cast("timestamp")).alias("at"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["at", "n"])
-        window, ok = [0] * most, []
-        count = 0  # admitted so far; window is a ring of their times
-        for t in group["at"]:
-            free = count < most or t - window[count % most] >= seconds * 1_000_000
-            if free:
-                window[count % most] = t
-                count += 1
-            ok.append(free)
-        return group.assign(admitted=ok)
-
-    out = rows.groupBy("key").applyInPandas(run, "key long, n long, at long, admitted boolean")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, window, count = object(), [0] * most, 0  # admitted so far; window is a ring of their times
+        for batch in batches:
+            ok = []
+            for k, t in zip(batch["key"], batch["at"], strict=True):
+                if k != now and not (pd.isna(k) and now is None):
+                    now, count = None if pd.isna(k) else k, 0
+                free = count < most or t - window[count % most] >= seconds * 1_000_000
+                if free:
+                    window[count % most] = t
+                    count += 1
+                ok.append(free)
+            yield pd.DataFrame({"key": batch["key"], "n": batch["n"], "admitted": ok})
+
+    kinds = rows.schema["key"].dataType.simpleString(), rows.schema["n"].dataType.simpleString()
+    out = rows.repartition("key").sortWithinPartitions("key", "at", "n").mapInPandas(run, f"key {kinds[0]}, n {kinds[1]}, admitted boolean")
     return out.select(F.col("key").alias(key), F.col("n").alias(order), "admitted")
 
 

@@ -27,6 +27,14 @@ def faults(items: DataFrame, members: DataFrame) -> DataFrame:
     return one.unionByName(twice.distinct().withColumn("fault", F.lit("overlapping groups")))
 
 
+def unused_repairs(members: DataFrame, repairs: DataFrame) -> DataFrame:
+    """id, fault of repairs that are given twice, or are not of the canonical record of a component group."""
+    n = repairs.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    heads = members.where("mode = 'component'").select(F.col("group").alias("id")).distinct().withColumn("used", F.lit(True))
+    met = n.join(heads, "id", "left")
+    return met.select("id", F.when(F.col("used").isNull(), "unused").when(F.col("n") > 1, "given twice").alias("fault")).where("fault is not null")
+
+
 def apply(items: DataFrame, members: DataFrame, repairs: DataFrame | None = None, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """Parents with their variants, and aliases (alias, item_id).
 

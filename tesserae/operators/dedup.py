@@ -92,9 +92,14 @@ def merge(existing: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame, D
     accepted rows, the excluded (id, same_as) and counts by input.
     """
     known = existing.where(F.col("fingerprint").isNotNull()).groupBy("fingerprint").agg(F.min_by("id", F.struct("input_order", "row_order")).alias("_known"))
-    w = Window.partitionBy("fingerprint").orderBy("input_order", "row_order")
-    ranked = more.join(known, "fingerprint", "left").withColumn("_first", F.first("id").over(w)).withColumn("_n", F.row_number().over(w))
-    accepted = F.col("fingerprint").isNull() | (F.col("_known").isNull() & (F.col("_n") == 1))
+    printed = more.where(F.col("fingerprint").isNotNull())
+    firsts = printed.groupBy("fingerprint").agg(F.min_by("id", F.struct("input_order", "row_order")).alias("_first"), F.min(F.struct("input_order", "row_order")).alias("_at"))
+    ranked = printed.join(known, "fingerprint", "left").join(firsts, "fingerprint")
+    ranked = ranked.withColumn("_n", F.when(F.struct("input_order", "row_order") == F.col("_at"), 1).otherwise(2)).drop("_at")
+    # what has no content is nobody's copy, and never meets in one task
+    bare = more.where(F.col("fingerprint").isNull()).withColumn("_known", F.lit(None).cast(dict(existing.dtypes)["id"])).withColumn("_first", F.col("id")).withColumn("_n", F.lit(1))
+    ranked = ranked.unionByName(bare)
+    accepted = F.col("_known").isNull() & (F.col("_n") == 1)
     kept = ranked.where(accepted).drop("_known", "_first", "_n")
     out = ranked.where(~accepted).select("id", F.coalesce("_known", "_first").alias("same_as"), "input_name")
     counts = ranked.groupBy("input_name").agg(F.count(F.lit(1)).alias("received"), F.count_if(accepted).alias("accepted"), F.count_if(~accepted).alias("excluded"))

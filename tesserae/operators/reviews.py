@@ -148,6 +148,36 @@ def uncovered(reviews: DataFrame, items: DataFrame) -> DataFrame:
     return items.where("kind = 'reference'").select("id").join(n, "id", "left").where("n is null or n <> 1").select("id", F.coalesce("n", F.lit(0)).alias("reviews"))
 
 
+#: Why a link was taken out.
+REMOVED = ("broken-link", "private", "unavailable")
+
+
+def removal_faults(removed: DataFrame, items: DataFrame) -> DataFrame:
+    """id, faults of removals (id, source_sha256, reason, status, verified_at) against records (id, kind, record_sha)."""
+    n = removed.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    met = removed.join(items.select("id", F.col("kind").alias("k"), "record_sha"), "id", "left").join(n, "id")
+    no = {
+        "no record": F.col("k").isNull(), "no reference": F.col("k") != "reference", "record changed": F.col("record_sha") != F.col("source_sha256"), "given twice": F.col("n") > 1,
+        "status": ~F.coalesce(F.col("status").isin(*REMOVED), F.lit(False)), "reason": F.col("reason").isNull() | (F.trim("reason") == "") | (F.char_length("reason") > 3000),
+        "verified_at": ~F.coalesce(F.col("verified_at").rlike(r"^\d{4}-\d{2}-\d{2}\z"), F.lit(False)),
+    }
+    faults = F.filter(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in no.items())), lambda x: x.isNotNull())
+    return met.select("id", faults.alias("faults")).where(F.size("faults") > 0)
+
+
+ANNOTATION = "targetDomain string, resourceType string, assetType string, effects array<string>, components array<string>, useCases array<string>, evidence struct<basis:string,confidence:string>, preview struct<mode:string,assetId:string>"
+
+
+def annotated(items: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Items with the classification of their review; what was collected of them stays as it is."""
+    said = reviews.select("id", F.from_json("review", ANNOTATION).alias("_r"))
+    met = items.join(said, "id", "left")
+    new = {"asset_type": "assetType", "effects": "effects", "components": "components", "use_cases": "useCases", "basis": "evidence.basis", "confidence": "evidence.confidence"}
+    fields = [F.when(F.col("_r").isNotNull(), F.col(f"_r.{new[c]}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in items.columns]
+    more = {"target_domain": "targetDomain", "resource_type": "resourceType", "preview_mode": "preview.mode", "preview_asset": "preview.assetId"}
+    return met.select(*fields, *(F.col(f"_r.{path}").alias(name) for name, path in more.items()))
+
+
 RECEIPT = "struct<version:int,original:struct<path:string,sha256:string>,notice:struct<path:string,sha256:string>,storedSha256:string>"
 
 

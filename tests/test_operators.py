@@ -68,15 +68,39 @@ def sheet(name="m", seconds="1s", middle="0.5", width="10px"):
 
 def test_css_audit(spark):
     rows = [("a", sheet()), ("b", sheet("other")), ("c", sheet(seconds="2s")), ("d", sheet(middle="0.505")), ("e", sheet(middle="0.9")), ("f", sheet(width="99px")), ("g", "x {"), ("h", "@keyframes q { 5 { top: 0 } }")]
-    good = css_audit.prepared(spark.createDataFrame([(*r, "", "") for r in rows], "id string, code string, preview string, dom string"))
+    good = css_audit.prepared(spark.createDataFrame(rows, "id string, code string"))
     assert {r["id"] for r in good.where("error is not null").collect()} == {"g", "h"}
     assert ids(css_audit.exact_groups(good)) == [("a", "b")] and ids(css_audit.near_groups(good)) == [("a", "b", "c")]
     assert ids(css_audit.families(good)) == [("a", "b", "c", "f")]
     pairs = {(r["a_id"], r["b_id"]) for r in css_audit.candidates(good).collect()}
     assert ("a", "d") in pairs and ("a", "e") not in pairs
+    assert [tuple(r) for r in css_audit.coverage(good, css_audit.candidates(good)).collect()] == [(6, 2, 15, 1, 2, 5)]  # a, c, d and f among each other, but a and c
     assert css_audit.tiny_deltas("1px 2px", "1px 2.01px") and not css_audit.tiny_deltas("1px", "1em") and not css_audit.tiny_deltas("1px", "-1px") and not css_audit.tiny_deltas("1px", "1px")
 
 
+def test_css_signatures_keep_what_matters():
+    s = lambda code, **more: dict(zip(css_audit.COLUMNS, css_audit.signature(code, **more), strict=True))
+    assert s(".a{-webkit-transform:none}")["exact"] != s(".a{transform:none}")["exact"]
+    both = "@keyframes k{from{-webkit-transform:none;transform:none}to{top:0}}"
+    assert s(both)["motion"] == s("@keyframes q{from{transform:none}to{top:0}}")["motion"] and s(both)["exact"] != s("@keyframes q{from{transform:none}to{top:0}}")["exact"]
+    assert s("@keyframes k{.5%, 0%{top:0}100%{top:1px}}")["error"] is None and s("@keyframes k{50{top:0}}")["error"] == "a keyframe step that is none"
+    assert s("@keyframes k{100%{top:1px}0%{top:0}}")["motion"] == s("@keyframes k{0%{top:0}100%{top:1px}}")["motion"]
+    assert s(".a{/*")["error"] == "an open comment" and s(".a{content:'x}")["error"] == "an open quote" and s(".a/**/b{top:0}")["exact"] == s(".ab{top:0}")["exact"]
+    assert s(".a{color:#FFF}")["exact"] == s(".z{color:#ffffffff}")["exact"] and s(".a{mask:url(#ABC)}")["exact"] != s(".a{mask:url(#abc)}")["exact"]
+    assert s(".a{top:0}.a{left:0}")["exact"] != s(".a{top:0;left:0}")["exact"] and s(".a{--x:1px;top:0}")["exact"] == s(".a{top:0}")["exact"]
+    assert s(".a{--x:var(--y);--y:1px;top:var(--x)}")["exact"] != s(".a{--x:var(--y);--y:2px;top:var(--x)}")["exact"]
+    dom = lambda text, name="a": f'{{"dom":{{"tag":"p","className":"{name}","text":"{text}"}}}}'
+    one, other = s(".a{top:0}", preview=dom("x")), s(".a{top:0}", preview=dom("y"))
+    assert one["exact"] != other["exact"] and one["shape"] == other["shape"] and one["timeless_text"] == other["timeless_text"]
+    assert one["exact"] == s(".b{top:0}", preview=dom("x", "b"))["exact"] and s(".a{top:0}", kind="loader")["shape"] != s(".a{top:0}")["shape"]
+
+
+def test_css_families_are_more_than_near_copies(spark):
+    rows = [("a", sheet()), ("b", sheet("other")), ("c", sheet(seconds="2s")), ("d", sheet("x", middle="0.2")), ("e", sheet("y", middle="0.2", seconds="9s"))]
+    good = css_audit.prepared(spark.createDataFrame(rows, "id string, code string"))
+    assert css_audit.families(good).collect() == [] and ids(css_audit.near_groups(good)) == [("a", "b", "c"), ("d", "e")]
+
+
 def drawing(path="M0 0L10 10", values="0;5;10", dur="1s", extra="", ident="p"):
     return f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 100 100"><path id="{ident}" d="{path}" stroke="url(#{ident})"><animate attributeName="x" values="{values}" dur="{dur}"/></path>{extra}</svg>'
 
@@ -87,11 +111,29 @@ def test_svg_audit(spark):
         "x": drawing(extra="<script/>"), "y": "<svg/>", "z": drawing(extra='<g id="p"/>'), "w": "<!DOCTYPE svg>" + drawing(),
     }
     good = svg_audit.prepared(spark.createDataFrame(list(rows.items()), "id string, code string"))
-    assert {r["id"] for r in good.where("error is not null").collect()} == {"w", "x", "y", "z"}
+    assert {r["id"] for r in good.where("error is not null").collect()} == {"w", "x", "z"}  # names without a space are read, but are others
     got = {(r["a_id"], r["b_id"]): r["relation"] for r in svg_audit.pairs(good).collect()}
     assert got["a", "b"] == got["a", "c"] == "exact" and got["a", "d"] == "near" and got["a", "e"] == "candidate-timing" and got["a", "f"] == "candidate-moved" and ("a", "g") not in got and got["a", "h"] == "family"
     assert svg_audit.number("1.50") == "1.5" and svg_audit.number("-0") == "0" and svg_audit.number(".5e1") == "5"
-    assert svg_audit.trajectory({"values": "0;1;2;5"}) == [["0", ["0"]], ["2/3", ["2"]], ["1", ["5"]]]
+    line = lambda **held: svg_audit.trajectory({k: svg_audit.typed(k, v, "animate") for k, v in held.items()})
+    assert line(attributeName="x", values="0;1;2;5") == [["0", ["0"]], ["2/3", ["2"]], ["1", ["5"]]]
+    assert line(values="0;1;2;5") is None and line(attributeName="fill", values="0;1") is None and line(attributeName="x", values="0;1", keyTimes="0;.5") is None
+
+
+def test_svg_relations_of_moved_and_retimed_drawings(spark):
+    clocks = lambda a, b: f'<svg xmlns="http://www.w3.org/2000/svg"><path d="M0 0L9 9"/><circle r="3"><animate attributeName="r" values="1;2" dur="{a}"/><animate attributeName="cx" values="1;2" dur="{b}"/></circle></svg>'
+    rows = {
+        "a": clocks("1s", "10s"), "b": clocks("9s", "10s"), "c": clocks("1s", "11s"), "d": clocks("1s", "10s").replace("9 9", "9 9.1"), "e": clocks("2s", "10s").replace("9 9", "9 9.05"), "f": clocks("1s", "10s").replace("<path", "<style/><path"),
+        "g": clocks("1s", "10s").replace('<path d="M0 0L9 9"/>', '<image/>'), "h": clocks("1s", "10s").replace("1;2", "2;1"),
+    }
+    good = svg_audit.prepared(spark.createDataFrame(list(rows.items()), "id string, code string"))
+    assert {r["id"] for r in good.where("error is not null").collect()} == {"f", "g"}
+    got = {(r["a_id"], r["b_id"]): r["relation"] for r in svg_audit.pairs(good).collect()}
+    assert got["a", "b"] == "candidate-timing" and got["a", "c"] == "near" and got["a", "d"] == "candidate-moved" and got["a", "e"] == "candidate-moved" and got["a", "h"] == "family"
+    pair = spark.createDataFrame([("a", "d")], "a_id string, b_id string")
+    assert [tuple(r) for r in svg_audit.changed(pair, good).collect()] == [("a", "d", "svg/0/@d", "M 0 0 L 9 9", "M 0 0 L 9 9.1")]
+    assert {r["tag"]: r["n"] for r in svg_audit.element_counts(good).collect()} == {"svg": 6, "path": 6, "circle": 6, "animate": 12}
+    assert svg_audit.differences({"x": 1, "y": 2}, {"y": 3, "z": 4}) == [("x", 1, None), ("y", 2, 3), ("z", None, 4)]
 
 
 SHADER = "uniform float size; // = 0.3\nvec4 transition(vec2 uv) {{ float {v} = {n}; return mix(getFromColor(uv), getToColor(uv), {v} * progress); }}"
@@ -265,7 +307,7 @@ def test_catalog(spark, bundle):
     assert [i["id"] for i in c.search(limit=2, offset=1)["items"]] == [i["id"] for i in c.search()["items"]][1:3]
     assert c.get("i1")["canonical_id"] == "i0" and c.get("i1")["variant_role"] == "motion-variant" and c.get("i0")["id"] == "i0" and c.get("none") is None
     s = c.stats()
-    assert s["total"] == 6 and s["stored"] == 5 and s["kind"] == {"code": 4, "palette": 1, "reference": 1} and s["sources"] == 5
+    assert s["total"] == 6 and s["stored"] == 5 and s["kind"] == {"code": 4, "palette": 1, "reference": 1} and s["sources"] == 6  # the provider of a variant, too
     assert [r["id"] for r in c.export().collect()] == sorted(r["id"] for r in c.export().collect())
     assert {r["check"]: r["faults"] for r in c.verify().collect() if r["faults"]} == {}
     assert [tuple(r) for r in c.part("excluded").select("id", "same_as").collect()] == [("w0", "i0")]
