@@ -9,11 +9,20 @@ shingles alone rule the threshold out, which loses none. (How far sketches agree
 is no such bound: in a short text one shingle owns many bins.)
 
 A key that many texts share (a passage, a large group of near copies) is not
-paired at once: its members are held against the least of them, then against the
-least of each component that is left, for as long as that links any. In the end
-all its members of different components are compared. So two texts of a key are
-either compared or connected already. Members that do not come together cost
-their square; those that do, hardly more than one comparison each.
+paired. All texts with such keys are joined by prefixes instead, which loses nothing
+whatever keys they share: with each text's shingles in order of the number of those
+texts that have them, the rarest first, two texts that resemble each other by the
+threshold share a shingle among the first n - ceil(threshold * n) + 1 of both, and at
+places that leave enough shingles behind them. What is common to many texts stands
+last and joins nobody. The texts of a shingle are held against the one with the least
+that is rarer (the centre of a group of copies), then what that does not link
+against the next such text, and in the end all that the places allow and that is not
+connected yet. So two texts are either compared or connected already.
+
+Defined results: texts without shingles resemble each other and nothing else; a null
+text is empty; rows with a null doc_id take no part; repeated rows count once, and of
+rows that share a doc_id any may be compared; texts of any length are compared in
+whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import documents, settle
@@ -110,8 +119,33 @@ def _compared(found: DataFrame, docs: DataFrame, width: int, threshold: float) -
     return settle(both.select("a", "b", "s", "t").mapInPandas(exact, "a long, b long, similarity double"), "alike")
 
 
+def _prefixes(docs: DataFrame, hot: DataFrame, width: int, threshold: float) -> DataFrame:
+    """h, doc_id, n, pos: the shingles of each text's prefix that another text has, and how many of its shingles are rarer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                found = [hashes(t, width).view(np.int64) for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(h) for h in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "n", "h"])
+
+    texts = documents(docs).join(hot.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = settle(texts.mapInArrow(run, "doc_id long, n long, h array<bigint>"), "shingles").select("doc_id", "n", F.explode("h").alias("h"))
+    counts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("texts"))
+    place = Window.partitionBy("doc_id").orderBy("texts", "h")
+    ranked = rows.join(counts, "h").withColumn("pos", F.row_number().over(place) - 1)
+    first = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1
+    return settle(ranked.where((F.col("texts") > 1) & (F.col("pos") < first)).select("h", "doc_id", "n", "pos"), "prefixes")
+
+
+def _enough(x: str, y: str, threshold: float):
+    """Whether two entries of a shingle leave room for the overlap that the threshold asks for."""
+    behind = F.least(F.col(f"{x}.n") - F.col(f"{x}.pos"), F.col(f"{y}.n") - F.col(f"{y}.pos"))
+    return behind >= F.lit(threshold / (1 + threshold)) * (F.col(f"{x}.n") + F.col(f"{y}.n")) - F.lit(1e-6)
+
+
 def pairs(docs: DataFrame, width: int = 5, threshold: float = 0.8, among: DataFrame | None = None) -> DataFrame:
-    """a, b (doc_ids, a < b), similarity: pairs at or over the threshold that connect all that keys bring together.
+    """a, b (doc_ids, a < b), similarity: pairs at or over the threshold that connect all that is brought together.
 
     ``among`` (one column of doc_ids) names the documents in question; doc_ids
     are unique among them.
@@ -120,35 +154,42 @@ def pairs(docs: DataFrame, width: int = 5, threshold: float = 0.8, among: DataFr
     if among is not None:
         made = made.join(among.toDF("doc_id").hint("merge"), "doc_id", "left_semi")  # ids grow with the corpus: they are never broadcast
     made = settle(made, "sketches")
-    keyed = made.select("doc_id", "n", F.posexplode("keys").alias("run", "key"))
-    sizes = keyed.groupBy("run", "key").agg(F.count(F.lit(1)).alias("texts"), F.min(F.struct("doc_id", "n")).alias("hub")).where("texts > 1")
-    met = settle(keyed.join(sizes, ["run", "key"]), "met")
-
-    def paired(left: DataFrame, right: DataFrame, apart: bool) -> DataFrame:
-        """a < b that share a key and may be alike by their numbers of shingles; of different components, if ``apart``."""
-        side = lambda df, x: df.select("run", "key", F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), *([F.col("root").alias(f"root_{x}")] if apart else []))
-        both = side(left, "x").join(side(right, "y"), ["run", "key"]).where("root_x <> root_y" if apart else "x < y")
-        return both.where(may("n_x", "n_y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-    def may(x: str, y: str):
-        return F.least(x, y) >= F.greatest(x, y) * F.lit(threshold) - F.lit(1e-9)
-
-    few, many = met.where(F.col("texts") <= ROOM), settle(met.where(F.col("texts") > ROOM), "many")
-    star = many.where(F.col("doc_id") != F.col("hub.doc_id")).where(may("n", "hub.n")).select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b"))
-    tried = settle(paired(few, few, False).union(star).distinct(), "candidates")
-    links = _compared(tried, docs, width, threshold)
-    hubs_only = True
-    while True:
+    some = made.where("n > 0")
+    keyed = some.select("doc_id", "n", F.posexplode("keys").alias("run", "key"))
+    sizes = keyed.groupBy("run", "key").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    few = keyed.join(sizes.where(F.col("texts") <= ROOM), ["run", "key"]).select("run", "key", "doc_id", "n")
+    hot = settle(keyed.join(sizes.where(F.col("texts") > ROOM), ["run", "key"]).select("doc_id").distinct(), "hot")
+    bare = made.where("n = 0").select("doc_id")
+    low = bare.agg(F.min("doc_id").alias("a"))  # one row
+    empty = bare.join(F.broadcast(low), F.col("a") < F.col("doc_id")).select("a", F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity"))
+
+    side = lambda x: few.select("run", "key", F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"))
+    may = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold) - F.lit(1e-9)
+    direct = side("a").join(side("b"), ["run", "key"]).where("a < b").where(may).select("a", "b").distinct()
+    links = _compared(settle(direct, "candidates"), docs, width, threshold).union(empty)
+    if hot.isEmpty():
+        return links
+    entries = _prefixes(docs, hot, width, threshold)
+    tried = None
+    for star in (True, True, False):
         roots = least_labels(links).select(F.col("node").alias("doc_id"), "root")
-        placed = settle(many.join(roots, "doc_id", "left").select("run", "key", "doc_id", "n", F.coalesce("root", "doc_id").alias("root")), "placed")
-        parted = placed.groupBy("run", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("run", "key")
-        left = settle(placed.join(parted, ["run", "key"], "left_semi"), "left")
-        if left.isEmpty():
-            return links
-        hubs = left.groupBy("run", "key", "root").agg(F.min(F.struct("doc_id", "n")).alias("hub")).select("run", "key", "root", "hub.*")
-        found = settle(paired(hubs if hubs_only else left, left, True).join(tried, ["a", "b"], "left_anti"), "candidates")
+        placed = settle(entries.join(roots, "doc_id", "left").select("h", "doc_id", "n", "pos", F.coalesce("root", "doc_id").alias("root")), "placed")
+        parted = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
+        left = placed.join(parted, "h", "left_semi")
+        if star:
+            rarer = F.struct((F.col("pos") / F.col("n")).alias("share"), "doc_id", "n", "pos", "root")
+            hubs = left.groupBy("h").agg(F.min(rarer).alias("y")).select("h", "y.*")
+            if tried is not None:  # what the first hubs did not link, against the best of that
+                out = left.alias("x").join(hubs.select("h", F.col("root").alias("hub")), "h").where("x.root <> hub").select("h", "x.doc_id", "x.n", "x.pos", "x.root")
+                left = settle(out, "left")
+                hubs = left.groupBy("h").agg(F.min(rarer).alias("y")).select("h", "y.*")
+        else:
+            left = hubs = settle(left, "left")
+        met = left.alias("x").join(hubs.alias("y"), "h").where("x.root <> y.root").where(_enough("x", "y", threshold))
+        found = met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+        if tried is not None:
+            found = found.join(tried, ["a", "b"], "left_anti")
+        found = settle(found, "candidates")
         more = _compared(found, docs, width, threshold)
-        links, tried = links.union(more), tried.union(found)
-        if not hubs_only:
-            return links
-        hubs_only = not more.isEmpty()
+        links, tried = links.union(more), found if tried is None else tried.union(found)
+    return links
