@@ -160,13 +160,13 @@ class Catalog:
     def get(self, item_id: str) -> dict | None:
         """A record by its id, or by an alias: then the one variant it names, with canonical_id and its role."""
         item_id = search.checked_text(item_id, "id", 160)
-        items = self.part("items").where("access = 'public'")
-        if own := items.where(F.col("id") == item_id).head():
+        items = self.part("items")
+        if own := search.by_id(items, item_id).head():
             return own.asDict(recursive=True)
         named = self.part("aliases").where(F.col("alias") == item_id).head()
         if named is None:
             return None
-        parent = items.where(F.col("id") == named["item_id"]).head()
+        parent = search.by_id(items, named["item_id"]).head()
         variants = [v for v in (parent["variants"] or ()) if v["id"] == item_id] if parent else []
         if len(variants) != 1:
             raise RuntimeError(f"{item_id}: the bundle is inconsistent")
@@ -182,7 +182,7 @@ class Catalog:
         return {k: dict(sorted(v.items())) if isinstance(v, dict) else v for k, v in out.items()}
 
     def export(self) -> DataFrame:
-        return self.part("items").where("access = 'public'").orderBy("id")
+        return search.exported(self.part("items"))
 
     def verify(self) -> DataFrame:
         """check, faults: how much speaks against each of the bundle's promises."""

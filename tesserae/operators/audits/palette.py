@@ -28,7 +28,8 @@ def prepared(palettes: DataFrame) -> tuple[DataFrame, DataFrame]:
     error = F.when(F.col("colors").isNull(), "no colours").when(~count.between(LEAST, MOST), "number of colours").when(bad, "invalid colour")
     marked = canon.withColumn("error", error)
     good = marked.where("error is null").select("id", "colors", F.array_join("colors", ",").alias("ordered"), F.array_join(F.array_sort("colors"), ",").alias("unordered"))
-    good = good.withColumn("vectors", F.transform("colors", C.oklab6)).withColumn("centroid", C.centroid(F.col("vectors")))
+    # arrays of one, exploded: else whatever reads a vector or centroid would work it out again for each use
+    good = good.withColumn("vectors", F.explode(F.array(F.transform("colors", C.oklab6)))).withColumn("centroid", F.explode(F.array(C.centroid(F.col("vectors")))))
     return good, marked.where("error is not null").select("id", "error")
 
 

@@ -171,6 +171,31 @@ class Index:
         return rows.select("doc", bm25([F.col(n) for n in names], [F.col(f"{n}n") for n in names], F.col("length"), F.col("rows"), F.col("mean")).alias("score"))
 
 
+def containing(items: DataFrame, text: Column, query: str) -> DataFrame:
+    """Rows whose text has the query anywhere, whatever its case."""
+    return items.where(F.lower(text).contains(query.lower()))
+
+
+def by_id(items: DataFrame, key, column: str = "id") -> DataFrame:
+    """The public row with this id."""
+    return items.where((F.col(column) == F.lit(key)) & (F.col("access") == "public")).limit(1)
+
+
+def exported(items: DataFrame, column: str = "id") -> DataFrame:
+    """All public rows in order of their ids."""
+    return items.where("access = 'public'").orderBy(column)
+
+
+def resolved(items: DataFrame, aliases: DataFrame, keys: DataFrame) -> DataFrame:
+    """``keys`` (key and more) with the row that each names: an item's own id, or an alias of it, with ``canonical_id`` then.
+
+    An id goes before an alias, aliases never chain, and keys of nothing are left out.
+    """
+    own = keys.join(items.withColumnRenamed("id", "key"), "key").withColumn("canonical_id", F.lit(None).cast("string"))
+    named = keys.join(items.select(F.col("id").alias("key")), "key", "left_anti").join(aliases.select(F.col("alias").alias("key"), F.col("item_id").alias("canonical_id")), "key")
+    return own.unionByName(named.join(items.withColumnRenamed("id", "canonical_id"), "canonical_id"))
+
+
 def resolve(items: DataFrame, aliases: DataFrame, key: str) -> DataFrame:
     """The row of a key: its own, or that of the entry its alias names, with ``canonical_id`` then. Aliases never chain."""
     own = items.where(F.col("id") == key).withColumn("canonical_id", F.lit(None).cast("string"))

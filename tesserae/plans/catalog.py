@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae import vocab
 from tesserae.functions import text as T
 from tesserae.operators import search as S
 from tesserae.session import table
@@ -51,9 +52,14 @@ def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_no_word(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A query without words finds nothing."""
-    items = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return items.limit(0) if S.phrases("... !!") is None else items
+    """A query without words finds nothing; one with a word the index splits into nothing neither; others what has all their words."""
+    items = _items(spark, sf_dir)
+    found = []
+    for query in ("... !!", "the _", "the"):
+        words = S.phrases(query)
+        hits = items.limit(0) if words is None else S.scored(items, "tokens", words)
+        found.append(hits.agg(F.count(F.lit(1)).alias("total")).select(F.lit(query).alias("query"), "total"))
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 def search_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,36 +75,38 @@ def postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    entry = F.concat_ws(" ", F.substring("text", 1, 6000), "source", "lang")
-    return docs.where(F.lower(entry).contains("thing a")).select("doc_id", F.length(entry).cast("long").alias("chars"))
+    entry = F.concat_ws(" ", "text", "source", "lang")
+    return S.containing(docs, entry, "thing A").select("doc_id", F.length(entry).cast("long").alias("chars"))
 
 
 def get_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("doc_id = 42").limit(1).select("doc_id", "lang", "source", F.sha2("text", 256).alias("digest"))
+    docs = table(spark, sf_dir, "documents").withColumn("access", F.lit("public"))
+    return S.by_id(docs, 42, "doc_id").select("doc_id", "lang", "source", F.sha2("text", 256).alias("digest"))
 
 
 def alias_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation's turn 0 is the entry; its later turns are aliases of it."""
-    rows = table(spark, sf_dir, "conversations").withColumn("id", F.concat_ws(":", "conv_id", "turn"))
-    parents = rows.where("turn = 0").select("conv_id", F.col("id").alias("canonical_id"), F.col("role").alias("parent_role"))
-    return rows.where("turn > 0").join(parents, "conv_id").select("id", "canonical_id", "parent_role", F.length("text").cast("long").alias("chars"))
+    rows = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "turn", "role", F.length("text").cast("long").alias("chars"), F.concat(F.col("conv_id").cast("string"), F.lit(":0")).alias("item_id"))
+    entries, aliases = rows.where("turn = 0").select("id", "role"), rows.where("turn > 0").select(F.col("id").alias("alias"), "item_id")
+    found = S.resolved(entries, aliases, rows.select(F.col("id").alias("key"), "chars")).where("canonical_id is not null")
+    return found.select(F.col("key").alias("id"), "canonical_id", F.col("role").alias("parent_role"), "chars")
 
 
 def export_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where("lang = 'de'").orderBy("doc_id")
+    rows = S.exported(table(spark, sf_dir, "documents").withColumn("access", F.when(F.col("lang") == "de", "public").otherwise("private")), "doc_id")
     return rows.select("doc_id", "source", F.to_json(F.struct("lang", "source")).alias("cell"))
 
 
 def csv_formula_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     sign = F.element_at(F.array(*(F.lit(s) for s in ("=", " +", "-", "\t@", ""))), (F.col("doc_id") % 5 + 1).cast("int"))
-    cell = F.concat(sign, F.substring("text", 1, 40))
+    cell = F.concat(sign, "text")
     return table(spark, sf_dir, "documents").select("doc_id", T.formula_guarded(cell).alias("cell"))
 
 
 def index_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indexed text of a conversation: all turns' texts, joined and capped."""
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    return rows.select("conv_id", F.sha2(T.capped(F.col("t.text"), 1000), 256).alias("digest"))
+    return rows.select("conv_id", F.sha2(T.capped(F.col("t.text"), vocab.INDEX_CHARS), 256).alias("digest"))
 
 
 TOKENS = """
@@ -135,14 +143,14 @@ ORACLES = {
         from items i join a using (doc_id) join labels l using (doc_id) cross join figures f where i.source = 'src3' and (l.quality = 1 or l.toxic = 1)""",
     "search_phrase": f"""{TOKENS}, a as (select x.doc_id, count(*) as tf from flat x join flat y on x.doc_id = y.doc_id and y.place = x.place + 1 where x.term = 'of' and starts_with(y.term, 'th') group by 1)
         select i.doc_id, round(-{_score("a.tf", "(select count(*) from a)")}, 6) as score from items i join a using (doc_id) cross join figures f""",
-    "search_no_word": "select doc_id, lang from documents where false",
+    "search_no_word": f"{TOKENS} select * from (values ('... !!', 0), ('the _', 0)) t(query, total) union all select 'the', count(distinct doc_id) from flat where starts_with(term, 'the')",
     "search_page": f"select doc_id, title from (select doc_id, text[1:60] as title from documents) order by {NOCASE}, doc_id limit 24 offset 48",
     "postings_stats": f"{TOKENS} select term, count(distinct doc_id) as docs, count(*) as occurrences from flat group by term having count(distinct doc_id) >= 3",
-    "substring_search": "select doc_id, length(text[1:6000] || ' ' || source || ' ' || lang) as chars from documents where contains(lower(text[1:6000] || ' ' || source || ' ' || lang), 'thing a')",
+    "substring_search": "select doc_id, length(text || ' ' || source || ' ' || lang) as chars from documents where contains(lower(text || ' ' || source || ' ' || lang), 'thing a')",
     "get_by_id": "select doc_id, lang, source, sha256(text) as digest from documents where doc_id = 42",
     "alias_resolve": """select c.conv_id || ':' || c.turn as id, p.conv_id || ':' || p.turn as canonical_id, p.role as parent_role, length(c.text) as chars
         from conversations c join conversations p on c.conv_id = p.conv_id and p.turn = 0 where c.turn > 0""",
     "export_ordered": """select doc_id, source, '{"lang":"' || lang || '","source":"' || source || '"}' as cell from documents where lang = 'de'""",
-    "csv_formula_guard": """select doc_id, case when doc_id % 5 < 4 then '''' else '' end || ['=', ' +', '-', chr(9) || '@', ''][doc_id % 5 + 1] || text[1:40] as cell from documents""",
-    "index_text": "select conv_id, sha256(string_agg(text, ' ' order by turn, text)[1:1000]) as digest from conversations group by conv_id",
+    "csv_formula_guard": """select doc_id, case when doc_id % 5 < 4 then '''' else '' end || ['=', ' +', '-', chr(9) || '@', ''][doc_id % 5 + 1] || text as cell from documents""",
+    "index_text": f"select conv_id, sha256(string_agg(text, ' ' order by turn, text)[1:{vocab.INDEX_CHARS}]) as digest from conversations group by conv_id",
 }

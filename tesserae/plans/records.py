@@ -10,6 +10,7 @@ from tesserae.functions import urls
 from tesserae.operators import admission, consolidate, dedup, integrity
 from tesserae.operators.audits import exact
 from tesserae.session import table
+from tesserae.sources import scans
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +80,7 @@ def source_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _members(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    turns = table(spark, sf_dir, "conversations").where("turn < 4").select(
+    turns = table(spark, sf_dir, "conversations").select(
         F.concat_ws(":", "conv_id", "turn").alias("id"), (F.col("conv_id") * 100 + F.col("turn")).alias("pos"), F.lit("code").alias("kind"), "conv_id", "role", F.sha2("text", 256).alias("code_sha"), F.sha2(F.concat("role", "text"), 256).alias("record_sha")
     )
     sizes = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -141,9 +142,10 @@ def rate_calls_made(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payload_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    keys = F.json_object_keys("props")
-    return events.select("event_id", F.size(keys).cast("long").alias("fields"), F.array_join(F.array_sort(keys), ",").alias("names"))
+    """Payloads of events, packed and unpacked by the codec."""
+    back = table(spark, sf_dir, "events").select("event_id", scans.unpacked(scans.packed("props")).alias("u"))
+    keys = F.json_object_keys("u.payload")
+    return back.select("event_id", F.size(keys).cast("long").alias("fields"), F.array_join(F.array_sort(keys), ",").alias("names"))
 
 
 def reference_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +182,7 @@ def _canon(url: str) -> str:
 TURNS = """
 with turns as (select conv_id || ':' || turn as id, conv_id, turn, conv_id * 100 + turn as pos, count(*) over (partition by conv_id) as n,
                       first_value(conv_id || ':' || turn) over (partition by conv_id order by turn) as g,
-                      case when conv_id % 2 = 0 then 'motion' else 'component' end as mode from conversations where turn < 4)
+                      case when conv_id % 2 = 0 then 'motion' else 'component' end as mode, role, text from conversations)
 """
 QUERIES = {
     f.__name__: f
@@ -222,6 +224,11 @@ ORACLES = {
         union all select doc_id, 'lang' from documents where doc_id % 50 <> 7 and doc_id % 9 = 0
         union all select doc_id, 'n_chars' from documents where doc_id % 50 <> 7 and doc_id % 13 = 0""",
     "rate_calls_made": "select event_id, count(*) over (partition by user_id order by epoch_us(ts) range between 86399999999 preceding and current row) as recent from events",
+    "rate_limit_admission": """with recursive e as (select user_id, event_id, epoch_us(ts) as t, row_number() over (partition by user_id order by ts, event_id) as n from events),
+        w as (select user_id, event_id, n, [t] as held, true as ok from e where n = 1
+          union all select e.user_id, e.event_id, e.n, case when len(list_filter(held, lambda x: e.t - x < 86400000000)) < 5 then list_append(list_filter(held, lambda x: e.t - x < 86400000000), e.t) else list_filter(held, lambda x: e.t - x < 86400000000) end,
+            len(list_filter(held, lambda x: e.t - x < 86400000000)) < 5 from w join e on e.user_id = w.user_id and e.n = w.n + 1)
+        select user_id, event_id, ok as admitted from w""",
     "payload_decode": "select event_id, len(json_keys(props)) as fields, array_to_string(list_sort(json_keys(props)), ',') as names from events",
     "reference_exact": f"{CARDS} select url, card, string_agg(id::varchar, ',' order by id) as ids from c group by url, card having count(*) > 1",
     "reference_family": f"{CARDS} select url, string_agg(id::varchar, ',' order by id) as ids, count(distinct card) as cards from c group by url having count(distinct card) > 1",
