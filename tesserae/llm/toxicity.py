@@ -81,7 +81,9 @@ def sentences(text: str) -> list[list[str]]:
 
 
 def strings(text: str) -> set[str]:
-    return set().union(*sentences(text))
+    """The strings of all sentences."""
+    lower = text.lower()
+    return {*lower.split(), *("".join(m.group().split()) for m in SINGLES.finditer(lower))}
 
 
 def _table() -> np.ndarray:
@@ -118,24 +120,29 @@ def coded(words: list[str]) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=64)
+def _fading(n: int) -> np.ndarray:
+    """DECAY ** (j - i) for i <= j, else 0."""
+    at = np.arange(n)
+    return np.where(at >= at[:, None], float(DECAY) ** np.maximum(at - at[:, None], 0), 0.0)
+
+
 def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Plain kernels of the rows of x with those of y (as many, or one against all)."""
     n = np.broadcast_shapes(x.shape[:1], y.shape[:1])[0]
-    lx, ly, d = x.shape[1], y.shape[1], DECAY
-    # one[j], two[j]: weights of common subsequences of one and two letters in x so far and y up to j,
-    # up to the places just passed
-    one, two, out = np.zeros((ly + 1, n)), np.zeros((ly + 1, n)), np.zeros(n)
-    for i in range(lx):
-        new_one, new_two = one * d, two * d
-        run_one, run_two = np.zeros(n), np.zeros(n)
-        for j in range(ly):
-            same = ((x[:, i] == y[:, j]) & (x[:, i] != GAP)) * (d * d)
-            out += same * two[j]
-            run_two = d * run_two + same * one[j]
-            run_one = d * run_one + same
-            new_one[j + 1] += run_one
-            new_two[j + 1] += run_two
-        one, two = new_one, new_two
+    ly, d = y.shape[1], DECAY
+    fading = _fading(ly)
+    # one, two: weights of common subsequences of one and two letters in x so far and y up to each place
+    one, two, out = np.zeros((n, ly + 1)), np.zeros((n, ly + 1)), np.zeros(n)
+    for i in range(x.shape[1]):
+        letter = x[:, i : i + 1]
+        same = ((letter == y) & (letter != GAP)) * (d * d)
+        out += (same * two[:, :-1]).sum(axis=1)
+        paired = (same * one[:, :-1]) @ fading
+        one *= d
+        two *= d
+        one[:, 1:] += same @ fading
+        two[:, 1:] += paired
     return out
 
 
@@ -297,16 +304,17 @@ def _values(model: Model, texts: list[str], memo: dict[str, float]) -> np.ndarra
     return out
 
 
-def worst_strings(model: Model, text: str, toxic: int, memo: dict[str, float]) -> list[str]:
+def worst_strings(model: Model, texts: list[str], toxic: list[int], memo: dict[str, float]) -> list[list[str]]:
     """Of a toxic text the worst string of all; of a civil one, that of each sentence without margin."""
-    said = sentences(text)
-    _learn(model, set().union(*said), memo)
-    tops = [(value, word) for value, word in (max((memo[w], w) for w in words) for words in said) if value > FLOOR or toxic]
-    chosen = [max(tops)] if toxic and tops else [t for t in tops if t[0] > -1 and not toxic]
+    held = [sentences(t) for t in texts]
+    _learn(model, set().union(*(words for said in held for words in said)), memo)
+    value = memo.__getitem__
     out = []
-    for _, word in chosen:
-        parts = windows(word)
-        out.append(parts[0] if len(parts) == 1 else max(zip(model.words(parts).tolist(), parts, strict=True))[1])
+    for said, bad in zip(held, toxic, strict=True):
+        tops = [max(words, key=value) for words in said]
+        chosen = ([max(tops, key=value)] if tops else []) if bad else [w for w in tops if value(w) > -1]
+        cut = [(w, windows(w)) for w in chosen]
+        out.append([parts[0] if len(parts) == 1 else max(zip(model.words(parts).tolist(), parts, strict=True))[1] for _, parts in cut])
     return out
 
 
@@ -389,7 +397,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     def valued(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[str, float] = {}
         for batch in batches:
-            yield pd.DataFrame(_values(model, batch["text"].tolist(), memo), columns=list("abcd")).assign(toxic=batch["toxic"].tolist())
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at : at + 500]
+                yield pd.DataFrame(_values(model, part["text"].tolist(), memo), columns=list("abcd")).assign(toxic=part["toxic"].tolist())
 
     found = known.mapInPandas(valued, ", ".join(f"{c} double" for c in "abcd") + ", toxic int").toPandas()  # a few numbers for each document of the sample
     slope, shift = _logistic(found[list("abcd")].to_numpy(), found["toxic"].to_numpy(), share)
@@ -402,8 +412,10 @@ def _mined(known: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[str, float] = {}
         for batch in batches:
-            out = [(word, toxic) for text, toxic in zip(batch["text"], batch["toxic"], strict=True) for word in worst_strings(model, text, toxic, memo)]
-            yield pd.DataFrame(out, columns=["word", "toxic"])
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at : at + 500]
+                found = worst_strings(model, part["text"].tolist(), part["toxic"].tolist(), memo)
+                yield pd.DataFrame([(word, toxic) for words, toxic in zip(found, part["toxic"], strict=True) for word in words], columns=["word", "toxic"])
 
     return known.mapInPandas(run, "word string, toxic int").groupBy("word", "toxic").agg(F.count(F.lit(1)).alias("n"))
 
@@ -467,10 +479,11 @@ def _landmarks(known: DataFrame, n: dict[int, int]) -> tuple[list[str], list[str
     if not telling:
         return [], []
     near = Landmarks(telling)
+    near = Model(near.folded(np.ones(len(near.words))))  # the sum of the kernels with all of them
 
     def liked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"word": batch["word"], "value": near.similar(batch["word"].tolist()).max(axis=1, initial=0)})
+            yield pd.DataFrame({"word": batch["word"], "value": near.words(batch["word"].tolist())})
 
     clean = words.where((F.col("c") > 0) & (F.col("odds") < np.log(4.0))).select("word")
     hard = apart(top(clean.mapInPandas(liked, "word string, value double"), F.desc("value"), HARD), HARD)
@@ -484,8 +497,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[str, float] = {}
         for batch in batches:
-            for at in range(0, len(batch), 200):
-                part = batch.iloc[at : at + 200]
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at : at + 500]
                 if model.weights is None:
                     found = np.zeros(len(part))
                 else:
@@ -514,8 +527,8 @@ def keep_civil(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
 
         memo: dict[str, float] = {}
         for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                part = whole.slice(at, 200)
+            for at in range(0, whole.num_rows, 500):
+                part = whole.slice(at, 500)
                 texts = [t or "" for t in part.column(names.index("text")).to_pylist()]
                 if model.weights is None:
                     yield part

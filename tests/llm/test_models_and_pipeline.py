@@ -62,7 +62,7 @@ def test_the_svm_of_labelled_sentences_equals_a_plain_one(spark):
     model = toxicity.Model(marks.folded(white @ w[:-1]), float(w[-1]))
     assert model.words(words) == pytest.approx(x @ w, abs=1e-2)
     for text, toxic in SENTENCES:
-        found = toxicity.worst_strings(model, text, toxic, {})
+        [found] = toxicity.worst_strings(model, [text], [toxic], {})
         values = dict(zip(words, model.words(words), strict=True))
         if toxic:
             assert found == [max(values, key=lambda w: values[w] if w in text else -9)]

@@ -508,3 +508,148 @@ def test_queries_read_awkward_tables(spark, tmp_path):
     n = awkward(spark).count()
     for name in ("op2_improbable_digest", "op3_minimax_shards", "op7_simhash_classes", "op8_personal_data", "op9_token_store", "op10_bpe_codec"):
         assert queries.QUERIES[name](spark, path).count() == n, name
+
+
+def plain_digest(texts):
+    """Rarities, chains and likeness, one window and one bit at a time."""
+
+    def level(window):
+        total = sum(int(digest._STEP[k]) for n in Counter(window).values() for k in range(1, n + 1))
+        top = digest.WINDOW * 5 << 20
+        return (top - total) * (digest.LEVELS - 1) // top
+
+    data = [t.encode() for t in texts]
+    of = [[level(d[i : i + 32]) for i in range(len(d) - 31)] for d in data]
+    counts = Counter(lv for row in of for lv in row)
+    order = sorted(range(digest.LEVELS), key=lambda lv: (counts[lv], lv))
+    dull = int(digest.DULL / 5 * (digest.LEVELS - 1))
+    rank = {lv: digest.LEVELS if lv < dull else i for i, lv in enumerate(order)}
+
+    def mixed(chunk):
+        x, m = 0x9E3779B97F4A7C15, (1 << 64) - 1
+        for i in range(0, 32, 8):
+            x = (x ^ int.from_bytes(chunk[i : i + 8], "little")) * 0xFF51AFD7ED558CCD & m
+            x ^= x >> 32
+        x = x * 0xC4CEB9FE1A85EC53 & m
+        return x ^ (x >> 29)
+
+    chains = []
+    for d, row in zip(data, of, strict=True):
+        ranks = [rank[lv] for lv in row]
+        votes = Counter(min(range(s, s + digest.RUN), key=lambda i: (ranks[i], i)) for s in range(len(row) - digest.RUN + 1))  # noqa: B023
+        chosen = sorted(i for i, n in votes.items() if n >= digest.POPULAR and ranks[i] < digest.LEVELS)
+        if row and not chosen:
+            chosen = [min(range(len(row)), key=lambda i: (ranks[i], i))]  # noqa: B023
+        hashes = [mixed(d[i : i + 32]) for i in chosen]
+        if d and not row:
+            hashes = [(mixed(d.ljust(32, b"\0")) + len(d)) % (1 << 64)]
+        filters = []
+        for at in range(0, len(hashes), digest.FILTER):
+            part = hashes[at : at + digest.FILTER]
+            filters.append((len(part), {h >> 11 * k & (digest.BITS - 1) for h in part for k in range(digest.PROBES)}))
+        chains.append(filters)
+    return chains
+
+
+def plain_likeness(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if not a:
+        return float(not b)
+    total = 0.0
+    for n, x in a:
+        best = 0.0
+        for _, y in b:
+            chance, most = len(x) * len(y) / digest.BITS, min(len(x), len(y))
+            best = max(best, min(1.0, max(0.0, (len(x & y) - chance) / max(most - chance, 1e-9))))
+        total += n * best
+    return total / max(sum(n for n, _ in a), sum(n for n, _ in b))
+
+
+def test_digests_equal_the_plain_ones(spark, small):
+    import pandas as pd
+
+    texts = pd.read_parquet(f"{small}/documents.parquet")["text"].fillna("").str.slice(0, 1500).tolist()[:30]
+    texts += ["", "short", "x" * 31, "y" * 32, "z" * 400, "ab" * 200, "".join(chr(33 + i % 90) for i in range(7000)), texts[0] + texts[1]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    half = [len(t) // 2 for t in texts]
+    edited = [t[: len(t) - h] + texts[(i + 1) % len(texts)][:h] for i, (t, h) in enumerate(zip(texts, half, strict=True))]
+    rows = sorted(digest.compare(docs, digest.fit(docs)).collect(), key=lambda r: r["doc_id"])
+    # the rarities are those of the documents alone
+    counted = Counter()
+    for t in texts:
+        d = t.encode()
+        counted.update(int(lv) for lv in digest.levels(np.frombuffer(d, np.uint8)))
+    assert (digest.fit(docs) == digest.rarities(np.array([counted[lv] for lv in range(digest.LEVELS)]))).all()
+    own = plain_digest(texts)
+    bits = lambda chain: "".join(f"{n:02x}" + np.packbits(np.isin(np.arange(digest.BITS), list(x)).astype(np.uint8)).tobytes().hex() for n, x in chain)
+    for i, r in enumerate(rows):
+        assert r["fingerprint"] == bits(own[i]), texts[i][:60]
+        assert r["near_next"] == pytest.approx(plain_likeness(own[i], own[(i + 1) % len(own)]))
+        assert r["edited_sha256"] == hashlib.sha256(edited[i].encode()).hexdigest()
+    held = [digest.chain(h) for h in digest.selected([t.encode() for t in texts + edited], digest.fit(docs))]
+    for i, r in enumerate(rows):
+        assert r["edited_fingerprint"] == digest.text_of(held[len(texts) + i]) and r["near_edited"] == pytest.approx(digest.likeness(held[i], held[len(texts) + i]))
+
+
+def plain_terms(rows, alpha=1.25, doubt=0.01):
+    """Term spans of each row by the formulas as the module states them."""
+    import regex
+
+    words = lambda text: set(regex.findall(r"\p{L}{3,}", text.lower()))
+    total = len(rows)
+    n_t = Counter(t for _, text in rows for t in words(text))
+    texts = Counter(text for _, text in rows)
+    n_c, k_c, beside, n_ct, k_ct = Counter(), Counter(), Counter(), Counter(), Counter()
+    whose = {}
+    for text, n in texts.items():
+        spans, at, bare = plain_spans(text), 0, ""
+        for a, _, b, _ in spans:
+            if a >= at:
+                bare += text[at:a] + " "
+            at = max(at, b)
+        said = words(bare + text[at:])
+        whose[text] = {(k, text[a:b]) for a, _, b, k in spans}
+        for c in whose[text]:
+            n_c[c] += n
+            k_c[c] += 1
+            beside[c] += len(said)
+            for t in said:
+                n_ct[c, t] += n
+                k_ct[c, t] += 1
+    flagged = {}
+    for (c, t), n in n_ct.items():
+        pmi, ic = np.log2(n * total / (n_c[c] * n_t[t])), np.log2(total / n_c[c])
+        p, q = n_t[t] / total, k_ct[c, t] / k_c[c]
+        bits = 0.0
+        if q > p:
+            bits = k_c[c] * (q * np.log2(q / p) + ((1 - q) * np.log2((1 - q) / (1 - p)) if q < 1 and p < 1 else 0.0))
+        if ic > 0 and pmi >= ic / alpha and bits >= np.log2(beside[c] / doubt):
+            flagged.setdefault(c, set()).add(t)
+    out = {}
+    for i, text in rows:
+        named = set().union(*(flagged.get(c, set()) for c in whose[text]))
+        base = plain_spans(text)
+        found = [m.span() for m in regex.finditer(r"\p{L}+", text) if m.group().lower() in named]
+        out[i] = sorted((a, b) for a, b in found if not any(s[0] < b and a < s[2] for s in base))
+    return out
+
+
+def test_terms_follow_from_plain_counts(spark):
+    rnd = random.Random(12)
+    filler = [f"filler{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(12)]
+    some = lambda n: " ".join(rnd.choice(filler) for _ in range(n))
+    people = [(f"Name{chr(65 + i)}xyz", f"p{i}@mail{i}.org") for i in range(8)]
+    rows = []
+    for i in range(3_000):
+        text = some(20)
+        if i % 40 == 0:
+            name, mail = people[i // 40 % 8]
+            text = f"{some(5)} {name} wrote, {name.upper()}! {mail} {some(8)} {mail}"  # an entity that is named twice is in one document
+        elif i % 97 == 0:
+            text = f"{some(4)} 10.{i % 250}.3.4 once{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} {some(4)}"
+        rows.append((i, text))
+    rows += [(9_000 + i, rows[40][1]) for i in range(5)]  # copies are one text and several documents
+    spans = {r["doc_id"]: sorted((s["start"], s["end"]) for s in r["spans"] if s["kind"] == "term") for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = plain_terms(rows)
+    assert spans == want and sum(map(len, want.values())) > 100
