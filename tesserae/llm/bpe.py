@@ -8,9 +8,10 @@ before it, else takes the next shorter token there, and steps back when none is
 left; places from which no way leads on are marked and never tried twice, which
 bounds the work by the word's length times the longest chain of prefix tokens.
 
-The operator handles null texts as empty, gives one row for each input row
-(repeated rows included), keeps extra columns out of its way, and takes texts
-of any length whole.
+Defined results: a null text is empty and has no ids; each input row gives one row,
+repeated rows and rows with a null doc_id included; texts of any length are encoded in
+whole; no order is asked for, so there are no ties; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations

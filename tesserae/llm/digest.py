@@ -15,7 +15,8 @@ Defined results: a text of fewer than 32 bytes is one feature; an empty or null
 text has an empty digest, which is like an empty digest (1) and like no other
 (0); repeated rows give repeated results and rows of one doc_id stand in the
 order of their texts; a null doc_id comes first; a single document's next
-document is itself; an empty table gives no rows; other columns are ignored.
+document is itself; texts of any length are worked on in whole; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,8 +8,10 @@ open bin in logarithmic time; equal pieces that meet equal bins are placed
 together, as a run. A run says which ranks of a length go to which bins, and the
 pieces, ranked within their length across the cluster, look up their run.
 
-Defined results: a null or empty text is the end id alone; repeated rows are
-packed once for each row; an empty table gives no rows; other columns are ignored.
+Defined results: a null or empty text is the end id alone; repeated rows and rows
+with a null doc_id are packed once for each row; a text of any length is packed in
+whole, in as many pieces as it needs; pieces of one length take the places of that
+length in any order; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -23,8 +23,9 @@ replaces spans by their kind (a generalisation).
 Everything here is DataFrame functions: no Python runs on the executors.
 
 Defined results: a null text is empty and has no spans; a null doc_id is kept;
-repeated rows give repeated results; an empty table gives no rows; other columns
-are ignored by ``find`` and kept by ``sanitise``.
+repeated rows give repeated results; a text of any length is searched in whole; spans
+that begin at one place stand in the order of their kinds; an empty table gives no
+rows; other columns are ignored by ``find`` and kept by ``sanitise``.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ PATTERNS = {
 #: A text without a match of this has none of the kind.
 HINTS = {"email": "@", "ip": None, "card": None, "phone": "+"}
 SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
+#: Matches of a text that are placed at once.
+BLOCK = 64
 #: An entity in over one of so many documents is frequent; there are at most so many for each span of a document.
 FREQUENT = 1000
 
@@ -86,8 +89,20 @@ def located(text: Column, pattern: Column, kind: str) -> Column:
         more = F.when(p["m"].isNotNull(), F.array(span)).otherwise(F.array().cast(f"array<{SPAN}>"))
         return F.struct(end.alias("at"), F.concat(acc["out"], more).alias("out"))
 
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-    return F.aggregate(pairs, empty, step, lambda acc: acc["out"])
+    def walked(start: Column, some: Column) -> Column:
+        begin = F.struct(start.alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+        return F.aggregate(some, begin, step, lambda acc: acc["out"])
+
+    def placed(all_: Column) -> Column:
+        """In blocks, each from where those before it end: one long array that grows by single spans would cost its square."""
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int")), lambda b: F.slice(all_, b * BLOCK + 1, F.lit(BLOCK)))
+        lengths = F.transform(blocks, lambda some: F.aggregate(some, F.lit(0), lambda n, p: n + p["g"] + F.coalesce(F.char_length(p["m"]), F.lit(0))))
+        nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(lengths, nothing, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(starts, blocks, walked))
+
+    # the pairs as an array of one: within its lambda they are a value, and not worked out again for each use
+    return F.flatten(F.transform(F.array(pairs), lambda p: F.when(F.size(p) <= BLOCK, walked(F.lit(0), p)).otherwise(placed(p))))
 
 
 def base_spans(text: Column) -> Column:

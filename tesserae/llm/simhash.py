@@ -15,8 +15,10 @@ of each other share such a code, and a code has at most 65 fingerprints around i
 so this is exact and linear in the members.
 
 Defined results: a null or empty text, or one of white space, has fingerprint 0;
-repeated rows keep one result row each; a null doc_id never is a component's
-name unless it stands alone; an empty table gives no rows.
+repeated rows keep one result row each; texts of any length count with all their
+shingles; of equal fingerprints the least doc_id names the component; a null doc_id
+never is a component's name unless it stands alone; an empty table gives no rows;
+other columns are ignored by ``classes`` and kept by ``one_of_each``.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ row with that status; of calls (or results) that share an identifier the least
 by its content is linked, and their number is given; a call that waits for an
 unknown call has level 0 and says so; calls that wait for each other in a circle
 have no level; null arguments are no JSON; rows with a null identifier are folded
-under the empty one; empty tables give no rows.
+under the empty one; contents of any length are kept in whole; repeated rows are
+counted and linked once; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
