@@ -6,7 +6,6 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
 
 from tesserae.functions import arrow
 

@@ -1,10 +1,13 @@
 """Images as planes of luminance: perceptual hashes, statistics, and structure under turns and shifts. NumPy in Arrow functions.
 
-Decoding is the caller's: a plane is a square array of values from 0 to 1 as float32 bytes.
+Decoding is the caller's: a plane is a square array of values from 0 to 1 as float32
+bytes, and colours are three such values for each of its points.
 """
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,7 +16,10 @@ from pyspark.sql import functions as F
 from tesserae.functions import arrow
 
 CONFIRMED, FLAT = 0.985, 1e-7
-FEATURES = "hashes array<bigint>, quantiles array<double>, spectrum array<double>, edge double"
+FEATURES = "hashes array<bigint>, quantiles array<double>, spectrum array<double>, edge double, tints array<double>"
+LEVELS = (0.05, 0.25, 0.5, 0.75, 0.95)
+#: How far pictures may be apart in any quantile of colour or of contrast to be compared at all. Fixed values.
+COLOUR, CONTRAST = 0.075, 0.04
 
 
 def reduced(plane: np.ndarray, n: int) -> np.ndarray:
@@ -35,14 +41,15 @@ def perceptual_hash(plane: np.ndarray) -> int:
     return int(((c > np.median(c)).astype(np.uint64) << np.arange(63, dtype=np.uint64)).sum())
 
 
-def features(plane: np.ndarray) -> tuple:
+def features(plane: np.ndarray, colours: np.ndarray | None = None) -> tuple:
     small = reduced(plane, 64)
-    q = np.quantile(small, (0.05, 0.25, 0.5, 0.75, 0.95))
+    q = np.quantile(small, LEVELS)
+    tints = None if colours is None else np.quantile(np.stack([reduced(colours[..., i], 64) for i in range(3)]).reshape(3, -1), LEVELS, axis=1).ravel().tolist()
     power = np.abs(np.fft.fftshift(np.fft.fft2(small - small.mean()))) ** 2
     radius = np.hypot(*(np.indices(power.shape) - 32))
     rings = np.array([power[(radius >= a) & (radius < b)].sum() for a, b in zip((1, 2, 4, 8, 12, 18, 26), (2, 4, 8, 12, 18, 26, 46), strict=True)])
     edge = np.abs(np.diff(small, axis=0)).mean() + np.abs(np.diff(small, axis=1)).mean()
-    return [perceptual_hash(p) for p in turned(small)], list(q - q[2]), list(rings / max(rings.sum(), 1e-12)), float(edge)
+    return [perceptual_hash(p) for p in turned(small)], list(q - q[2]), list(rings / max(rings.sum(), 1e-12)), float(edge), tints
 
 
 def structure(a: np.ndarray, b: np.ndarray) -> float | None:
@@ -61,8 +68,12 @@ def _plane(data: bytes) -> np.ndarray:
 
 
 @arrow(FEATURES)
-def plane_features(planes: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([features(_plane(p)) for p in planes], columns=["hashes", "quantiles", "spectrum", "edge"])
+def plane_features(planes: pd.Series, colours: pd.Series) -> pd.DataFrame:
+    rows = []
+    for plane, rgb in zip(planes, colours, strict=True):
+        x = _plane(plane)
+        rows.append(features(x, None if rgb is None else np.frombuffer(rgb, "<f4").astype(float).reshape(*x.shape, 3)))
+    return pd.DataFrame(rows, columns=[f.split()[0] for f in FEATURES.split(", ")])
 
 
 @arrow("double")
@@ -75,39 +86,44 @@ def hamming(a: Column, b: Column) -> Column:
     return F.array_min(F.transform(a, lambda x: F.array_min(F.transform(b, lambda y: F.bit_count(x.bitwiseXOR(y))))))
 
 
+def neighbours(rows: DataFrame, field: str, places: tuple[int, ...], width: float) -> DataFrame:
+    """a_id < b_id of rows that may be within the width of each other in each of these places: they are in the same or neighbouring cells."""
+    cells = [F.floor(F.get(field, F.lit(i)) / width).alias(f"c{i}") for i in places]
+    base = rows.where(F.col(field).isNotNull()).select("id", *cells)
+    steps = F.explode(F.array(*(F.struct(*(F.lit(d).alias(f"d{i}") for i, d in zip(places, ds, strict=True))) for ds in product((-1, 0, 1), repeat=len(places)))))
+    right = base.withColumn("d", steps).select(F.col("id").alias("b_id"), *((F.col(f"c{i}") + F.col(f"d.d{i}")).alias(f"c{i}") for i in places))
+    return base.withColumnRenamed("id", "a_id").join(right, [f"c{i}" for i in places]).where("a_id < b_id").select("a_id", "b_id")
+
+
 def audit(images: DataFrame) -> DataFrame:
-    """a_id < b_id, reason, correlation, relation of images (id, sha256, plane).
+    """a_id < b_id, reason, correlation, relation of images (id, sha256, plane and, where there are any, rgb).
 
-    Contrast quantiles bound every rule but the hash rule, so pairs meet in
-    cells of the inner quantile and in equal 16-bit parts of a hash: a distance of
-    8 over 63 bits in four parts leaves some part within 2 bits of the other's.
+    Equal pictures are paired with the least of them, and only these meet others.
+    Every rule asks for like contrast or like colours, so pairs meet in cells of three
+    quantiles of the one or the other; features ride along, planes are fetched last.
     """
-    rows = images.select("id", "sha256", "plane", plane_features("plane").alias("f")).select("id", "sha256", "plane", "f.*")
-    cell = F.floor(F.get("quantiles", F.lit(3)) / 0.04)
-    flips = [0] + [1 << i for i in range(16)] + [1 << i | 1 << j for i in range(16) for j in range(i)]
-    part = lambda h, k: F.shiftrightunsigned(h, 16 * k).bitwiseAND(F.lit(0xFFFF))
-    near = F.explode(F.array(*(cell + d for d in (-1, 0, 1))))
-    contrast = rows.select(F.col("id").alias("a_id"), cell.alias("c")).join(rows.select(F.col("id").alias("b_id"), near.alias("c")), "c").select("a_id", "b_id")
-    one = rows.select(F.col("id").alias("a_id"), F.explode("hashes").alias("h")).select("a_id", F.posexplode(F.array(*(part(F.col("h"), k) for k in range(4)))).alias("k", "v"))
-    two = rows.select(F.col("id").alias("b_id"), F.get("hashes", F.lit(0)).alias("h")).select("b_id", F.posexplode(F.array(*(part(F.col("h"), k) for k in range(4)))).alias("k", "v"))
-    probes = two.select("b_id", "k", F.explode(F.transform(F.array(*(F.lit(x) for x in flips)), lambda x: F.col("v").bitwiseXOR(x))).alias("v"))
-    geometry = one.join(probes, ["k", "v"]).select("a_id", "b_id")
-    pair = F.struct(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id")).alias("p")
-    met = contrast.union(geometry).where("a_id <> b_id").select(pair).select("p.*").distinct()
+    firsts = images.groupBy("sha256").agg(F.min("id").alias("a_id"))
+    exact = images.select("sha256", F.col("id").alias("b_id")).join(firsts, "sha256").where("a_id <> b_id")
+    exact = exact.select("a_id", "b_id", F.lit("exact").alias("reason"), F.lit(None).cast("double").alias("correlation"), F.lit("exact").alias("relation"))
+    held = images.join(firsts.select(F.col("a_id").alias("id")), "id", "left_semi")
+    colours = F.col("rgb") if "rgb" in images.columns else F.lit(None).cast("binary")
+    rows = held.select("id", F.explode(F.array(plane_features("plane", colours))).alias("f")).select("id", "f.*")
+    met = neighbours(rows, "quantiles", (0, 3, 4), CONTRAST).union(neighbours(rows, "tints", (6, 7, 8), COLOUR)).distinct()
     side = lambda p: rows.select(*(F.col(c).alias(f"{p}_{c}") for c in rows.columns))
     both = met.join(side("a"), "a_id").join(side("b"), "b_id")
     most = lambda f: F.array_max(F.zip_with(f"a_{f}", f"b_{f}", lambda x, y: F.abs(x - y)))
     spread = lambda p: F.array_max(f"{p}_quantiles") - F.array_min(f"{p}_quantiles")
     edge = F.abs(F.col("a_edge") - F.col("b_edge"))
     rings = F.aggregate(F.zip_with("a_spectrum", "b_spectrum", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
-    c = F.col("contrast")
+    near = lambda contrast, colour: (F.col("contrast") <= contrast) | F.coalesce(F.col("colour") <= colour, F.lit(False))
     reason = (
-        F.when(F.col("a_sha256") == F.col("b_sha256"), "exact")
-        .when((hamming(F.col("a_hashes"), F.col("b_hashes")) <= 8) & (c <= 0.04), "perceptual-geometry")
-        .when((spread("a") <= 0.08) & (spread("b") <= 0.08) & (c <= 0.025) & (edge <= 0.018), "low-contrast-surface-family")
-        .when((c <= 0.035) & (rings <= 0.18) & (edge <= 0.018) & (F.greatest("a_edge", "b_edge") <= 0.23), "texture-statistics")
+        F.when(hamming(F.col("a_hashes"), F.col("b_hashes")) <= 8, "perceptual-geometry")
+        .when((spread("a") <= 0.08) & (spread("b") <= 0.08) & (F.col("contrast") <= 0.025) & (edge <= 0.018), "low-contrast-surface-family")
+        .when(near(0.035, 0.045) & (rings <= 0.18) & (edge <= 0.018) & (F.greatest("a_edge", "b_edge") <= 0.23), "texture-statistics")
     )
-    coarse = both.withColumn("contrast", most("quantiles")).withColumn("reason", reason).where("reason is not null")
-    scored = coarse.withColumn("correlation", plane_structure("a_plane", "b_plane"))
-    relation = F.when(F.col("reason") == "exact", "exact").when(F.col("correlation") >= CONFIRMED, "near").when((F.col("correlation") >= 0.9) | F.col("correlation").isNull() | F.isnan("correlation"), "candidate").otherwise("statistical")
-    return scored.select("a_id", "b_id", "reason", "correlation", relation.alias("relation"))
+    coarse = both.withColumns({"contrast": most("quantiles"), "colour": most("tints")}).where(near(CONTRAST, COLOUR)).withColumn("reason", reason).where("reason is not null").select("a_id", "b_id", "reason")
+    planes = lambda p: held.select(F.col("id").alias(f"{p}_id"), F.col("plane").alias(f"{p}_plane"))
+    scored = coarse.join(planes("a"), "a_id").join(planes("b"), "b_id").select("a_id", "b_id", "reason", F.explode(F.array(plane_structure("a_plane", "b_plane"))).alias("correlation"))
+    c = F.col("correlation")
+    relation = F.when(c >= CONFIRMED, "near").when((c >= 0.9) | c.isNull() | F.isnan(c), "candidate").otherwise("statistical")
+    return exact.unionByName(scored.select("a_id", "b_id", "reason", "correlation", relation.alias("relation")))

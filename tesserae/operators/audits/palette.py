@@ -28,8 +28,7 @@ def prepared(palettes: DataFrame) -> tuple[DataFrame, DataFrame]:
     error = F.when(F.col("colors").isNull(), "no colours").when(~count.between(LEAST, MOST), "number of colours").when(bad, "invalid colour")
     marked = canon.withColumn("error", error)
     good = marked.where("error is null").select("id", "colors", F.array_join("colors", ",").alias("ordered"), F.array_join(F.array_sort("colors"), ",").alias("unordered"))
-    # arrays of one, exploded: else whatever reads a vector or centroid would work it out again for each use
-    good = good.withColumn("vectors", F.explode(F.array(F.transform("colors", C.oklab6)))).withColumn("centroid", F.explode(F.array(C.centroid(F.col("vectors")))))
+    good = good.withColumn("vectors", F.transform("colors", C.oklab6)).withColumn("centroid", C.centroid(F.col("vectors")))
     return good, marked.where("error is not null").select("id", "error")
 
 
@@ -64,7 +63,9 @@ def near_cells(good: DataFrame) -> DataFrame:
     """
     cell = lambda i: F.floor(F.get("centroid", F.lit(i)) / CELL)
     kept = ("id", "unordered", "centroid")
-    base = good.select(*kept, F.size("vectors").alias("size"), *(cell(i).alias(f"c{i}") for i in range(3)))
+    # arrays of one, exploded: else every reader of a vector or centroid would work it out again
+    once = good.select("id", "unordered", F.explode(F.array("vectors")).alias("vectors")).select("id", "unordered", F.size("vectors").alias("size"), F.explode(F.array(C.centroid(F.col("vectors")))).alias("centroid"))
+    base = once.select(*kept, "size", *(cell(i).alias(f"c{i}") for i in range(3)))
     left = base.select(*(F.col(c).alias(f"a_{c}") if c in kept else F.col(c) for c in base.columns))
     steps = F.array(*(F.struct(*(F.lit(d).alias(f"d{i}") for i, d in enumerate(ds))) for ds in product((-1, 0, 1), repeat=3)))
     right = base.withColumn("d", F.explode(steps)).select(*(F.col(c).alias(f"b_{c}") for c in kept), "size", *((F.col(f"c{i}") + F.col(f"d.d{i}")).alias(f"c{i}") for i in range(3)))

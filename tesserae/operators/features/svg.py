@@ -7,7 +7,6 @@ from collections import Counter
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import functions as F
 
 from tesserae.functions import arrow
 from tesserae.operators.features import ANALYSIS, PROPERTIES, row

@@ -1,9 +1,11 @@
 """Greedy shards bounded by bytes and items, in catalog order, named by their content.
 
 Where a shard ends depends on where the one before it ended, so the rule is a
-scan. What is scanned is small: blocks of rows are folded to their sizes (an
-array of numbers for each block), and one task walks the blocks in order. Bodies
-stay where they are and meet their shard number afterwards.
+scan; but where a shard ends if it begins at a given row depends on the next few
+rows only. So blocks of rows say, each for itself, where the walk leaves them and
+after how many shards, for each row at which it may enter; one task follows these
+few numbers from block to block; and blocks deal out their shards, each for itself.
+Bodies stay where they are and meet their shard number afterwards.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae import vocab
@@ -34,19 +36,70 @@ def greedy(sizes, most_bytes: int = vocab.SHARD_BYTES, most_items: int = vocab.S
     return out, shard, used, held
 
 
+def _nexts(sizes: np.ndarray, most_bytes: int, most_items: int) -> np.ndarray:
+    """For each row, the row at which the next shard begins if one begins at this."""
+    if len(sizes) and sizes.max() > most_bytes:
+        raise ValueError("a row is larger than a shard")
+    sums = np.concatenate([[0], np.cumsum(sizes)])
+    full = np.searchsorted(sums, sums[:-1] + most_bytes, "right") - 1
+    return np.minimum(full, np.arange(len(sizes)) + most_items)
+
+
+def _walks(sizes: np.ndarray, own: int, most_bytes: int, most_items: int) -> tuple[list[int], list[int]]:
+    """For each row at which a walk may enter a block of ``own`` rows: the row behind the block at which it leaves, and the shards that begin inside."""
+    nexts = _nexts(sizes, most_bytes, most_items).tolist()
+    leaves, begun = [0] * (own + 1), [0] * (own + 1)
+    for i in range(own - 1, -1, -1):
+        if nexts[i] >= own:
+            leaves[i], begun[i] = nexts[i] - own, 1
+        else:
+            leaves[i], begun[i] = leaves[nexts[i]], begun[nexts[i]] + 1
+    return leaves, begun
+
+
 def assigned(rows: DataFrame, order: str, size: str, most_bytes: int = vocab.SHARD_BYTES, most_items: int = vocab.SHARD_ITEMS) -> DataFrame:
-    """order and shard (from 0). ``order`` is a unique number; its blocks are ranges of it."""
-    sizes = rows.select(F.col(order).cast("long").alias("o"), F.col(size).cast("long").alias("s")).withColumn("b", F.floor(F.col("o") / BLOCK))
-    blocks = sizes.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("o", "s"))).alias("r")).select("b", F.col("r.o").alias("o"), F.col("r.s").alias("s"))
+    """order and shard (from 0). ``order`` is a unique number."""
+    if most_items > BLOCK:
+        raise ValueError("a shard is larger than a block")
+    sizes = rows.select(F.col(order).cast("long").alias("o"), F.col(size).cast("long").alias("s"))
+    # rows are numbered without gaps: within ranges of the order, which begin where those before them end
+    ranged = sizes.withColumn("r", F.floor(F.col("o") / BLOCK))
+    before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = ranged.groupBy("r").agg(F.count(F.lit(1)).alias("n")).select("r", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    numbered = ranged.join(starts, "r").select("o", "s", (F.col("start") + F.row_number().over(Window.partitionBy("r").orderBy("o")) - 1).alias("n"))
+    # a block sees the rows behind it that a shard of its own may reach
+    home, place = F.floor(F.col("n") / BLOCK), F.col("n") % BLOCK
+    seen = numbered.select("o", "s", "n", F.explode(F.when((place < most_items) & (home > 0), F.array(home, home - 1)).otherwise(F.array(home))).alias("b"))
+    blocks = seen.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("n", "o", "s"))).alias("r")).select("b", F.col("r.o").alias("o"), F.col("r.s").alias("s"))  # BLOCK + most_items rows at most
+
+    def walks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [_walks(np.asarray(s, np.int64), min(len(s), BLOCK), most_bytes, most_items) for s in batch["s"]]
+            yield pd.DataFrame({"b": batch["b"], "leaves": [x[: most_items + 1] for x, _ in found], "begun": [n[: most_items + 1] for _, n in found]})
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = shard = 0
+        for batch in batches:
+            entries = []
+            for leaves, begun in zip(batch["leaves"], batch["begun"], strict=True):
+                entries.append((at, shard))
+                inside = min(at, len(leaves) - 1)
+                at, shard = int(leaves[inside]), shard + int(begun[inside])
+            yield pd.DataFrame({"b": batch["b"], "entry": [e for e, _ in entries], "shard": [s for _, s in entries]})
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = (0, 0, 0)
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for o, s in zip(batch["o"], batch["s"], strict=True):
-                found, *state = greedy(s, most_bytes, most_items, *state)
-                yield pd.DataFrame({"o": np.asarray(o), "shard": found})
+            for o, s, entry, shard in zip(batch["o"], batch["s"], batch["entry"], batch["shard"], strict=True):
+                own, nexts = min(len(s), BLOCK), _nexts(np.asarray(s, np.int64), most_bytes, most_items)
+                begins, i = np.zeros(own, np.int64), entry
+                while i < own:
+                    begins[i] = 1
+                    i = int(nexts[i])
+                yield pd.DataFrame({"o": np.asarray(o)[:own], "shard": shard - 1 + np.cumsum(begins)})
 
-    return blocks.repartition(1).sortWithinPartitions("b").select("o", "s").mapInPandas(walk, "o long, shard long").withColumnRenamed("o", order)
+    found = blocks.select("b", "s").mapInPandas(walks, "b long, leaves array<long>, begun array<long>")
+    entered = found.repartition(1).sortWithinPartitions("b").mapInPandas(follow, "b long, entry long, shard long")  # a few numbers a block
+    return blocks.join(entered, "b").select("o", "s", "entry", "shard").mapInPandas(deal, "o long, shard long").withColumnRenamed("o", order)
 
 
 def manifest(rows: DataFrame, shards: DataFrame, order: str, body: str) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae import vocab
-from tesserae.functions import color as C
 from tesserae.functions import text as T
 from tesserae.operators import passages, shards, stats
 from tesserae.operators.audits import glsl, palette

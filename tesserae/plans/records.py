@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.functions import text as T
 from tesserae.functions import urls
 from tesserae.operators import admission, consolidate, dedup, integrity
 from tesserae.operators.audits import exact

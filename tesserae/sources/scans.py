@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 
@@ -165,11 +166,17 @@ def jpeg_header(bodies: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["width", "height", "error"]).astype({"width": "Int32", "height": "Int32"})
 
 
+def below(path: Column, folder: str) -> Column:
+    """A file's path as it is below the folder, whatever its store is called."""
+    plain = re.sub(r"^[a-z]+:/+", "/", folder.rstrip("/"))
+    return F.regexp_extract(F.url_decode(F.regexp_replace(path, r"\+", "%2B")), rf"{re.escape(plain)}/(.*)$", 1)
+
+
 def images(spark: SparkSession, folder: str, records: DataFrame) -> DataFrame:
-    """Records (path, width, height, sha256) with ``error``, null where the file is just that picture."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").load(folder).where(F.col("length") <= IMAGE_BYTES)
-    found = files.select(F.element_at(F.split("path", "/"), -1).alias("_name"), F.sha2("content", 256).alias("_sha"), jpeg_header("content").alias("_h"))
-    met = records.join(found, F.element_at(F.split("path", "/"), -1) == F.col("_name"), "left")
+    """Records (path below the folder, width, height, sha256) with ``error``, null where the file is just that picture."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").option("recursiveFileLookup", True).load(folder).where(F.col("length") <= IMAGE_BYTES)
+    found = files.select(below(F.col("path"), folder).alias("_name"), F.sha2("content", 256).alias("_sha"), jpeg_header("content").alias("_h"))
+    met = records.join(found, F.col("path") == F.col("_name"), "left")
     error = (
         F.when(F.col("_name").isNull(), "no file").when(F.col("_h.error").isNotNull(), F.col("_h.error")).when(F.col("_sha") != F.col("sha256"), "another digest")
         .when((F.col("_h.width") != F.col("width")) | (F.col("_h.height") != F.col("height")), "another size").when(~F.col("width").between(32, 1024) | ~F.col("height").between(32, 1024), "size out of bounds")
@@ -183,6 +190,23 @@ def line_range(text: Column, first: Column, last: Column) -> Column:
     return F.array_join(F.slice(lines, first, F.greatest(last - first + 1, F.lit(0))), "")
 
 
+def extracted(sources: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Pieces (id, name, first, last, sha256) with ``code``, those lines of the source (name, content), or ``error``."""
+    met = pieces.join(sources.select("name", F.decode("content", "UTF-8").alias("_text")), "name", "left")
+    code = line_range(F.col("_text"), F.col("first"), F.col("last"))
+    there = F.size(F.split(F.col("_text"), r"(?<=\n)")) >= F.col("last")
+    error = F.when(F.col("_text").isNull(), "no file").when(~there | (F.col("first") < 1) | (F.col("last") < F.col("first")), "no such lines").when(F.sha2(code, 256) != F.col("sha256"), "another digest")
+    return met.withColumn("error", error).withColumn("code", F.when(F.col("error").isNull(), code)).drop("_text")
+
+
+def rebuilt(pieces: DataFrame, repairs: DataFrame) -> DataFrame:
+    """id, fault of repairs (id, code) that are not just their pieces (id, place, code) of pinned sources, in order."""
+    made = pieces.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "code"))), lambda p: p["code"]), "").alias("made"), F.count_if(F.col("code").isNull()).alias("lost"))  # the pieces of one component
+    met = repairs.select("id", "code").join(made, "id", "left")
+    fault = F.when(F.col("made").isNull(), "no source").when(F.col("lost") > 0, "a piece is lost").when(F.col("made") != F.col("code"), "not as in the source")
+    return met.select("id", fault.alias("fault")).where("fault is not null")
+
+
 def pinned_files(spark: SparkSession, folder: str, pins: DataFrame) -> DataFrame:
     """Pins (name, sha256) with the file's content, or ``error``."""
     files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")

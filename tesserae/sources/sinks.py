@@ -9,7 +9,6 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae import vocab
 from tesserae.functions import text as T
 
 EXPORT_COLUMNS = ("id", "title", "description", "category", "kind", "domain", "language", "license", "sourceName", "sourceUrl", "tags", "colors", "access", "verifiedAt", "preview", "analysis", "code")
@@ -49,17 +48,6 @@ def published(spark, path: str) -> str:
         raise Unavailable(path) from e
 
 
-def by_category(items: DataFrame) -> DataFrame:
-    """category, items (JSON of each record in order of id): a row for every category, also for empty ones."""
-    made = items.groupBy("category").agg(F.sort_array(F.collect_list(F.struct("id", F.to_json(F.struct(*items.columns)).alias("json")))).alias("r")).select("category", F.col("r.json").alias("items"))
-    every = items.sparkSession.createDataFrame([(c,) for c in vocab.CATEGORIES], "category string")
-    return every.join(made, "category", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
-
-
-def write_collections(items: DataFrame, path: str) -> None:
-    items.repartition("category").sortWithinPartitions("category", "id").write.mode("overwrite").partitionBy("category").json(path)
-
-
 def export_cells(items: DataFrame) -> DataFrame:
     """The export's columns as text: nested values as JSON, no cell that a spreadsheet would run."""
     there = dict(items.dtypes)
@@ -78,8 +66,16 @@ def write_csv(items: DataFrame, path: str) -> None:
     export_cells(items).write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
 
 
-def alias_map(aliases: DataFrame) -> DataFrame:
-    return aliases.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("alias", "item_id"))))).alias("aliases"))
+def write_aliases(aliases: DataFrame, path: str, updated: str, version: int = 1) -> None:
+    """One JSON object {version, updatedAt, aliases}, its entries in order of the aliases; written an entry at a time."""
+    folder = os.path.dirname(os.path.abspath(path))
+    os.makedirs(folder, exist_ok=True)
+    with open(f"{path}.new", "w", encoding="utf-8") as f:
+        f.write(f'{{"version":{version},"updatedAt":{json.dumps(updated)},"aliases":{{')
+        for i, r in enumerate(aliases.orderBy("alias").select("alias", "item_id").toLocalIterator()):
+            f.write(("," if i else "") + f"{json.dumps(r['alias'], ensure_ascii=False)}:{json.dumps(r['item_id'], ensure_ascii=False)}")
+        f.write("}}")
+    os.replace(f"{path}.new", path)
 
 
 def digest_text(stats: dict) -> str:

@@ -364,7 +364,9 @@ def test_sources_and_sinks(spark, tmp_path):
     sinks.write_csv(items, str(tmp_path / "csv"))
     back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv")).collect()
     assert {r["title"] for r in back} == {"fine", "'=1+1"}
-    assert sinks.by_category(items).count() == 13
+    aliases = spark.createDataFrame([("y", "b"), ("x", 'a"')], "alias string, item_id string")
+    sinks.write_aliases(aliases, str(tmp_path / "aliases.json"), "2026-01-01")
+    assert (tmp_path / "aliases.json").read_text() == '{"version":1,"updatedAt":"2026-01-01","aliases":{"x":"a\\"","y":"b"}}'
     pins = spark.createDataFrame([("x.json", "0"), ("none", "0")], "name string, sha256 string")
     assert {r["name"]: r["error"] for r in scans.pinned_files(spark, str(tmp_path / "out"), pins).collect()} == {"x.json": "another digest", "none": "no file"}
     assert "animation: 2" in sinks.digest_text({"total": 2, "category": {"animation": 2}})
