@@ -26,7 +26,7 @@ def index_tokens(parents: DataFrame) -> DataFrame:
         "tags": merged(F.array_join("tags", " "), lambda v: F.array_join(v["tags"], " ")),
         "sourceName": F.when(F.col("variants").isNull(), F.col("sourceName")).otherwise(F.array_join(F.array_distinct(F.transform("variants", lambda v: v["sourceName"])), " ")),
     }
-    capped = [F.substring(F.coalesce(texts[n], F.lit("")), 1, vocab.INDEX_CHARS) for n in texts] + [F.substring(analysis.terms(), 1, vocab.ANALYSIS_CHARS)]
+    capped = [F.substring(F.coalesce(texts[n], F.lit("")), 1, vocab.INDEX_CHARS) for n in texts] + [F.substring(analysis.terms("summaries" in parents.columns), 1, vocab.ANALYSIS_CHARS)]
     folded = [T.tokens(T.fold(c)) for c in capped]
     return parents.select("id", F.concat(*folded).alias("tokens"))
 

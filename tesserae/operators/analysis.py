@@ -69,9 +69,10 @@ def analysed_items(items: DataFrame) -> DataFrame:
     )
 
 
-def terms() -> Column:
-    """Index terms of an analysis."""
-    lists = [F.coalesce(n, F.array().cast("array<string>")) for n in ("effects", "components", "properties", "techniques", "use_cases", "signals")]
+def terms(summaries: bool = False) -> Column:
+    """Index terms of an analysis, with the summaries of a review where there are any."""
+    names = ("effects", "components", "properties", "techniques", "use_cases", "signals", *(["summaries"] if summaries else []))
+    lists = [F.coalesce(n, F.array().cast("array<string>")) for n in names]
     return F.substring(F.concat_ws(" ", "asset_type", F.coalesce("domain", F.lit("reference")), *(F.array_join(x, " ") for x in lists), "basis"), 1, vocab.ANALYSIS_CHARS)
 
 

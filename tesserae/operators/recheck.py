@@ -91,6 +91,11 @@ def findings(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reduce(DataFrame.unionByName, found), reduce(DataFrame.unionByName, seen)
 
 
+def reported(found: DataFrame) -> DataFrame:
+    """Findings in the order of a report."""
+    return found.orderBy("domain", "section", "a_id", "b_id")
+
+
 def uncovered(items: DataFrame, seen: DataFrame) -> DataFrame:
     """domain, id of records that an audit should have seen and has not, or has seen without one."""
     want = items.select(domain_of().alias("domain"), "id").where(F.col("domain").isin(*DOMAINS))

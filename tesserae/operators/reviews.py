@@ -165,7 +165,7 @@ def removal_faults(removed: DataFrame, items: DataFrame) -> DataFrame:
     return met.select("id", faults.alias("faults")).where(F.size("faults") > 0)
 
 
-ANNOTATION = "targetDomain string, resourceType string, assetType string, effects array<string>, components array<string>, useCases array<string>, evidence struct<basis:string,confidence:string>, preview struct<mode:string,assetId:string>"
+ANNOTATION = "targetDomain string, resourceType string, assetType string, effects array<string>, components array<string>, useCases array<string>, evidence struct<basis:string,confidence:string,summaryKO:string,summaryEN:string>, preview struct<mode:string,assetId:string>"
 
 
 def annotated(items: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -175,7 +175,8 @@ def annotated(items: DataFrame, reviews: DataFrame) -> DataFrame:
     new = {"asset_type": "assetType", "effects": "effects", "components": "components", "use_cases": "useCases", "basis": "evidence.basis", "confidence": "evidence.confidence"}
     fields = [F.when(F.col("_r").isNotNull(), F.col(f"_r.{new[c]}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in items.columns]
     more = {"target_domain": "targetDomain", "resource_type": "resourceType", "preview_mode": "preview.mode", "preview_asset": "preview.assetId"}
-    return met.select(*fields, *(F.col(f"_r.{path}").alias(name) for name, path in more.items()))
+    summaries = F.when(F.col("_r").isNotNull(), F.array("_r.evidence.summaryKO", "_r.evidence.summaryEN")).alias("summaries")
+    return met.select(*fields, *(F.col(f"_r.{path}").alias(name) for name, path in more.items()), summaries)
 
 
 RECEIPT = "struct<version:int,original:struct<path:string,sha256:string>,notice:struct<path:string,sha256:string>,storedSha256:string>"

@@ -39,7 +39,7 @@ def test_shards_begin_where_a_walk_says(spark, monkeypatch):
     rows = spark.createDataFrame([(i * i, s) for i, s in enumerate(sizes)], "o long, s long").repartition(5)
     got = {r["o"]: r["shard"] for r in shards.assigned(rows, "o", "s", 100, 6).collect()}
     assert [got[i * i] for i in range(500)] == shards.greedy(sizes, 100, 6)[0]
-    assert shards.assigned(rows.limit(0), "o", "s").collect() == []
+    assert shards.assigned(rows.limit(0), "o", "s", 100, 6).collect() == []
     with pytest.raises(Exception, match="larger than a shard"):
         shards.assigned(rows, "o", "s", 50, 6).collect()
 
@@ -141,6 +141,7 @@ def test_recheck(spark):
     found, summary, verdict = recheck.recheck(items)
     assert {(r["domain"], r["section"]): (r["n"], r["open"]) for r in summary.collect()} == {("css", "exact"): (1, 1), ("css", "candidate"): (1, 1), ("css", "error"): (1, 1)}
     assert [tuple(r) for r in verdict.collect()] == [(3, False)]
+    assert [(r["domain"], r["section"], r["a_id"], r["b_id"]) for r in recheck.reported(found).collect()] == [("css", "candidate", "a", "c"), ("css", "exact", "a", "b")]
     pair = found.where("section = 'candidate'").select("domain", "a_id", "b_id", "a_sha", "b_sha").withColumn("decision", F.lit("distinct"))
     sound = items.where("id not in ('b', 'x')")
     assert [tuple(r) for r in recheck.recheck(sound, pair)[2].collect()] == [(0, True)] and [tuple(r) for r in recheck.recheck(sound)[2].collect()] == [(1, False)]
@@ -173,6 +174,7 @@ def test_build_with_repairs_reviews_and_removals(spark, tmp_path):
     checks = {r["check"]: r["faults"] for r in c.verify().collect()}
     assert len(checks) > 20 and not any(checks.values()), {k: v for k, v in checks.items() if v}
     assert c.reconstructed(parts).collect() == []
+    assert [i["id"] for i in c.search(query="요약")["items"]] == ["i2"]
     assert {r["id"]: r["variants"] for r in exports.discovery(c.part("items")).select("id", F.size("variant_titles").alias("variants")).collect()}["i0"] == 2
     assert exports.browse(c.part("items"), exports.details(c.part("items").select("id", "pos", "title"))[1]).where("detail_shard is null").count() == 0
     counts = {(r["field"], r["value"]): r["n"] for r in exports.review_counts(c.part("items").where("kind = 'reference'")).collect()}
