@@ -111,7 +111,8 @@ def shingles(words: Column, width: int) -> Column:
 
 def in_vocabulary(found: Column, vocabulary: tuple[str, ...]) -> Column:
     """The found values in the vocabulary's order."""
-    return F.filter(F.array(*(F.lit(v) for v in vocabulary)), lambda v: F.array_contains(found, v))
+    # an intersection keeps the order of its first side, and looks at the second once
+    return F.array_intersect(F.array(*(F.lit(v) for v in vocabulary)), F.coalesce(found, F.array().cast("array<string>")))
 
 
 def formula_guarded(cell: Column) -> Column:

@@ -17,7 +17,9 @@ def shared_runs(passages: DataFrame, key: str, texts: DataFrame, name: str, colu
     Runs of texts are held against those of the passages before anything moves, so
     what moves are the runs that are shared, and each is one row a text and passage.
     """
-    said = lambda df, k: df.select(F.col(k), F.explode(T.shingles(T.tokens(F.col(column)), width)).alias("run"))
+    # an array of one, exploded: else each step of a run would split the text again
+    words = lambda df, k: df.select(F.col(k), F.explode(F.array(T.tokens(F.col(column)))).alias("w"))
+    said = lambda df, k: words(df, k).select(k, F.explode(T.shingles(F.col("w"), width)).alias("run"))
     runs = said(passages, key).distinct()
     many = runs.count() > CARRIED
     held = runs if many else F.broadcast(runs)  # its size was checked
