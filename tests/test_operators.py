@@ -285,7 +285,7 @@ def test_stats(spark):
 def bundle(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("catalog"))
     base = records(
-        spark, {"title": "한국어 Fade", "tags": ["fade", "soft"]}, {"title": "áccent Spin", "code": sheet("q", "2s")}, {"title": "Palette", "kind": "palette", "category": "palette", "language": "json", "code": None, "colors": ["#112233", "#abc"]},
+        spark, {"title": "한국어 Fade", "tags": ["fade", "soft"]}, {"title": "áccent Spin", "code": sheet("q", "2s")}, {"title": "Palette", "kind": "palette", "category": "palette", "language": "json", "code": '["#112233","#abc"]', "colors": ["#112233", "#abc"]},
         {"title": "Link", "kind": "reference", "category": "reference", "language": "link", "code": None, "license": "Unknown"}, {"title": "Shader", "category": "transition", "language": "glsl", "code": SHADER.format(v="x", n="0.5")}, {"title": "Drawing", "category": "shape", "language": "svg", "code": drawing(), "preview": ("svg", "v", None, None)},
     )
     wave = records(spark, {"id": "w0", "code": sheet() + " "}, {"id": "w1", "code": sheet("new", "9s", "0.1"), "sourceUrl": "https://example.org/0", "title": "한국어 Fade"})
