@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, digest, packing, pii, sharding, simhash, store, toolcalls, toxicity, vafile
+from tesserae.llm import bpe, digest, importance, jaccard, packing, pii, sessions, sharding, simhash, store, toolcalls, toxicity, vafile
 from tesserae.llm import common
 from tesserae.llm.common import folder
 
@@ -127,6 +127,92 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op11_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: The table of CRC-32, and the CRC-32 of an expression's UTF-8 bytes by it.
+CRC_TABLE = "crc as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, j: xor(c >> 1, 3988292384 * (c & 1)))) as t)"
+
+
+def crc32_sql(text: str) -> str:
+    byte = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {byte}), lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), 4294967295::bigint)"
+
+
+OP11_SQL = f"""
+with {CRC_TABLE},
+texts as (select doc_id, false as target, text from documents union all select null, true, text from benchmark),
+said as (
+  select row_number() over () as r, doc_id, target,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w
+  from texts),
+features as (
+  select r, target, unnest(list_concat(w, list_transform(range(greatest(len(w) - 1, 0)), lambda i: w[i + 1] || ' ' || w[i + 2]))) as f from said),
+counted as (select r, target, f, count(*) as n from features group by all),
+coded as (select f, {crc32_sql("f")} % 10000 as b from (select distinct f from counted), crc),
+placed as (select r, target, b, n from counted join coded using (f)),
+sums as (select sum(n) filter (not target) as s, sum(n) filter (target) as t from placed),
+buckets as (
+  select b, floor(1000 * ln((coalesce(sum(n) filter (target), 0) + 1)::double * (coalesce(any_value(sums.s), 0) + 10000)::double
+         / ((coalesce(sum(n) filter (not target), 0) + 1)::double * (coalesce(any_value(sums.t), 0) + 10000)::double))) as gain
+  from placed, sums group by b),
+weighed as (select r, sum(n)::bigint as n_features, floor(sum(n * gain) / sum(n))::bigint as weight from placed join buckets using (b) where not target group by r),
+scored as (
+  select r, doc_id, len(w) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as score
+  from said left join weighed using (r) where not target),
+drawn as (
+  select r, row_number() over (order by score desc, doc_id) as rank, count(*) over () as n from scored where n_words >= 20)
+select doc_id, n_features, weight, score, case when rank <= floor(25 * n / 100) then rank end as rank
+from scored left join drawn using (r)
+"""
+
+
+def op12_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"))
+
+
+def op13_session_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as events that may come some batches late."""
+    crc = lambda x: F.crc32(x.cast("string").cast("binary"))
+    turns = table(spark, sf_dir, "conversations").where("turn is not null").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"))
+    c, h = crc(F.col("conv_id")), crc(F.concat_ws(":", "conv_id", "turn"))
+    events = turns.select("conv_id", "turn", c.alias("c"), h.alias("h")).selectExpr(
+        "2 * ((conv_id - pmod(conv_id, 8)) div 8) + c % 2 as user",
+        "(c div 2) % 7200 + 300 * turn + h % 600 as at",
+        "h as value",
+        "(h div 600) as g",
+    )
+    at, g = F.col("at"), F.col("g")
+    batch = (at - F.pmod(at, F.lit(1800))) / 1800 + F.when(g % 5 == 0, g % 4).otherwise(0)
+    found = sessions.versions(events.select("user", "at", batch.cast("long").alias("batch"), "value"), 240)
+    return found.select(
+        *("user", "batch", F.col("start").alias("start_s"), F.col("end").alias("end_s"), "n_events", "n_new", "n_retracted"),
+        *(F.col("total").alias("h_sum"), "retracted_batch", F.col("retracted_start").alias("retracted_start_s")),
+    )
+
+
+OP13_SQL = f"""
+with {CRC_TABLE},
+turns as (select conv_id, turn, {crc32_sql("conv_id::varchar")} as c, {crc32_sql("conv_id || ':' || turn")} as h from conversations, crc where turn is not null and conv_id is not null),
+events as (
+  select 2 * floor(conv_id / 8)::bigint + c % 2 as user, (c // 2) % 7200 + 300 * turn + h % 600 as s, h, h // 600 as g from turns),
+dealt as (select user, s, h, floor(s / 1800)::bigint + case when g % 5 = 0 then g % 4 else 0 end as batch from events),
+batches as (select distinct user, batch as b from dealt),
+so_far as (select user, b, s, h, batch, s - lag(s) over (partition by user, b order by s) as gap from dealt join batches using (user) where batch <= b),
+parted as (select *, count(*) filter (gap is null or gap > 240) over (partition by user, b order by s) as part from so_far),
+made as (
+  select user, b as batch, min(s) as start_s, max(s) as end_s, count(*) as n_events, count(*) filter (batch = b) as n_new, sum(h)::bigint as h_sum
+  from parted group by user, b, part having count(*) filter (batch = b) > 0),
+after as (
+  select v.user, v.batch, v.start_s, min(struct_pack(b := w.batch, s := w.start_s)) as next
+  from made v join made w on v.user = w.user and w.batch > v.batch and v.start_s between w.start_s and w.end_s group by all),
+before as (select user, next.b as batch, next.s as start_s, count(*) as n from after group by all)
+select made.user, made.batch, made.start_s, end_s, n_events, n_new, coalesce(before.n, 0) as n_retracted, h_sum, next.b as retracted_batch, next.s as retracted_start_s
+from made left join after using (user, batch, start_s) left join before using (user, batch, start_s)
+"""
+
 QUERIES = {
     "op1_tool_calls": op1_tool_calls,
     "op2_improbable_digest": op2_improbable_digest,
@@ -138,5 +224,8 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_token_store": op9_token_store,
     "op10_bpe_codec": op10_bpe_codec,
+    "op11_importance_draw": op11_importance_draw,
+    "op12_jaccard_components": op12_jaccard_components,
+    "op13_session_versions": op13_session_versions,
 }
-ORACLES = {"op1_tool_calls": OP1_SQL, "op5_va_file_topk": OP5_SQL}
+ORACLES = {"op1_tool_calls": OP1_SQL, "op5_va_file_topk": OP5_SQL, "op11_importance_draw": OP11_SQL, "op13_session_versions": OP13_SQL}
