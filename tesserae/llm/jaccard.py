@@ -4,19 +4,20 @@ Multiple-global-order filtering. If two sets are as like as asked for, then in a
 of all shingles that is the same for both they share one of their first
 n - ceil(percent n / 100) + 1 (their prefixes), and the first that they share leaves
 enough behind it in both. Here there are two orders. Each has a class of its own, a
-quarter of all shingles by their hashes: shingles of the class come first, the rarest
+sixth of all shingles by their hashes: shingles of the class come first, the rarest
 first, and all others after them by hash. So a prefix mostly holds what is rare, the
-two orders know nothing of each other, and what has to be counted and moved is a quarter
+two orders know nothing of each other, and what has to be counted and moved is a sixth
 of the corpus for the first order. The second has only those texts that share a prefix shingle with
 another in the first. A pair is compared if both orders allow it.
 
 Texts with equal sets are one node, whatever their number. In a list (the nodes that share a
 prefix shingle) nobody is paired with everybody: all are held against the node with the
 least share of rarer shingles (the centre of a group of copies), then what is left in other
-components against the next such node. In the end, those lists that still hold several
-components meet by pairs of prefix shingles, one of each order: both filters are then
-met by the key itself, and no pair is made that only one of them allows. Comparing
-is exact, by whole sets. Every link is either found or connects nodes that are connected.
+components against the next such node. In the end, what is left of a list without its first
+centre, and has room for an overlap with any of the others, meets in pairs; in
+long lists by pairs of prefix shingles, one of each order, so that both filters are met
+by the key itself. Comparing is exact, by whole sets. Every link is either found or
+connects nodes that are connected.
 
 Shingles are held as 64-bit hashes; two different ones of one pair of texts that have the
 same are not told apart. A task holds a block of texts or pairs at a time, never a list.
@@ -45,7 +46,9 @@ from tesserae.llm.simhash import shingle_hashes
 
 WIDTH, PERCENT = 3, 90
 #: Classes of shingles, of which each order counts one.
-CLASSES = 4
+CLASSES = 6
+#: Members of a list that are paired directly in the end.
+ROOM = 64
 
 
 def prefix(n, percent: int = PERCENT):
@@ -61,7 +64,7 @@ def shingles(text: str, width: int = WIDTH) -> np.ndarray:
 
 def ordered(h: np.ndarray, order: int, percent: int = PERCENT) -> tuple[np.ndarray, int]:
     """The shingles that may stand in the prefix of this order (its class, then what is missing of the others by hash), and the size of the class."""
-    mine = (h & np.uint64(CLASSES - 1)) == order
+    mine = h % np.uint64(CLASSES) == order
     own, lack = h[mine], prefix(len(h), percent) - int(mine.sum())
     return (np.concatenate([own, h[~mine][:lack]]) if lack > 0 else own), len(own)
 
@@ -170,6 +173,29 @@ def _placed(first: DataFrame, links: DataFrame | None) -> DataFrame:
     return placed.join(several.hint("merge"), "h", "left_semi")
 
 
+def _ends(x: str, y: str):
+    return F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b")
+
+
+def _rest(left: DataFrame, centres: DataFrame, second: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of a list that no centre has settled. Its first centre is done with; so is who has no room for even the least of the others.
+
+    A list of more than ``ROOM`` meets by pairs of prefix shingles, one of each order.
+    """
+    others = left.join(centres.select("h", "node").hint("merge"), ["h", "node"], "left_anti")
+    least = others.groupBy("h").agg(F.min("n").alias("least"))
+    fit = others.join(least.hint("merge"), "h").where((F.col("n") - F.col("pos")) * (100 + percent) >= percent * (F.col("n") + F.col("least")))
+    fit = settle(fit.select("h", "node", "n", "pos", "root"), "fit")
+    lists = fit.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("many")).where("low <> high")
+    open_ = settle(fit.join(lists.select("h", "many").hint("merge"), "h"), "open")
+    other = lambda x, y: (F.col(f"{x}.node") < F.col(f"{y}.node")) & (F.col(f"{x}.root") != F.col(f"{y}.root")) & enough(x, y, "pos", percent)
+    few = open_.where(F.col("many") <= ROOM)
+    direct = few.alias("x").join(few.alias("y"), "h").where(other("x", "y")).select(*_ends("x", "y"))
+    more = open_.where(F.col("many") > ROOM).join(second.select("node", F.col("h").alias("g"), F.col("pos").alias("pos2")).hint("merge"), "node")
+    twice = more.alias("x").join(more.alias("y"), ["h", "g"]).where(other("x", "y") & enough("x", "y", "pos2", percent)).select(*_ends("x", "y"))
+    return direct.union(twice).distinct()
+
+
 def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     found = settle(tokens(docs, width, percent).withColumn("row", F.monotonically_increasing_id()), "tokens")
@@ -185,8 +211,7 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
 
     first = order(0, nodes)
     second = order(1, first.select("node").distinct())
-    both = lambda x, y: (F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b"))
-    links = tried = hubs = None
+    links = tried = hubs = hubs0 = None
     for _ in range(2):
         left = _placed(first, links)
         if hubs is not None:  # the next centre is one of what the first is not connected with
@@ -196,11 +221,9 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
         rarer = F.struct((F.col("pos") / F.col("n")).alias("share"), "node", "n", "pos", "root")
         hubs = settle(left.groupBy("h").agg(F.min(rarer).alias("y")).select("h", "y.node", "y.n", "y.pos", "y.root"), "hubs")
         met = left.alias("x").join(hubs.alias("y").hint("merge"), "h").where("x.root <> y.root").where(enough("x", "y", "pos", percent))
-        links, tried = _compared(met.select(*both("x", "y")).distinct(), second, texts, links, tried)
-    left = _placed(first, links)
-    twice = settle(left.join(second.select("node", F.col("h").alias("g"), F.col("pos").alias("pos2")).hint("merge"), "node"), "twice")
-    met = twice.alias("x").join(twice.alias("y"), ["h", "g"]).where("x.node < y.node and x.root <> y.root").where(enough("x", "y", "pos", percent) & enough("x", "y", "pos2", percent))
-    links, _ = _compared(met.select(*both("x", "y")).distinct(), None, texts, links, tried)
+        links, tried = _compared(met.select(*_ends("x", "y")).distinct(), second, texts, links, tried)
+        hubs0 = hubs0 if hubs0 is not None else hubs
+    links, _ = _compared(_rest(_placed(first, links), hubs0, second, percent), second, texts, links, tried)
 
     roots = least_labels(links)
     named = nodes.join(roots.hint("merge"), "node", "left").select("key", "low", F.coalesce("root", "node").alias("root"))
@@ -209,11 +232,9 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     return found.select("doc_id", "n", "key").join(by_key.hint("merge"), "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _compared(pairs: DataFrame, second: DataFrame | None, texts: Texts, links: DataFrame | None, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+def _compared(pairs: DataFrame, second: DataFrame, texts: Texts, links: DataFrame | None, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Links and tried pairs with what these pairs add; pairs that only the first order allows are not compared."""
     fresh = pairs if tried is None else pairs.join(tried.hint("merge"), ["a", "b"], "left_anti")
-    if second is not None:
-        fresh = agreed(fresh, second, texts.percent)
-    fresh = settle(fresh, "pairs")
+    fresh = settle(agreed(fresh, second, texts.percent), "pairs")
     more = texts.links(fresh)
     return (more if links is None else links.union(more)), (fresh if tried is None else tried.union(fresh))
