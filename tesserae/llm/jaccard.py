@@ -12,11 +12,11 @@ another in the first. A pair is compared if both orders allow it.
 
 Texts with equal sets are one node, whatever their number. In a list (the nodes that share a
 prefix shingle) nobody is paired with everybody: all are held against the node with the
-least share of rarer shingles (the centre of a group of copies), then what is left in other
+least share of shingles of its own (the centre of a group of copies), then what is left in other
 components against the next such node. In the end, what is left of a list without its first
-centre, and has room for an overlap with any of the others, meets in pairs; in
-long lists by pairs of prefix shingles, one of each order, so that both filters are met
-by the key itself. Comparing is exact, by whole sets. Every link is either found or
+centre, and has room for an overlap with any of the others, meets in pairs; the
+members of long lists do so by a third order, of all shingles by their number among
+just these members. Comparing is exact, by whole sets. Every link is either found or
 connects nodes that are connected.
 
 Shingles are held as 64-bit hashes; two different ones of one pair of texts that have the
@@ -88,19 +88,20 @@ def tokens(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def entries(some: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """h, node, n, pos of what stands in the prefixes of two nodes or more, from node, t, s and n of ``sizes`` (node, n, s).
+    """h, node, n, pos, own of what stands in the prefixes of two nodes or more, from node, t, s and n of ``sizes`` (node, n, s).
 
-    ``pos`` is how many shingles of the node come before. A shingle that only one
-    node names is counted and not moved on; it stands before all others of its class.
+    ``pos`` is how many shingles of the node come before, ``own`` how many of the class no
+    other node has: these are counted and not moved on, and stand before all others.
     """
     rows = some.select("node", F.posexplode("t").alias("i", "h"), "s").select("node", "h", F.when(F.col("i") >= F.col("s"), F.col("i").cast("long")).alias("late"))
     counts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
     met = rows.join(counts.hint("merge"), "h").join(sizes.hint("merge"), "node")
-    own = Window.partitionBy("node")
-    place = F.row_number().over(own.orderBy(F.col("late").isNotNull(), "texts", "h")) - 1
-    ranked = met.withColumn("r", place).withColumn("many", F.sum(F.col("late").isNull().cast("long")).over(own))
+    of_node = Window.partitionBy("node")
+    place = F.row_number().over(of_node.orderBy(F.col("late").isNotNull(), "texts", "h")) - 1
+    ranked = met.withColumn("r", place).withColumn("many", F.sum(F.col("late").isNull().cast("long")).over(of_node))
     placed = ranked.withColumn("pos", F.coalesce("late", F.col("s") - F.col("many") + F.col("r")))
-    kept = settle(placed.where(F.col("pos") < prefix(F.col("n"), percent)).select("h", "node", "n", "pos"), "prefixes")
+    own = F.col("s") - F.col("many")
+    kept = settle(placed.where(F.col("pos") < prefix(F.col("n"), percent)).select("h", "node", "n", "pos", own.alias("own")), "prefixes")
     lists = kept.groupBy("h").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1").select("h")
     out = settle(kept.join(lists.hint("merge"), "h", "left_semi"), "entries")
     forget(kept)
@@ -114,11 +115,11 @@ def enough(x: str, y: str, pos: str, percent: int):
     return behind * (100 + percent) >= percent * (n + m)
 
 
-def agreed(pairs: DataFrame, second: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) that share a prefix shingle in the second order too."""
-    side = lambda name: second.select(F.col("h"), F.col("node").alias(name), F.struct("n", "pos").alias(f"e{name}"))
-    both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), ["b", "h"])
-    return both.where(enough("ea", "eb", "pos", percent)).select("a", "b").distinct()
+def agreed(pairs: DataFrame, second: DataFrame) -> DataFrame:
+    """Those pairs (a, b) that share a prefix shingle in the second order too; ``second`` has the shingles of each node as one array."""
+    side = lambda name: second.select(F.col("node").alias(name), F.col("hs").alias(f"h{name}"))
+    both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
+    return both.where(F.arrays_overlap("ha", "hb")).select("a", "b")
 
 
 class Texts:
@@ -127,7 +128,8 @@ class Texts:
     def __init__(self, docs: DataFrame, nodes: DataFrame, width: int, percent: int):
         self.docs, self.nodes, self.width, self.percent = docs, nodes, width, percent
 
-    def sets(self, pairs: DataFrame) -> DataFrame:
+    def sets(self, named: DataFrame) -> DataFrame:
+        """node and h, the whole set, of the nodes named (one column)."""
         width = self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +139,6 @@ class Texts:
                     found = [shingles(t, width).view(np.int64) for t in batch.column("text").to_pylist()]
                     yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "h"])
 
-        named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = self.nodes.join(named.hint("merge"), "node", "left_semi").select("node", F.col("doc_id").alias("_id"), F.col("code").alias("_code"))
         rows = documents(self.docs).withColumn("code", F.xxhash64("text"))
         texts = rows.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("code") == F.col("_code"))).select("node", "text")
@@ -156,7 +157,7 @@ class Texts:
                     alike.append(100 * shared >= percent * (len(x) + len(y) - shared))
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-        sets = self.sets(pairs)
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("h").alias("x")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("y")).hint("merge"), "b")
         out = settle(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
         forget(sets)
@@ -168,7 +169,7 @@ def _placed(first: DataFrame, links: DataFrame | None) -> DataFrame:
     if links is None:
         return first.withColumn("root", F.col("node"))
     roots = least_labels(links)
-    placed = settle(first.join(roots.hint("merge"), "node", "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("root")), "placed")
+    placed = settle(first.join(roots.hint("merge"), "node", "left").select("h", "node", "n", "pos", "share", F.coalesce("root", "node").alias("root")), "placed")
     several = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
     return placed.join(several.hint("merge"), "h", "left_semi")
 
@@ -177,23 +178,30 @@ def _ends(x: str, y: str):
     return F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b")
 
 
-def _rest(left: DataFrame, centres: DataFrame, second: DataFrame, percent: int) -> DataFrame:
+def _rest(left: DataFrame, centres: DataFrame, texts: Texts) -> DataFrame:
     """The pairs (a, b) of a list that no centre has settled. Its first centre is done with; so is who has no room for even the least of the others.
 
-    A list of more than ``ROOM`` meets by pairs of prefix shingles, one of each order.
+    The members of a list of more than ``ROOM`` meet by an order of all their shingles
+    instead, counted among them: who has much of its own has nothing left to meet by.
     """
+    percent = texts.percent
     others = left.join(centres.select("h", "node").hint("merge"), ["h", "node"], "left_anti")
     least = others.groupBy("h").agg(F.min("n").alias("least"))
     fit = others.join(least.hint("merge"), "h").where((F.col("n") - F.col("pos")) * (100 + percent) >= percent * (F.col("n") + F.col("least")))
     fit = settle(fit.select("h", "node", "n", "pos", "root"), "fit")
     lists = fit.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("many")).where("low <> high")
     open_ = settle(fit.join(lists.select("h", "many").hint("merge"), "h"), "open")
-    other = lambda x, y: (F.col(f"{x}.node") < F.col(f"{y}.node")) & (F.col(f"{x}.root") != F.col(f"{y}.root")) & enough(x, y, "pos", percent)
-    few = open_.where(F.col("many") <= ROOM)
-    direct = few.alias("x").join(few.alias("y"), "h").where(other("x", "y")).select(*_ends("x", "y"))
-    more = open_.where(F.col("many") > ROOM).join(second.select("node", F.col("h").alias("g"), F.col("pos").alias("pos2")).hint("merge"), "node")
-    twice = more.alias("x").join(more.alias("y"), ["h", "g"]).where(other("x", "y") & enough("x", "y", "pos2", percent)).select(*_ends("x", "y"))
-    return direct.union(twice).distinct()
+    other = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & enough("x", "y", "pos", percent)
+    met = lambda rows: rows.alias("x").join(rows.alias("y"), "h").where(other).select(*_ends("x", "y"))
+    crowded = settle(open_.where(F.col("many") > ROOM).select("node", "root").distinct(), "crowded")
+    sets = texts.sets(crowded.select("node"))
+    rows = sets.select("node", F.size("h").cast("long").alias("n"), F.explode("h").alias("h"))
+    counts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("texts"))
+    pos = F.row_number().over(Window.partitionBy("node").orderBy("texts", "h")) - 1
+    ranked = rows.join(counts.hint("merge"), "h").withColumn("pos", pos).where((F.col("texts") > 1) & (F.col("pos") < prefix(F.col("n"), percent)))
+    whole = settle(ranked.join(crowded.hint("merge"), "node").select("h", "node", "n", "pos", "root"), "whole")
+    forget(sets)
+    return met(open_.where(F.col("many") <= ROOM)).union(met(whole)).distinct()
 
 
 def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -210,20 +218,22 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
         return entries(some, nodes.select("node", "n", F.col(f"s{k}").alias("s")), percent)
 
     first = order(0, nodes)
-    second = order(1, first.select("node").distinct())
+    second = settle(order(1, first.select("node").distinct()).groupBy("node").agg(F.collect_list("h").alias("hs"), F.first("own").alias("own")), "second")  # a node's own prefix
+    share = (F.col("own") + F.col("_own")) / F.col("n")
+    first = settle(first.join(second.select("node", F.col("own").alias("_own")).hint("merge"), "node").select("h", "node", "n", "pos", share.alias("share")), "both")
     links = tried = hubs = hubs0 = None
     for _ in range(2):
         left = _placed(first, links)
         if hubs is not None:  # the next centre is one of what the first is not connected with
             now = left.join(hubs.select("h", F.col("node").alias("hub")).hint("merge"), "h")
             centre = left.select("h", F.col("node").alias("hub"), F.col("root").alias("of"))
-            left = now.join(centre.hint("merge"), ["h", "hub"]).where("root <> of").select("h", "node", "n", "pos", "root")
-        rarer = F.struct((F.col("pos") / F.col("n")).alias("share"), "node", "n", "pos", "root")
+            left = now.join(centre.hint("merge"), ["h", "hub"]).where("root <> of").select("h", "node", "n", "pos", "share", "root")
+        rarer = F.struct("share", "node", "n", "pos", "root")
         hubs = settle(left.groupBy("h").agg(F.min(rarer).alias("y")).select("h", "y.node", "y.n", "y.pos", "y.root"), "hubs")
         met = left.alias("x").join(hubs.alias("y").hint("merge"), "h").where("x.root <> y.root").where(enough("x", "y", "pos", percent))
         links, tried = _compared(met.select(*_ends("x", "y")).distinct(), second, texts, links, tried)
         hubs0 = hubs0 if hubs0 is not None else hubs
-    links, _ = _compared(_rest(_placed(first, links), hubs0, second, percent), second, texts, links, tried)
+    links, _ = _compared(_rest(_placed(first, links), hubs0, texts), second, texts, links, tried)
 
     roots = least_labels(links)
     named = nodes.join(roots.hint("merge"), "node", "left").select("key", "low", F.coalesce("root", "node").alias("root"))
@@ -235,6 +245,6 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
 def _compared(pairs: DataFrame, second: DataFrame, texts: Texts, links: DataFrame | None, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Links and tried pairs with what these pairs add; pairs that only the first order allows are not compared."""
     fresh = pairs if tried is None else pairs.join(tried.hint("merge"), ["a", "b"], "left_anti")
-    fresh = settle(agreed(fresh, second, texts.percent), "pairs")
+    fresh = settle(agreed(fresh, second), "pairs")
     more = texts.links(fresh)
     return (more if links is None else links.union(more)), (fresh if tried is None else tried.union(fresh))
