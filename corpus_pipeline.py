@@ -2,7 +2,7 @@
 
 Defined results, stage by stage: a null text counts as empty, is civil, and is a
 copy of any other text without words; a null doc_id stays in every stage; rows that
-repeat a doc_id are one document to the near-copy stage and rows of their own to the
+share a doc_id but not a text are documents of their own, equal rows are one to the near-copy stage and rows of their own to the
 others; texts of any length are read in whole; an empty table gives no rows; columns
 beyond doc_id and text, whatever their names, go through all stages but the last.
 """

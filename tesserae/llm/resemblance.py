@@ -93,7 +93,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 def _compared(found: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
     """a, b, similarity of those pairs that are at or over the threshold. Texts of documents in a pair only are moved."""
     needed = found.select(F.col("a").alias("doc_id")).union(found.select("b")).distinct()
-    texts = settle(documents(docs).join(needed.hint("merge"), "doc_id", "left_semi"), "texts")
+    texts = settle(documents(docs).join(needed.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     both = found.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b")
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,12 +147,12 @@ def _enough(x: str, y: str, threshold: float):
 def pairs(docs: DataFrame, width: int = 5, threshold: float = 0.8, among: DataFrame | None = None) -> DataFrame:
     """a, b (doc_ids, a < b), similarity: pairs at or over the threshold that connect all that is brought together.
 
-    ``among`` (one column of doc_ids) names the documents in question; doc_ids
-    are unique among them.
+    ``among`` (one column of doc_ids) names the documents in question; rows that
+    share one of these doc_ids have the same text.
     """
     made = sketches(docs, width)
     if among is not None:
-        made = made.join(among.toDF("doc_id").hint("merge"), "doc_id", "left_semi")  # ids grow with the corpus: they are never broadcast
+        made = made.join(among.toDF("doc_id").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])  # ids grow with the corpus: they are never broadcast
     made = settle(made, "sketches")
     some = made.where("n > 0")
     keyed = some.select("doc_id", "n", F.posexplode("keys").alias("run", "key"))

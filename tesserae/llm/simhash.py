@@ -242,19 +242,30 @@ def hexadecimal(fp: str) -> Column:
 def one_of_each(docs: DataFrame, width: int = 5, distance: int = 2, threshold: float = 0.8, seed: int = 42) -> DataFrame:
     """The rows of ``docs`` (all columns) that stand for their class: of each class, one row of the least doc_id.
 
-    Classes are joined by fingerprints within the distance, and those of their
-    representatives whose shingle sets resemble each other by the threshold are
-    joined further. Rows without a doc_id stay: they have no name to be a copy
-    by. Of rows that share a doc_id the one with the least text stays; they are
-    classed by their fingerprints only. Texts move once, when all is decided.
+    Texts are classed, not doc_ids: rows that share a doc_id but not a class all stay.
+    Classes are joined by fingerprints within the distance; and every distinct text
+    is held against all others for shingle sets that resemble each other by the
+    threshold, whatever its fingerprint's class. Rows without a doc_id stay: they have
+    no name to be a copy by. Rows are named by a hash of doc_id and text; texts move once, when
+    all is decided.
     """
-    found = classes(docs, width, distance, seed)
-    kept = settle(found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")), "kept")
-    near = pairs(docs, width, threshold, kept.where("_n = 1").select("_id")).select("a", "b")
-    copies = least_labels(settle(near, "near")).where("node <> root").select(F.col("node").alias("_id"))
-    chosen = settle(kept.join(copies, "_id", "left_anti"), "chosen")
+    text, low = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
+    name = F.xxhash64(low, text)
+    named = docs.where(low.isNotNull()).select(name.alias("doc_id"), text.alias("text"))
+    rows = settle(docs.where(low.isNotNull()).select(name.alias("name"), low.alias("low"), F.xxhash64(text).alias("code"), F.xxhash64(text, F.lit(1)).alias("check")), "names")
+    found = settle(classes(named, width, distance, seed).select(F.col("doc_id").alias("name"), F.col("component_id").alias("of")).distinct(), "classes")
+    first = settle(rows.groupBy("code", "check").agg(F.min(F.struct("low", "name")).alias("row")).select("row.name"), "firsts")
+    near = settle(pairs(named, width, threshold, first).select("a", "b"), "near")
+    same = found.join(first.hint("merge"), "name", "left_semi").where("name <> of").select(F.col("of").alias("a"), F.col("name").alias("b"))
+    roots = least_labels(near.union(same)).withColumnRenamed("node", "of")
+    # a name's own label is that of its class, which holds its text; classes without links are their own
+    classed = found.join(roots.hint("merge"), "of", "left").select("name", F.coalesce("root", "of").alias("class"))
+    counted = rows.groupBy("name", "low").agg(F.count(F.lit(1)).alias("_n"))
+    least = classed.join(counted.hint("merge"), "name").groupBy("class").agg(F.min(F.struct("low", "name", "_n")).alias("row"))
+    chosen = settle(least.select(F.col("row.name").alias("_name"), "row._n"), "chosen")
     names = docs.columns
-    rows = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    some = rows.join(chosen.hint("merge"), "_id")  # ids grow with the corpus: they are never broadcast
-    first = some.where("_n > 1").groupBy("_id").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in names)), F.coalesce("text", F.lit(""))).alias("row"))
-    return some.where("_n = 1").select(*names).unionByName(first.select(*(F.col(f"row.`{c}`").alias(c) for c in names))).unionByName(rows.where(F.col("_id").isNull()).select(*names))
+    every = docs.where(low.isNotNull()).withColumn("_name", name)
+    some = every.join(chosen.hint("merge"), "_name")  # names grow with the corpus: they are never broadcast
+    once = some.where("_n > 1").groupBy("_name").agg(F.first(F.struct(*(F.col(f"`{c}`") for c in names))).alias("row"))
+    kept = some.where("_n = 1").select(*names).unionByName(once.select(*(F.col(f"row.`{c}`").alias(c) for c in names)))
+    return kept.unionByName(docs.where(low.isNull()))

@@ -298,10 +298,19 @@ def test_one_of_each_keeps_columns_and_one_row(spark):
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
-    assert ids.count(6) == 1 and 7 not in ids and ids.count(None) == 1 and ids.count(99) == 1
+    assert ids.count(6) == 1 and 7 not in ids and ids.count(None) == 1 and ids.count(99) == 2  # two texts of one name are two documents
     assert simhash.one_of_each(nothing(spark)).collect() == []
 
 
+def test_texts_that_share_a_name_and_links_beside_the_first_are_kept(spark):
+    rnd = random.Random(11)
+    prose = lambda n: [f"w{rnd.randrange(4000)}" for _ in range(n)]
+    other = [" ".join(prose(90)) for _ in range(3)]
+    rows = [(5, other[0]), (5, other[1]), (6, other[2]), (6, other[2]), (7, other[0])]
+    kept = [tuple(r) for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept) == sorted([(5, other[0]), (5, other[1]), (6, other[2])])
+
+
 PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
