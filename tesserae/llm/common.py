@@ -8,8 +8,6 @@ reread and not a recomputation of everything before.
 from __future__ import annotations
 
 import atexit
-import re
-import tempfile
 import uuid
 import weakref
 
@@ -25,14 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of the cluster. Only where none is named and all runs on this machine (tests) is one made here."""
+    """The shared folder of the cluster."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        master = spark.conf.get("spark.master", "")
-        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        where = tempfile.mkdtemp(prefix="tesserae-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share; set it when the session is built")
     return where.rstrip("/")
 
 
