@@ -13,6 +13,7 @@ from tesserae.functions import text as T
 from tesserae.functions import urls
 from tesserae.operators import analysis, consolidate, dedup, exports, integrity, search, stats, validate
 from tesserae.operators import reviews as human
+from tesserae.operators import source_reviews as scripts
 from tesserae.sources import scans, sinks
 
 
@@ -73,6 +74,8 @@ def build(
             raise validate.RecordError(f"{twice['id']}: an id of two inputs")
         accepted, excluded, counts = dedup.merge(kept, more.withColumn("fingerprint", print_of))
         kept = kept.unionByName(accepted.select(kept.columns))
+    if "sourceReview" in kept.columns:
+        _stop(scripts.checked(kept.withColumn("collectionEvidence", F.col("receipt")) if "receipt" in kept.columns else kept).where(F.size("faults") > 0), "source review")
     items = analysis.analysed_items(kept.drop("fingerprint", "input_name", "receipt"))
     items = items.withColumn("pos", F.col("input_order") * F.lit(1 << 40) + F.col("row_order")).drop("input_order", "row_order")
     items = items.withColumn("code_sha", F.sha2(F.coalesce("code", F.lit("")), 256)).withColumn("record_sha", record_digest(items))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserae import vocab
 from tesserae.functions import text as T
+from tesserae.operators import source_reviews
 from tesserae.operators.features.css import css_analysis
 from tesserae.operators.features.glsl import analysed
 from tesserae.operators.features.svg import svg_analysis
@@ -27,8 +28,13 @@ def _made(asset_type, effects=(), components=(), properties=(), techniques=(), u
 def analysed_items(items: DataFrame) -> DataFrame:
     """Adds asset_type, effects, components, properties, techniques, use_cases, signals, basis, confidence and domain.
 
-    Each language is analysed on its own rows, so a parser sees no other's code.
+    A script's own review (``sourceReview``, where there is such a column) goes before all
+    else. Each language is analysed on its own rows, so a parser sees no other's code.
     """
+    if "sourceReview" in items.columns:
+        said = F.col("sourceReview").isNotNull()
+        whole = analysed_items(items.where(~said).drop("sourceReview")).withColumn("sourceReview", F.lit(None).cast("string"))
+        return whole.unionByName(source_reviews.analysis(items.where(said)))
     c = F.col
     colors = F.filter("colors", lambda x: x.rlike(rf"^{vocab.HEX_PATTERN}\z"))
     moving = (c("language") == "css") & c("code").rlike(r"(?i)@(?:-webkit-)?keyframes\b")

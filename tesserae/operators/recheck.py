@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.operators.audits import css, exact, glsl, palette, svg
+from tesserae.scratch import written
 
 DOMAINS = ("css", "svg", "glsl", "palette", "reference", "javascript", "image")
 
@@ -26,6 +27,21 @@ class CoverageError(RuntimeError):
     """Records that no audit has seen."""
 
 
+class CatalogMovedError(RuntimeError):
+    """The catalog is not what it was when the recheck began."""
+
+
+def digest(items: DataFrame) -> tuple:
+    """Rows, and the sum and the exclusive or of two hashes of each: the same for the same records in any order and any partitions.
+
+    Parts of a catalog can be summed on their own. A row is hashed with the names of its columns.
+    """
+    row = F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(items.columns))), {"ignoreNullFields": "false"})
+    one, two = F.xxhash64(row), F.xxhash64(F.lit("again"), row)
+    sums = [F.sum(h.cast("decimal(20,0)")).alias(f"sum_{i}") for i, h in enumerate((one, two))]
+    return tuple(items.agg(F.count(F.lit(1)).alias("rows"), *sums, F.bit_xor(one).alias("mixed")).head())  # one row
+
+
 def _pairs(domain: str, section: Column | str, pairs: DataFrame) -> DataFrame:
     return pairs.select(F.lit(domain).alias("domain"), (section if isinstance(section, Column) else F.lit(section)).alias("section"), "a_id", "b_id")
 
@@ -57,22 +73,22 @@ def findings(items: DataFrame) -> tuple[DataFrame, DataFrame]:
         mark = F.col(signature) if isinstance(signature, str) else signature
         seen.append(rows.select(F.lit(domain).alias("domain"), "id", mark.cast("string").alias("signature"), (F.lit(None) if error is None else error).cast("string").alias("error")))
 
-    sheets = css.prepared(of("css"))
+    sheets = written(css.prepared(of("css")), "sheets")
     saw("css", sheets, "exact", F.col("error"))
     found += [_pairs("css", "exact", _star(css.classes(sheets, "exact"))), _pairs("css", "candidate", css.candidates(sheets)), _pairs("css", "family", _star(css.classes(sheets, "motion", "timeless")))]
     near = css.classes(sheets, "timeless", "exact").join(sheets.select("id", "exact"), "id").groupBy("first_id", "exact").agg(F.min("id").alias("id"))
     found.append(_pairs("css", "near", _star(near)))
 
-    drawings = svg.prepared(of("svg"))
+    drawings = written(svg.prepared(of("svg")), "drawings")
     saw("svg", drawings, "exact", F.col("error"))
     found.append(_pairs("svg", F.regexp_extract("relation", "^[a-z]+", 0), svg.pairs(drawings)))
 
     shaders = glsl.prepared(of("glsl"))
     saw("glsl", shaders, F.sha2("exact", 256), F.col("error"))
     sound = shaders.where("error is null")
-    found += [_pairs("glsl", "exact", _star(_same(sound, F.col("exact")))), _pairs("glsl", "candidate", glsl.candidates(shaders))]
+    found += [_pairs("glsl", "exact", _star(_same(sound, F.col("exact")))), _pairs("glsl", "candidate", glsl.folded_candidates(shaders))]
 
-    good, bad = palette.prepared(of("palette"))
+    good, bad = (written(x, "palettes") for x in palette.prepared(of("palette")))
     saw("palette", good, "ordered")
     saw("palette", bad, F.lit(None), F.col("error"))
     found += [_pairs("palette", "exact", _star(_same(good, F.col("ordered")))), _pairs("palette", F.regexp_extract("relation", "^[a-z]+", 0), palette.classified(good))]
@@ -108,19 +124,23 @@ def recheck(items: DataFrame, decisions: DataFrame | None = None) -> tuple[DataF
 
     A decision (domain, a_id, b_id, a_sha, b_sha, decision) holds only while both
     signatures are what they were. Exact and near findings, errors and candidates
-    without a decision do not pass.
+    without a decision do not pass. The catalog must be the same when all is found as it
+    was before: else this raises CatalogMovedError.
     """
-    found, seen = findings(items)
+    before = digest(items)
+    found, seen = (written(x, name) for x, name in zip(findings(items), ("findings", "seen"), strict=True))
     if (lost := uncovered(items, seen).head()) is not None:
         raise CoverageError(f"{lost['domain']}: {lost['id']}")
     side = lambda p: seen.select("domain", F.col("id").alias(f"{p}_id"), F.col("signature").alias(f"{p}_sha"))
     marked = found.join(side("a"), ["domain", "a_id"]).join(side("b"), ["domain", "b_id"])
     if decisions is None:
         decisions = items.sparkSession.createDataFrame([], "domain string, a_id string, b_id string, a_sha string, b_sha string, decision string")
-    decided = exact.decided(marked, decisions)
+    decided = written(exact.decided(marked, decisions), "decided")
     errors = seen.where("error is not null").select("domain", F.lit("error").alias("section"), F.lit(False).alias("reviewed"))
     rows = decided.select("domain", "section", F.col("decision").isNotNull().alias("reviewed")).unionByName(errors)
     summary = rows.groupBy("domain", "section").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("reviewed")).alias("open"))
     fails = F.when(F.col("section").isin("exact", "near", "error"), F.col("n")).when(F.col("section") == "candidate", F.col("open")).otherwise(0)
     verdict = summary.agg(F.coalesce(F.sum(fails), F.lit(0)).alias("faults")).withColumn("passed", F.col("faults") == 0)
+    if digest(items) != before:
+        raise CatalogMovedError("the catalog has changed while it was rechecked")
     return decided, summary, verdict

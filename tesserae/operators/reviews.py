@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
+from urllib.parse import urlsplit
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tesserae import vocab
 from tesserae.functions import arrow
+from tesserae.operators import dom
 
 # What a review of a link may say.
 DOMAINS = ("motion", "design", "mixed", "tooling")
@@ -44,8 +46,34 @@ def _ident(value) -> bool:
     return isinstance(value, str) and re.fullmatch(vocab.ID_PATTERN, value) is not None
 
 
+#: Characters of an artifact's path and of its link.
+ARTIFACT_CHARS, LINK_CHARS = 500, 4000
+
+
+def web_link(value) -> bool:
+    """An http or https link to a host, without a user's name or password in it."""
+    if not _said(value, LINK_CHARS):
+        return False
+    try:
+        parts = urlsplit(value)
+    except ValueError:
+        return False
+    return parts.scheme in ("http", "https") and bool(parts.hostname) and not parts.username and not parts.password
+
+
 def _artifact(value) -> bool:
-    return isinstance(value, dict) and {"path", "sha256"} <= value.keys() <= {"path", "sha256", "sourceUrl"} and _digest(value["sha256"]) and safe_path(value["path"])
+    if not (isinstance(value, dict) and {"path", "sha256"} <= value.keys() <= {"path", "sha256", "sourceUrl"} and _digest(value["sha256"])):
+        return False
+    return safe_path(value["path"]) and len(value["path"]) <= ARTIFACT_CHARS and ("sourceUrl" not in value or web_link(value["sourceUrl"]))
+
+
+def outside(review: str, root: str) -> list[str]:
+    """Paths of a review's artifacts that do not lie below ``root``."""
+    try:
+        said = json.loads(review)["evidence"]["artifacts"]
+        return [a["path"] for a in said if not a["path"].startswith(root.rstrip("/") + "/")]
+    except (ValueError, TypeError, KeyError, AttributeError):
+        return []
 
 
 def safe_path(path) -> bool:
@@ -81,22 +109,14 @@ def _preview(p) -> bool:
     if not (_said(p["notice"], 4000) and _said(p["attribution"], 200) and _said(p["code"], CODE)):
         return False
     if p["language"] == "css":
-        return not FORBIDDEN_CSS.search(p["code"]) and ("dom" not in p or dom_nodes(p["dom"], 64) > 0)
+        return not FORBIDDEN_CSS.search(p["code"]) and ("dom" not in p or dom.first_fault(p["dom"], dom.ILLUSTRATION) is None)
     return p["language"] == "svg" and "dom" not in p and harmless_svg(p["code"])
 
 
-def dom_nodes(node, most: int = 96, depth: int = 5, children: int = 48) -> int:
+def dom_nodes(node) -> int:
     """Nodes of a bounded preview tree, 0 if it is none."""
-    total, level = 0, [node]
-    for _ in range(depth):
-        for n in level:
-            if not isinstance(n, dict) or not re.fullmatch(r"[a-z][a-z0-9]{0,15}", str(n.get("tag", ""))) or not isinstance(n.get("children", []), list) or len(n.get("children", [])) > children:
-                return 0
-        total += len(level)
-        level = [c for n in level for c in n.get("children", [])]
-        if not level:
-            return total if total <= most else 0
-    return 0
+    nodes, fault = dom.walked(node)
+    return 0 if fault else nodes
 
 
 def _evidence(e) -> bool:

@@ -3,8 +3,10 @@
 Where a shard ends depends on where the one before it ended, so the rule is a
 scan; but where a shard ends if it begins at a given row depends on the next few
 rows only. So blocks of rows say, each for itself, where the walk leaves them and
-after how many shards, for each row at which it may enter; one task follows these
-few numbers from block to block; and blocks deal out their shards, each for itself.
+after how many shards, for each row at which it may enter. What neighbouring blocks
+say makes what they say together, so blocks are composed in a tree, ``FAN`` at a time;
+down the same tree goes where the walk enters each; and blocks deal out their shards.
+No task sees more than ``FAN`` blocks' numbers.
 Bodies stay where they are and meet their shard number afterwards.
 """
 
@@ -14,13 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae import vocab
+from tesserae.scratch import numbered, written
 
-#: Rows whose sizes travel as one row.
-BLOCK = 4096
+#: Rows whose sizes travel as one row, and blocks that are composed at once.
+BLOCK, FAN = 4096, 64
 
 
 def greedy(sizes, most_bytes: int = vocab.SHARD_BYTES, most_items: int = vocab.SHARD_ITEMS, shard: int = 0, used: int = 0, held: int = 0) -> tuple[list[int], int, int, int]:
@@ -57,36 +60,65 @@ def _walks(sizes: np.ndarray, own: int, most_bytes: int, most_items: int) -> tup
     return leaves, begun
 
 
+def _step(leaves, begun, at: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where walks that enter a block at these rows leave it, and the shards begun by then."""
+    inside = np.minimum(at, len(leaves) - 1)
+    return np.asarray(leaves)[inside], shard + np.asarray(begun)[inside]
+
+
+def _composed(blocks: pd.DataFrame) -> pd.DataFrame:
+    """What neighbouring blocks say together."""
+    blocks = blocks.sort_values("b")
+    at = np.arange(max(map(len, blocks["leaves"])))
+    shard = np.zeros(len(at), np.int64)
+    for leaves, begun in zip(blocks["leaves"], blocks["begun"], strict=True):
+        at, shard = _step(leaves, begun, at, shard)
+    return pd.DataFrame({"b": [blocks["g"].iloc[0]], "leaves": [at], "begun": [shard]})
+
+
+def _spread(blocks: pd.DataFrame) -> pd.DataFrame:
+    """Where the walk that enters their parent enters each block."""
+    blocks = blocks.sort_values("b")
+    at, shard = blocks["entry"].to_numpy()[:1], blocks["shard"].to_numpy()[:1]
+    rows = []
+    for b, leaves, begun in zip(blocks["b"], blocks["leaves"], blocks["begun"], strict=True):
+        rows.append((b, int(at[0]), int(shard[0])))
+        at, shard = _step(leaves, begun, at, shard)
+    return pd.DataFrame(rows, columns=["b", "entry", "shard"])
+
+
+def entered(walks: DataFrame) -> DataFrame:
+    """b, entry and shard of each block of ``walks`` (b, leaves, begun): the row at which the walk enters it, and the shards before."""
+    last = walks.agg(F.max("b").alias("b")).head()["b"]  # one row
+    n, tree = 0 if last is None else last + 1, [walks]
+    parent = F.expr(f"b div {FAN}").alias("g")
+    while n > 1:
+        above = tree[-1].select("*", parent).groupBy("g").applyInPandas(_composed, "b long, leaves array<long>, begun array<long>")
+        tree.append(written(above, "walks"))
+        n = -(-n // FAN)
+    at = tree[-1].select("b", F.lit(0).cast("long").alias("entry"), F.lit(0).cast("long").alias("shard"))
+    for below in reversed(tree[:-1]):
+        known = at.withColumnRenamed("b", "g")
+        at = below.select("*", parent).join(known, "g").groupBy("g").applyInPandas(_spread, "b long, entry long, shard long")
+    return at
+
+
 def assigned(rows: DataFrame, order: str, size: str, most_bytes: int = vocab.SHARD_BYTES, most_items: int = vocab.SHARD_ITEMS) -> DataFrame:
-    """order and shard (from 0). ``order`` is a unique number."""
+    """order and shard (from 0). ``order`` is a unique number, however its values are spread."""
     if most_items > BLOCK:
         raise ValueError("a shard is larger than a block")
     sizes = rows.select(F.col(order).cast("long").alias("o"), F.col(size).cast("long").alias("s"))
-    # rows are numbered without gaps: within ranges of the order, which begin where those before them end
-    ranged = sizes.withColumn("r", F.floor(F.col("o") / BLOCK))
-    before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    starts = ranged.groupBy("r").agg(F.count(F.lit(1)).alias("n")).select("r", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    numbered = ranged.join(starts, "r").select("o", "s", (F.col("start") + F.row_number().over(Window.partitionBy("r").orderBy("o")) - 1).alias("n"))
     # a block sees the rows behind it that a shard of its own may reach
     home, place = F.floor(F.col("n") / BLOCK), F.col("n") % BLOCK
-    seen = numbered.select("o", "s", "n", F.explode(F.when((place < most_items) & (home > 0), F.array(home, home - 1)).otherwise(F.array(home))).alias("b"))
+    seen = numbered(sizes, ["o"], "n").select("o", "s", "n", F.explode(F.when((place < most_items) & (home > 0), F.array(home, home - 1)).otherwise(F.array(home))).alias("b"))
     blocks = seen.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("n", "o", "s"))).alias("r")).select("b", F.col("r.o").alias("o"), F.col("r.s").alias("s"))  # BLOCK + most_items rows at most
+    blocks = written(blocks, "blocks")
 
     def walks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [_walks(np.asarray(s, np.int64), min(len(s), BLOCK), most_bytes, most_items) for s in batch["s"]]
             yield pd.DataFrame({"b": batch["b"], "leaves": [x[: most_items + 1] for x, _ in found], "begun": [n[: most_items + 1] for _, n in found]})
 
-    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at = shard = 0
-        for batch in batches:
-            entries = []
-            for leaves, begun in zip(batch["leaves"], batch["begun"], strict=True):
-                entries.append((at, shard))
-                inside = min(at, len(leaves) - 1)
-                at, shard = int(leaves[inside]), shard + int(begun[inside])
-            yield pd.DataFrame({"b": batch["b"], "entry": [e for e, _ in entries], "shard": [s for _, s in entries]})
-
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for o, s, entry, shard in zip(batch["o"], batch["s"], batch["entry"], batch["shard"], strict=True):
@@ -97,9 +129,8 @@ def assigned(rows: DataFrame, order: str, size: str, most_bytes: int = vocab.SHA
                     i = int(nexts[i])
                 yield pd.DataFrame({"o": np.asarray(o)[:own], "shard": shard - 1 + np.cumsum(begins)})
 
-    found = blocks.select("b", "s").mapInPandas(walks, "b long, leaves array<long>, begun array<long>")
-    entered = found.repartition(1).sortWithinPartitions("b").mapInPandas(follow, "b long, entry long, shard long")  # a few numbers a block
-    return blocks.join(entered, "b").select("o", "s", "entry", "shard").mapInPandas(deal, "o long, shard long").withColumnRenamed("o", order)
+    found = written(blocks.select("b", "s").mapInPandas(walks, "b long, leaves array<long>, begun array<long>"), "walks")
+    return blocks.join(entered(found), "b").select("o", "s", "entry", "shard").mapInPandas(deal, "o long, shard long").withColumnRenamed("o", order)
 
 
 def manifest(rows: DataFrame, shards: DataFrame, order: str, body: str) -> DataFrame:

@@ -133,14 +133,12 @@ def _shaders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def glsl_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return glsl.families(glsl.prepared(_shaders(spark, sf_dir))).select(F.col("ids")[0].alias("first_id"), F.size("ids").cast("long").alias("members"))
+    return glsl.counted_families(glsl.prepared(_shaders(spark, sf_dir)))
 
 
 def glsl_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Between one shader of each kind; with another number as well, a step more leaves too few runs in common."""
-    good = glsl.prepared(_shaders(spark, sf_dir))
-    firsts = good.groupBy("exact").agg(F.min("id").alias("id"))
-    return glsl.candidates(good.join(firsts.select("id"), "id", "left_semi")).select("a_id", "b_id")
+    return glsl.folded_candidates(glsl.prepared(_shaders(spark, sf_dir))).select("a_id", "b_id")
 
 
 def palettes_with_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:

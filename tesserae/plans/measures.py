@@ -177,7 +177,7 @@ def glsl_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def glsl_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return glsl.exact_groups(glsl.prepared(_shaders(spark, sf_dir))).select(F.size("ids").cast("long").alias("members"), F.col("ids")[0].alias("first_id"))
+    return glsl.counted(glsl.prepared(_shaders(spark, sf_dir)))
 
 
 def hamming_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

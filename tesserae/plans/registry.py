@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("catalog", "records", "measures", "audits", "exports")
+MODULES = ("catalog", "records", "measures", "audits", "exports", "reviews")
 
 
 def _merged(attribute: str) -> dict:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -14,11 +16,22 @@ DEFAULTS = {
 
 
 def local_session(name: str = "tesserae", cores: int | str = "*", **conf: str) -> SparkSession:
-    """A session on this machine, for tests and benches; a cluster brings its own."""
-    builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
-    for key, value in (DEFAULTS | {"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"} | conf).items():
-        builder = builder.config(key, value)
-    spark = builder.getOrCreate()
+    """A session on this machine, for tests and benches; a cluster brings its own.
+
+    Only where nothing names a shared folder (``spark.checkpoint.dir``, which cannot be set
+    later) the session is built once more with one on this machine.
+    """
+
+    def built(more: dict[str, str]) -> SparkSession:
+        builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
+        for key, value in (DEFAULTS | {"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"} | conf | more).items():
+            builder = builder.config(key, value)
+        return builder.getOrCreate()
+
+    spark = built({})
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.stop()
+        spark = built({"spark.checkpoint.dir": tempfile.mkdtemp(prefix="tesserae-")})
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
