@@ -105,7 +105,7 @@ def _stop(faults: DataFrame, what: str) -> None:
 def derived(parents: DataFrame, originals: DataFrame | None = None, gone: DataFrame | None = None) -> dict[str, DataFrame]:
     """The parts that follow from the entries; ``originals`` are all records before consolidation, ``gone`` the links taken out."""
     tokens = index_tokens(parents)
-    index = search.Index.build(tokens, "id", F.col("tokens"))
+    index = search.Index.build(tokens, "id", F.col("tokens")).with_dictionary(tokens, F.col("tokens"))
     facets = stats.facet_counts(parents, {n: F.col(n) for n in ("category", "kind", "license", "asset_type", "basis", "domain")}, {n: F.col(n) for n in ("effects", "components", "techniques", "use_cases")})
     totals = parents.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("kind") != "reference").alias("stored"), F.coalesce(F.sum("variant_count"), F.lit(0)).alias("variants"), F.max(F.substring("verifiedAt", 1, 10)).alias("updated_at"))
     sources = dedup.source_registry(parents, "sourceUrl", ["pos"]).select("source_id", "project", "sourceName", "records")
@@ -115,7 +115,7 @@ def derived(parents: DataFrame, originals: DataFrame | None = None, gone: DataFr
     if gone is not None and originals is not None:
         lost = gone.select(urls.project_url(F.col("sourceUrl")).alias("project")).join(originals.select(urls.project_url(F.col("sourceUrl")).alias("project")), "project", "left_anti")
         sources = sources.join(lost, "project", "left_anti")
-    return {"facets": facets, "totals": totals, "sources": sources, "postings": index.postings.repartitionByRange("term").sortWithinPartitions("term", "doc"), "lengths": index.lengths}
+    return {"facets": facets, "totals": totals, "sources": sources} | index.sorted_parts()
 
 
 def validate_columns() -> list[str]:
@@ -152,7 +152,8 @@ class Catalog:
         keys = self.part("items").where("access = 'public'").select("id", "title", "category", "license", "kind", "asset_type", "basis", "domain", "effects", "components", "use_cases")
         keys = search.filtered(keys, {n: a[n] for n in ("category", "license", "kind", "asset_type", "basis", "domain")}, {"effects": a["effect"], "components": a["component"], "use_cases": a["use_case"]})
         if words:
-            hits = search.Index(self.part("postings"), self.part("lengths")).search(words).withColumnRenamed("doc", "id")
+            parts = ("postings", "lengths", "prefixes", "figures") if self._there("prefixes") else ("postings", "lengths")  # bundles of before have no dictionary
+            hits = search.Index(*(self.part(n) for n in parts)).search(words).withColumnRenamed("doc", "id")
             keys = keys.join(hits, "id")
         total = keys.count()
         found = search.page(search.ordered(keys, "title", "id", bool(words)), a["limit"], a["offset"]).select("id").collect()  # a page
@@ -238,6 +239,8 @@ class Catalog:
             "sources cover items": total(self.part("sources"), "records").join(count).where("n <> m"),
             "collections count entries": exports.collection_counts(items).where("collection not like 'domain-%'").agg(F.sum("n").alias("n")).join(count).where("n <> m"),
         }
+        if self._there("prefixes"):
+            checks["the dictionary counts documents"] = integrity.differences(self.part("prefixes"), fresh["prefixes"])
         if self._there("originals"):
             before = self.part("originals")
             checks |= {

@@ -1,14 +1,15 @@
 """Ranked full-text search: prefix phrases, BM25 over the whole corpus, facet filters, pages.
 
 A search argument is validated on the driver; everything else is one lazy plan.
-``scan`` looks through token arrays without a shuffle of them; ``Index`` keeps
-postings sorted by term, so a prefix reads the row groups that may hold it.
+``scored`` looks through token arrays without a shuffle of them; ``Index`` keeps
+postings sorted by term, so a prefix reads the row groups that may hold it, and a
+dictionary of prefixes, so how many documents have one is read and not counted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -125,12 +126,35 @@ def page(items: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     return items.offset(offset).limit(limit) if offset else items.limit(limit)
 
 
+#: Longest prefix in the dictionary, in characters; longer ones are counted from the postings.
+PREFIX_CHARS = 24
+
+
+def prefix_documents(items: DataFrame, tokens: Column) -> DataFrame:
+    """prefix, docs: in how many rows a token starts so, for every prefix of up to PREFIX_CHARS characters.
+
+    A row's prefixes are made distinct within it, so the one shuffle carries counts.
+    A row without tokens, or with null for them, counts nowhere.
+    """
+    own = items.select(F.explode(F.array(F.array_distinct(tokens))).alias("t"))  # an array of one: tokens are made once
+    each = F.transform(F.filter("t", lambda t: t != ""), lambda t: F.transform(F.sequence(F.lit(1), F.least(F.char_length(t), F.lit(PREFIX_CHARS))), lambda k: t.substr(F.lit(1), k)))
+    return own.select(F.explode(F.array_distinct(F.flatten(each))).alias("prefix")).groupBy("prefix").agg(F.count(F.lit(1)).alias("docs"))
+
+
+def corpus_figures(lengths: DataFrame) -> DataFrame:
+    """One row: how many documents there are, and their mean length."""
+    return lengths.agg(F.count(F.lit(1)).alias("rows"), F.avg("length").alias("mean"))
+
+
 @dataclass(frozen=True)
 class Index:
-    """Postings (term, doc, tf, places) sorted by term, and documents (doc, length)."""
+    """Postings (term, doc, tf, places) sorted by term, documents (doc, length), and what is known beforehand of
+    them: documents of each prefix (prefix, docs) and one row of figures (rows, mean). Without these two they are counted."""
 
     postings: DataFrame
     lengths: DataFrame
+    prefixes: DataFrame | None = None
+    figures: DataFrame | None = None
 
     @staticmethod
     def build(items: DataFrame, key: str, tokens: Column) -> Index:
@@ -138,13 +162,24 @@ class Index:
         postings = flat.groupBy("term", "doc").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("place")).alias("places"))
         return Index(postings, items.select(F.col(key).alias("doc"), F.size(tokens).cast("long").alias("length")))
 
+    def sorted_parts(self) -> dict[str, DataFrame]:
+        """The parts that there are, by name, in the order in which they should be written."""
+        parts = {"postings": self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc"), "lengths": self.lengths}
+        if self.prefixes is not None:
+            parts["prefixes"] = self.prefixes.repartitionByRange("prefix").sortWithinPartitions("prefix")
+        return parts | ({} if self.figures is None else {"figures": self.figures})
+
+    def with_dictionary(self, items: DataFrame, tokens: Column) -> Index:
+        """The same index with the dictionary of prefixes and the figures of ``items``."""
+        return replace(self, prefixes=prefix_documents(items, tokens), figures=corpus_figures(self.lengths))
+
     def write(self, path: str) -> None:
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{path}/postings")
-        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+        for name, part in self.sorted_parts().items():
+            part.write.mode("overwrite").parquet(f"{path}/{name}")
 
     @staticmethod
-    def read(spark: SparkSession, path: str) -> Index:
-        return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+    def read(spark: SparkSession, path: str, dictionary: bool = False) -> Index:
+        return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", *(("prefixes", "figures") if dictionary else ()))))
 
     def _having(self, phrase: list[str], name: str) -> DataFrame:
         *exact, prefix = phrase
@@ -162,10 +197,14 @@ class Index:
         if not all(words):
             return self.lengths.select("doc", F.lit(0.0).alias("score")).limit(0)
         hits, names = None, [f"tf{i}" for i in range(len(words))]
-        figures = self.lengths.agg(F.count(F.lit(1)).alias("rows"), F.avg("length").alias("mean"))
+        figures = corpus_figures(self.lengths) if self.figures is None else self.figures
         for name, phrase in zip(names, words, strict=True):
             one = self._having(phrase, name)
-            figures = figures.crossJoin(one.agg(F.count(F.lit(1)).alias(f"{name}n")))
+            if self.prefixes is not None and len(phrase) == 1 and len(phrase[0]) <= PREFIX_CHARS:
+                n = self.prefixes.where(F.col("prefix") == phrase[0]).agg(F.coalesce(F.sum("docs"), F.lit(0)).alias(f"{name}n"))
+            else:
+                n = one.agg(F.count(F.lit(1)).alias(f"{name}n"))
+            figures = figures.crossJoin(n)  # a row each
             hits = one if hits is None else hits.join(one, "doc")
         rows = hits.join(self.lengths, "doc").crossJoin(F.broadcast(figures))
         return rows.select("doc", bm25([F.col(n) for n in names], [F.col(f"{n}n") for n in names], F.col("length"), F.col("rows"), F.col("mean")).alias("score"))

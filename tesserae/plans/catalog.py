@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae import vocab
+from tesserae.functions import sql
 from tesserae.functions import text as T
 from tesserae.operators import search as S
+from tesserae.scratch import written
 from tesserae.session import table
 
 WORDS, OTHER, PHRASE = "th er", "the", "of th"
@@ -73,6 +75,28 @@ def postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("occurrences")).where("docs >= 3")
 
 
+def prefix_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many documents a word starts so, for every prefix of any word."""
+    return S.prefix_documents(_items(spark, sf_dir), F.col("tokens"))
+
+
+def search_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranking from an index that is published first: sorted postings, lengths, the dictionary of prefixes, figures."""
+    items = written(_items(spark, sf_dir).select("doc_id", "tokens"), "tokens")
+    index = S.Index.build(items, "doc_id", F.col("tokens")).with_dictionary(items, F.col("tokens"))
+    published = S.Index(**{name: written(part, name) for name, part in index.sorted_parts().items()})
+    return published.search(S.phrases(WORDS)).select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+def lateral_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index as SQL makes it: the table function of tokens beside each document, and figures of each term."""
+    sql.register(spark)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("lateral_documents")
+    return spark.sql("""
+        select t.term, count(distinct d.doc_id) as docs, count(*) as occurrences, max(t.pos) + 1 as furthest
+        from lateral_documents d, lateral tokenize(d.text) t group by t.term""").select("term", "docs", "occurrences", F.col("furthest").cast("long").alias("furthest"))
+
+
 def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     entry = F.concat_ws(" ", "text", "source", "lang")
@@ -133,10 +157,14 @@ hits as (
 """
 NOCASE = "translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-QUERIES = {f.__name__: f for f in (search_bm25, search_filter_facets, search_page, search_total, search_phrase, search_no_word, search_postings, postings_stats, substring_search, get_by_id, alias_resolve, export_ordered, csv_formula_guard, index_text)}
+QUERIES = {f.__name__: f for f in (search_bm25, search_filter_facets, search_page, search_total, search_phrase, search_no_word, search_postings, postings_stats, prefix_dictionary, search_published, lateral_terms, substring_search, get_by_id, alias_resolve, export_ordered, csv_formula_guard, index_text)}
 ORACLES = {
     "search_bm25": f"{TWO} select doc_id, title, score from hits where lang = 'en' order by score, {NOCASE}, doc_id limit 10",
     "search_postings": f"{TWO} select doc_id, score from hits",
+    "search_published": f"{TWO} select doc_id, score from hits",
+    "prefix_dictionary": f"""{TOKENS}, own as (select distinct doc_id, term[1:k.k] as prefix from flat, range(1, {S.PREFIX_CHARS + 1}) k(k) where k.k <= length(term))
+        select prefix, count(*) as docs from own group by prefix""",
+    "lateral_terms": f"{TOKENS} select term, count(distinct doc_id) as docs, count(*) as occurrences, max(place) as furthest from flat group by term",
     "search_total": f"{TWO} select lang, count(*) as total from hits group by lang",
     "search_filter_facets": f"""{TOKENS}, a as (select doc_id, count(*) as tf from flat where starts_with(term, 'the') group by 1)
         select i.doc_id, i.source, round(-{_score("a.tf", "(select count(*) from a)")}, 6) as score
