@@ -126,8 +126,8 @@ def page(items: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     return items.offset(offset).limit(limit) if offset else items.limit(limit)
 
 
-#: Longest prefix in the dictionary, in characters; longer ones are counted from the postings.
-PREFIX_CHARS = 24
+#: Longest prefix in the dictionary, in characters. Longer ones, which few documents have, are counted from the postings.
+PREFIX_CHARS = 6
 
 
 def prefix_documents(items: DataFrame, tokens: Column) -> DataFrame:
