@@ -372,6 +372,12 @@ def test_sources_and_sinks(spark, tmp_path):
     assert "animation: 2" in sinks.digest_text({"total": 2, "category": {"animation": 2}})
 
 
+def streamed(spark, df, name, folder):
+    query = df.writeStream.format("memory").queryName(name).option("checkpointLocation", str(folder)).trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    return spark.table(name)
+
+
 def test_streams(spark, tmp_path):
     from tesserae.streaming import ingest
 
@@ -379,8 +385,32 @@ def test_streams(spark, tmp_path):
     folder.mkdir()
     (folder / "a.json").write_text("\n".join(f'{{"id":"{i}","code":"c{i % 3}","at":"2026-01-01T00:00:{i:02d}Z","user":"u"}}' for i in range(9)))
     rows = ingest.records(spark, str(folder), "id string, code string, at timestamp, user string")
-    for name, df, want in (("unique", ingest.first_wins(rows, "at"), 3), ("calls", ingest.admitted(rows, "user", "at", most=4, seconds=60), 9)):
-        query = df.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-        query.awaitTermination(120)
-        assert spark.table(name).count() == want
-    assert spark.table("calls").where("admitted").count() == 4
+    assert streamed(spark, ingest.first_wins(rows, "at"), "unique", tmp_path / "unique").count() == 3
+
+
+def test_rate_limit_stream_is_the_batch_form(spark, tmp_path):
+    """Calls come out of order, over several triggers, with ties, a call without a time and users without a name."""
+    import json
+    import os
+    import random
+
+    from tesserae.operators import admission
+    from tesserae.streaming import ingest
+
+    random.seed(3)
+    at = lambda s: f"2026-01-01T{s // 3600:02d}:{s // 60 % 60:02d}:{s % 60:02d}Z"
+    calls = sorted((s + random.randint(-40, 0), i, random.choice(["a", "a", "a", "b", None])) for i, s in enumerate(random.choices(range(60, 900), k=300)))
+    calls = sorted(calls, key=lambda c: c[0] + random.randint(0, 40))
+    rows = [{"n": i, "user": u, "at": at(s)} for s, i, u in calls] + [{"n": 900, "user": "a", "at": None}]
+    rows += [{"n": 901, "user": "z", "at": at(6000)}]  # what the watermark needs to pass all before
+    folder = tmp_path / "calls"
+    folder.mkdir()
+    for k in range(0, len(rows), 60):
+        file = folder / f"{k:04d}.json"
+        file.write_text("\n".join(map(json.dumps, rows[k : k + 60])))
+        os.utime(file, (k + 1_000_000, k + 1_000_000))
+    kind = "n long, user string, at timestamp"
+    got = streamed(spark, ingest.admitted(ingest.records(spark, str(folder), kind, files=1), "user", "at", "n", most=4, seconds=60, delay="2 minutes"), "limited", tmp_path / "state")
+    want = admission.admitted(spark.read.schema(kind).json(str(folder)), "user", "at", "n", most=4, seconds=60)
+    got, want = {r["n"]: r["admitted"] for r in got.collect()}, {r["n"]: r["admitted"] for r in want.collect()}
+    assert want.pop(901) and got == want and 0 < sum(got.values()) < 300 and got[900] is False
