@@ -23,6 +23,11 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("tokens", T.tokens(F.col("folded"))).drop("folded").join(facets, "doc_id", "left")
 
 
+def _tokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and tokens alone: an index needs no facets, and token arrays pass no join for them."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.tokens(T.plain_fold(F.lower("text"))).alias("tokens"))
+
+
 def _ranked(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
     return S.scored(_items(spark, sf_dir), "tokens", S.phrases(query))
 
@@ -77,12 +82,12 @@ def postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prefix_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In how many documents a word starts so, for every prefix of any word."""
-    return S.prefix_documents(_items(spark, sf_dir), F.col("tokens"))
+    return S.prefix_documents(_tokenised(spark, sf_dir), F.col("tokens"))
 
 
 def search_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ranking from an index that is published first: sorted postings, lengths, the dictionary of prefixes, figures."""
-    items = written(_items(spark, sf_dir).select("doc_id", "tokens"), "tokens")
+    items = written(_tokenised(spark, sf_dir), "tokens")
     index = S.Index.build(items, "doc_id", F.col("tokens")).with_dictionary(items, F.col("tokens"))
     published = S.Index(**{name: written(part, name) for name, part in index.sorted_parts().items()})
     return published.search(S.phrases(WORDS)).select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
