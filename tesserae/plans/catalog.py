@@ -25,7 +25,7 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _tokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and tokens alone: an index needs no facets, and token arrays pass no join for them."""
-    return table(spark, sf_dir, "documents").select("doc_id", T.tokens(T.plain_fold(F.lower("text"))).alias("tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(T.tokens(T.plain_fold(F.lower("text"))))).alias("tokens"))  # made once
 
 
 def _ranked(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
@@ -87,9 +87,12 @@ def prefix_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ranking from an index that is published first: sorted postings, lengths, the dictionary of prefixes, figures."""
-    items = written(_tokenised(spark, sf_dir), "tokens")
-    index = S.Index.build(items, "doc_id", F.col("tokens")).with_dictionary(items, F.col("tokens"))
-    published = S.Index(**{name: written(part, name) for name, part in index.sorted_parts().items()})
+    items = _tokenised(spark, sf_dir)
+    lengths = written(S.Index.build(items, "doc_id", F.col("tokens")).lengths, "lengths")
+    # dealt by document: then the postings of a document meet where its tokens are, and no occurrence is shuffled
+    index = S.Index.build(items.repartition("doc_id"), "doc_id", F.col("tokens"))
+    parts = S.Index(index.postings, lengths, S.prefix_documents(items, F.col("tokens")), S.corpus_figures(lengths)).sorted_parts()
+    published = S.Index(**{name: part if name == "lengths" else written(part, name) for name, part in parts.items()})
     return published.search(S.phrases(WORDS)).select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
