@@ -1,7 +1,6 @@
 """What a catalog publishes beside its bundle: discovery index, browse rows, collections, detail shards, digests of its statistics.
 
-All but the last step is plans; only published files of bounded size pass the
-driver, one at a time.
+All of it is plans; published files are written by the tasks that have them.
 """
 
 from __future__ import annotations
@@ -9,11 +8,12 @@ from __future__ import annotations
 import hashlib
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae import vocab
 from tesserae.operators import shards, validate
+from tesserae.sources import content
 
 INDEX_VERSION = 2
 FOLDER = "catalog-details"
@@ -90,49 +90,14 @@ def collection_counts(items: DataFrame) -> DataFrame:
 def write_collections(items: DataFrame, path: str) -> None:
     """JSON lines of each collection in catalog order, under its name; the counts, empty ones included, beside them."""
     rows = collections(items).join(items.drop("pos"), "id")
-    rows.repartition("collection").sortWithinPartitions("collection", "pos").drop("pos").write.mode("overwrite").partitionBy("collection").json(f"{path}/collections")
+    # ranges, so a large collection is several files, in order of their names
+    rows.repartitionByRange("collection", "pos").sortWithinPartitions("collection", "pos").drop("pos").write.mode("overwrite").partitionBy("collection").json(f"{path}/collections")
     collection_counts(items).coalesce(1).write.mode("overwrite").json(f"{path}/counts")
 
 
-class _Files:
-    """Files of a folder on whatever store Spark reads."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.jvm = spark.sparkContext._jvm
-        self.at = self.jvm.org.apache.hadoop.fs.Path(folder)
-        self.fs = self.at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def path(self, name: str):
-        return self.jvm.org.apache.hadoop.fs.Path(self.at, name)
-
-    def names(self) -> set[str]:
-        return {s.getPath().getName() for s in self.fs.listStatus(self.at) if s.isFile()} if self.fs.exists(self.at) else set()
-
-    def write(self, name: str, body: bytes) -> None:
-        """A file that is there in whole or not at all."""
-        temporary = self.path(f".{name}.new")
-        out = self.fs.create(temporary, True)
-        out.write(bytearray(body))
-        out.close()
-        self.fs.delete(self.path(name), False)
-        if not self.fs.rename(temporary, self.path(name)):
-            raise OSError(name)
-
-
 def write_details(files: DataFrame, folder: str) -> dict[str, int]:
-    """Writes the shards that are not there yet, leaves those that are, and removes what is none of them any more."""
-    where = _Files(files.sparkSession, f"{folder}/{FOLDER}")
-    there, kept, written = {n for n in where.names() if not n.startswith(".")}, set(), 0
-    for r in files.select("path", "sha256", "body").toLocalIterator():  # a shard at a time
-        name = r["path"].rsplit("/", 1)[-1]
-        kept.add(name)
-        if name not in there:
-            where.write(name, r["body"].encode())
-            written += 1
-    stale = there - kept
-    for name in stale:
-        where.fs.delete(where.path(name), False)
-    return {"written": written, "kept": len(kept) - written, "removed": len(stale)}
+    """Writes the shards that are not there yet, leaves those that are, and removes what is none of them any more; all of it in tasks."""
+    return content.write(files.select(F.concat("sha256", F.lit(".json")).alias("name"), "body"), f"{folder}/{FOLDER}")
 
 
 def detail_faults(files: DataFrame, folder: str) -> DataFrame:

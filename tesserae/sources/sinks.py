@@ -6,10 +6,15 @@ import json
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
+from tesserae.scratch import numbered, written
+from tesserae.sources import content
+
+#: Entries of a file of aliases.
+ALIASES_A_FILE = 10_000
 
 EXPORT_COLUMNS = ("id", "title", "description", "category", "kind", "domain", "language", "license", "sourceName", "sourceUrl", "tags", "colors", "access", "verifiedAt", "preview", "analysis", "code")
 
@@ -67,7 +72,10 @@ def write_csv(items: DataFrame, path: str) -> None:
 
 
 def write_aliases(aliases: DataFrame, path: str, updated: str, version: int = 1) -> None:
-    """One JSON object {version, updatedAt, aliases}, its entries in order of the aliases; written an entry at a time."""
+    """One JSON object {version, updatedAt, aliases}, its entries in order of the aliases; written an entry at a time.
+
+    The file is for readers that load it whole; where it is too large for them, ``write_alias_files`` is the one to use.
+    """
     folder = os.path.dirname(os.path.abspath(path))
     os.makedirs(folder, exist_ok=True)
     with open(f"{path}.new", "w", encoding="utf-8") as f:
@@ -78,6 +86,34 @@ def write_aliases(aliases: DataFrame, path: str, updated: str, version: int = 1)
     os.replace(f"{path}.new", path)
 
 
+def alias_files(aliases: DataFrame) -> DataFrame:
+    """first, last, name, body: the aliases in order, in JSON objects of at most ALIASES_A_FILE entries each.
+
+    An alias given twice, or null, is an error. Entries are numbered by ranges, so none but a file's own are gathered.
+    """
+    placed = numbered(aliases.select("alias", "item_id"), ["alias", "item_id"], "at").withColumn("file", F.floor(F.col("at") / ALIASES_A_FILE))
+    whole = placed.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("alias", "item_id"))).alias("r"))
+    rows = whole.select(F.element_at("r.alias", 1).alias("first"), F.element_at("r.alias", -1).alias("last"), F.to_json(F.map_from_entries("r")).alias("body"))
+    return rows.select("first", "last", F.concat(F.sha2("body", 256), F.lit(".json")).alias("name"), "body")
+
+
+def write_alias_files(aliases: DataFrame, folder: str) -> dict[str, int]:
+    """The aliases as files named by content, written by tasks; ``folder``/index says which file has which range."""
+    files = written(alias_files(aliases), "aliases")
+    counts = content.write(files, f"{folder}/files")
+    files.select("first", "last", "name").repartitionByRange("first").sortWithinPartitions("first").write.mode("overwrite").parquet(f"{folder}/index")
+    return counts
+
+
+def alias_target(spark: SparkSession, folder: str, alias: str) -> str | None:
+    """The entry that an alias names, from the one file whose range has it."""
+    own = spark.read.parquet(f"{folder}/index").where((F.col("first") <= alias) & (F.col("last") >= alias)).head()
+    if own is None:
+        return None
+    [text] = spark.read.text(f"{folder}/files/{own['name']}", wholetext=True).head()
+    return json.loads(text).get(alias)
+
+
 def digest_text(stats: dict) -> str:
     """A short summary of counts for people and models."""
     lines = ["# Catalog", "", f"Items: {stats.get('total', 0)}", f"Sources: {stats.get('sources', 0)}", f"Updated: {stats.get('updated_at', '')}"]
