@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import color as C
 from tesserae.functions.matching import matched_distance
+from tesserae.scratch import written
 
 LEAST, MOST = 2, 32
 CELL = 1.001
@@ -146,7 +147,7 @@ def coverage(good: DataFrame, errors: DataFrame, pairs: DataFrame) -> DataFrame:
 def with_gradients(palettes: DataFrame, gradients: DataFrame) -> DataFrame:
     """Relations of palettes with gradients (and among gradients), relabelled."""
     both = palettes.select("id", "colors").withColumn("g", F.lit(False)).unionByName(gradients.select("id", "colors").withColumn("g", F.lit(True)))
-    good, _ = prepared(both)
+    good = written(prepared(both)[0], "palettes")
     marks = both.where("g").select("id")
     rows = classified(good)
     named = rows.join(marks.select(F.col("id").alias("a_id"), F.lit(True).alias("ga")), "a_id", "left").join(marks.select(F.col("id").alias("b_id"), F.lit(True).alias("gb")), "b_id", "left")

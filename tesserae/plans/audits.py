@@ -17,6 +17,7 @@ from tesserae.operators.audits import svg as svg_audit
 from tesserae.operators.features import css as css_features
 from tesserae.operators.features import svg as svg_features
 from tesserae.plans import measures
+from tesserae.scratch import written
 from tesserae.session import table
 
 
@@ -58,11 +59,11 @@ def css_motion_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def css_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return css_audit.candidates(css_audit.prepared(_sheets(spark, sf_dir))).select("a_id", "b_id")
+    return css_audit.candidates(written(css_audit.prepared(_sheets(spark, sf_dir)), "sheets")).select("a_id", "b_id")
 
 
 def css_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = css_audit.prepared(_sheets(spark, sf_dir))
+    good = written(css_audit.prepared(_sheets(spark, sf_dir)), "sheets")
     return css_audit.coverage(good, css_audit.candidates(good))
 
 
@@ -81,11 +82,11 @@ def _drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def svg_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return svg_audit.pairs(svg_audit.prepared(_drawings(spark, sf_dir)))
+    return svg_audit.pairs(written(svg_audit.prepared(_drawings(spark, sf_dir)), "drawings"))
 
 
 def svg_changed_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = svg_audit.prepared(_drawings(spark, sf_dir))
+    good = written(svg_audit.prepared(_drawings(spark, sf_dir)), "drawings")
     moved = svg_audit.pairs(good).where("relation = 'candidate-moved'")
     return svg_audit.changed(moved, good).where("place = 'svg/0/@d' or place like '%/@dur'")
 
@@ -148,7 +149,7 @@ def palettes_with_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def palette_pair_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return palette.pair_classes(palette.prepared(measures._palettes(spark, sf_dir, True))[0])
+    return palette.pair_classes(written(palette.prepared(measures._palettes(spark, sf_dir, True))[0], "palettes"))
 
 
 def palette_size_families(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from tesserae.operators import passages, shards, stats
 from tesserae.operators.audits import glsl, palette
 from tesserae.operators.features import css as css_features
 from tesserae.operators.features import glsl as glsl_features
+from tesserae.scratch import written
 from tesserae.session import table
 
 
@@ -115,7 +116,7 @@ def palette_oklab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def palette_near_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = palette.classified(palette.prepared(_palettes(spark, sf_dir, True))[0]).where("relation <> 'candidate-matched'")
+    found = palette.classified(written(palette.prepared(_palettes(spark, sf_dir, True))[0], "palettes")).where("relation <> 'candidate-matched'")
     return found.select("a_id", "b_id", "relation", F.round("mean", 6).alias("mean"), F.round("most", 6).alias("most"))
 
 
