@@ -17,8 +17,8 @@ t is in a share p = n(t) / N of all documents, that has at most the probability
 which must be under ``doubt`` over the number of words that stand beside c. So a
 rare word of a large corpus counts beside an entity seen once, in a small corpus it
 is no evidence. Copies of a text are one text here. In every document with the
-entity, all places of its flagged terms become spans of kind ``term``. Sanitising
-replaces spans by their kind (a generalisation).
+entity whose lower-cased words hold a flagged term, all its places become spans of kind
+``term``. Sanitising replaces spans by their kind (a generalisation).
 
 Everything here is DataFrame functions: no Python runs on the executors.
 
@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import documents, settle
+from tesserae.llm.common import documents, forget, settle
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: As the rules have them, but possessive and begun only where a leftmost match can begin, so that no text takes quadratic time.
@@ -50,6 +50,8 @@ SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
 BLOCK = 64
 #: An entity in over one of so many documents is frequent; there are at most so many for each span of a document.
 FREQUENT = 1000
+#: Rows of a word or an entity and a number that are broadcast; more are joined by a shuffle, with the same rows.
+CARRIED = 500_000
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -123,17 +125,27 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{3,}"), F.lit(0)))
 
 
-def disclosing(texts: DataFrame, docs: DataFrame, alpha: float = 1.25, doubt: float = 0.01) -> DataFrame:
-    """kind, value, term, pmi, ic: the terms that disclose an entity beyond the threshold.
+def _carried(df: DataFrame) -> DataFrame:
+    """The rows to be broadcast, if they are few; counted first."""
+    return F.broadcast(df) if df.count() <= CARRIED else df
 
-    ``texts`` has text, spans and n, the documents of each different text with base spans, ``docs`` all documents.
+
+def _contexts(texts: DataFrame) -> DataFrame:
+    """text_key, n, c (the text's entities, each once) and terms (its words beside them), written."""
+    bare = masked(F.col("text"), F.col("spans"), lambda s: F.lit(" "))
+    whose = F.array_distinct(F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))
+    return settle(texts.select("text_key", "n", whose.alias("c"), _words(bare).alias("terms")), "seen")
+
+
+def disclosing(contexts: DataFrame, docs: DataFrame, alpha: float = 1.25, doubt: float = 0.01) -> DataFrame:
+    """kind, value, term, pmi, ic, written: the terms that disclose an entity beyond the threshold.
+
+    ``contexts`` has c, terms and n, the documents of each different text with base spans, ``docs`` all documents.
     """
     total = float(docs.count())
     words = documents(docs).select(F.explode(_words(F.col("text"))).alias("term"))
     counts = settle(words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "counts")
-    bare = masked(F.col("text"), F.col("spans"), lambda s: F.lit(" "))
-    whose = F.array_distinct(F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))
-    seen = settle(texts.select("n", whose.alias("c"), _words(bare).alias("terms")), "seen").select("n", F.explode("c").alias("c"), "terms").select("n", "c.*", "terms")
+    seen = contexts.select("n", F.explode("c").alias("c"), "terms").select("n", "c.*", "terms")
     entities = settle(seen.groupBy("kind", "value").agg(F.sum("n").alias("n_c"), F.count(F.lit(1)).alias("k_c"), F.sum(F.size("terms")).alias("beside")), "entities")
 
     # PMI >= IC / alpha means n_t <= n_ct * (N / n_c) ** (1 - 1 / alpha), and n_ct is n_c at most: beside
@@ -143,10 +155,11 @@ def disclosing(texts: DataFrame, docs: DataFrame, alpha: float = 1.25, doubt: fl
 
     frequent = entities.where(F.col("n_c") > total / FREQUENT).select("kind", "value", F.col("n_c").alias("often"))
     common = counts.where(F.col("n_t") > total * FREQUENT ** (-1 / alpha) * (1 + 1e-9)).select("term", F.col("n_t").alias("widely"))
-    beside = seen.join(F.broadcast(frequent), ["kind", "value"], "left").select("n", "kind", "value", "often", F.explode("terms").alias("term"))
-    beside = beside.join(F.broadcast(common), "term", "left").where(F.col("widely").isNull() | (F.col("widely") <= most(F.col("often"))))
+    beside = seen.join(_carried(frequent), ["kind", "value"], "left").select("n", "kind", "value", "often", F.explode("terms").alias("term"))
+    beside = beside.join(_carried(common), "term", "left").where(F.col("widely").isNull() | (F.col("widely") <= most(F.col("often"))))
     pairs = settle(beside.groupBy("kind", "value", "term").agg(F.sum("n").alias("n_ct"), F.count(F.lit(1)).alias("k_ct")), "pairs")
-    known = settle(pairs.join(counts, "term").where(F.col("n_t") <= most(F.col("n_ct"))), "known").join(entities, ["kind", "value"])
+    rare = settle(pairs.join(counts, "term").where(F.col("n_t") <= most(F.col("n_ct"))), "known")
+    known = rare.join(entities, ["kind", "value"])
 
     pmi = F.log2(F.col("n_ct") * F.lit(total) / (F.col("n_c") * F.col("n_t")))
     ic = F.log2(F.lit(total) / F.col("n_c"))
@@ -154,14 +167,22 @@ def disclosing(texts: DataFrame, docs: DataFrame, alpha: float = 1.25, doubt: fl
     rest = F.when((q < 1) & (p < 1), (1 - q) * F.log2((1 - q) / (1 - p))).otherwise(0.0)
     bits = F.when(q > p, F.col("k_c") * (q * F.log2(q / p) + rest)).otherwise(0.0)
     sure = bits >= F.log2(F.col("beside") / F.lit(doubt))
-    return known.where(sure).select("kind", "value", "term", pmi.alias("pmi"), ic.alias("ic")).where((F.col("ic") > 0) & (F.col("pmi") >= F.col("ic") / alpha))
+    found = known.where(sure).select("kind", "value", "term", pmi.alias("pmi"), ic.alias("ic")).where((F.col("ic") > 0) & (F.col("pmi") >= F.col("ic") / alpha))
+    flagged = settle(found, "flagged")
+    forget(counts, entities, pairs, rare)
+    return flagged
 
 
-def _terms(texts: DataFrame, flagged: DataFrame) -> DataFrame:
-    """text_key and terms (spans) of the texts in which a flagged term stands."""
-    held = texts.select("text_key", F.explode("spans").alias("s")).select("text_key", "s.kind", "s.value").distinct()
-    named = flagged.groupBy("kind", "value").agg(F.collect_set("term").alias("said"))
-    hits = held.join(named, ["kind", "value"]).groupBy("text_key").agg(F.array_distinct(F.flatten(F.collect_list("said"))).alias("said"))
+def _terms(texts: DataFrame, contexts: DataFrame, flagged: DataFrame) -> DataFrame:
+    """text_key and terms (spans) of the texts in which a flagged term stands.
+
+    A text's own words meet its own entities, those of either that are flagged at all, and
+    only pairs that are flagged stay: no list is longer than a text, however many terms an entity has.
+    """
+    said = contexts.select("text_key", F.explode("terms").alias("term")).join(flagged.select("term").distinct(), "term", "left_semi")
+    held = contexts.select("text_key", F.explode("c").alias("c")).select("text_key", "c.*").join(flagged.select("kind", "value").distinct(), ["kind", "value"], "left_semi")
+    met = said.join(held, "text_key").join(flagged.select("kind", "value", "term"), ["kind", "value", "term"], "left_semi")
+    hits = met.groupBy("text_key").agg(F.collect_set("term").alias("said"))
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("said", "|"), F.lit(r")(?!\p{L})"))
     placed = hits.join(texts, "text_key").select("text_key", "spans", located(F.col("text"), pattern, "term").alias("terms"))
     free = F.filter("terms", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
@@ -185,8 +206,11 @@ def _completed(spotted: DataFrame, docs: DataFrame) -> DataFrame:
     some = spotted.where(F.col("_key").isNotNull())
     found = some.select("doc_id", "text", F.col("_base").alias("spans"), F.col("_key").alias("text_key"))
     texts = settle(found.groupBy("text_key").agg(F.first("text").alias("text"), F.first("spans").alias("spans"), F.count(F.lit(1)).alias("n")), "texts")
-    flagged = settle(disclosing(texts, docs), "flagged")
-    terms = settle(_terms(texts, flagged), "terms").withColumnRenamed("text_key", "_key")
+    contexts = _contexts(texts)
+    flagged = disclosing(contexts, docs)
+    placed = settle(_terms(texts, contexts, flagged), "terms")
+    forget(texts, contexts, flagged)
+    terms = placed.withColumnRenamed("text_key", "_key")
     none = F.array().cast(f"array<{SPAN}>")
     more = some.join(terms, "_key", "left").withColumn("_terms", F.coalesce("terms", none)).drop("terms")
     both = more.unionByName(spotted.where(F.col("_key").isNull()).withColumn("_terms", none))

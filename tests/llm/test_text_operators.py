@@ -662,3 +662,23 @@ def test_terms_follow_from_plain_counts(spark):
     spans = {r["doc_id"]: sorted((s["start"], s["end"]) for s in r["spans"] if s["kind"] == "term") for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = plain_terms(rows)
     assert spans == want and sum(map(len, want.values())) > 100
+
+
+def test_an_entity_in_a_third_of_the_texts_has_its_own_terms_only(spark, monkeypatch):
+    rnd = random.Random(5)
+    filler = [f"filler{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(12)]
+    some = lambda n: " ".join(rnd.choice(filler) for _ in range(n))
+    rows = []
+    for i in range(3_000):
+        text = some(12)
+        if i % 3 == 0:  # one address in a third of the rows, often with one of 26 words that stand beside no other
+            text += f" ops@host.org Team{chr(97 + i // 3 % 26)}team {some(3)}"
+        elif i % 50 == 1:
+            text += f" one@mail{i % 4}.org Teamateam Solo{chr(97 + i % 4)}solo"
+        rows.append((i, text))
+    want = plain_terms(rows)
+    assert sum(map(len, want.values())) > 50
+    for carried in (pii.CARRIED, 0):  # broadcast, or by a shuffle
+        monkeypatch.setattr(pii, "CARRIED", carried)
+        found = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r["doc_id"]: sorted((s["start"], s["end"]) for s in r["spans"] if s["kind"] == "term") for r in found} == want
