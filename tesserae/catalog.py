@@ -127,7 +127,7 @@ def publish(parts: dict[str, DataFrame], path: str, version: str | None = None)
     version = version or datetime.datetime.now(datetime.UTC).strftime("%Y%m%dT%H%M%S")
     spark = parts["items"].sparkSession
     for name, df in parts.items():
-        df.write.mode("overwrite").parquet(f"{path}/{version}/{name}")
+        sinks.write_part(df, f"{path}/{version}/{name}", sinks.KEYS.get(name))
     back = {name: spark.read.parquet(f"{path}/{version}/{name}") for name in parts}
     sinks.publish(derived(back["items"], back.get("originals"), back.get("gone")), path, version)
     return version

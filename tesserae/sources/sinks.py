@@ -35,11 +35,26 @@ def write_json(path: str, value, compact: bool = True) -> None:
         raise
 
 
+#: Columns by which single rows of a part are looked up.
+KEYS = {"items": "id", "aliases": "alias", "originals": "id"}
+
+
+def write_part(df: DataFrame, path: str, key: str | None) -> None:
+    """Parquet; a key's values are in a Bloom filter of each row group, so a lookup reads the groups that may have it.
+
+    Filters have the size that a row group's own values ask for, up to Parquet's bound of a megabyte.
+    """
+    out = df.write.mode("overwrite")
+    if key is not None:
+        out = out.option(f"parquet.bloom.filter.enabled#{key}", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+    out.parquet(path)
+
+
 def publish(parts: dict[str, DataFrame], path: str, version: str) -> None:
     """Writes every part under ``path``/``version``; readers go by the manifest, which comes last."""
     spark = next(iter(parts.values())).sparkSession
     for name, df in parts.items():
-        df.write.mode("overwrite").parquet(f"{path}/{version}/{name}")
+        write_part(df, f"{path}/{version}/{name}", KEYS.get(name))
     spark.createDataFrame([(version, sorted(parts))], "version string, parts array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 
 

@@ -68,3 +68,31 @@ def test_aliases_in_ranges(spark, tmp_path, monkeypatch):
     assert sinks.write_alias_files(aliases, str(tmp_path)) == {"written": 0, "kept": 6, "removed": 0}
     with pytest.raises(Exception, match="(?i)duplicate"):
         sinks.write_alias_files(aliases.union(aliases), str(tmp_path))
+
+
+def scanned(df):
+    """Rows that the one Parquet scan of a plan has given out, after it has run."""
+    df.collect()
+    todo = [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if "Adaptive" in node.nodeName():
+            node = node.executedPlan()
+        if node.nodeName().startswith("Scan"):
+            return node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    raise AssertionError("no scan")
+
+
+def test_a_lookup_reads_the_row_groups_that_may_have_the_key(spark, tmp_path):
+    rows_ = spark.range(40_000, numPartitions=4).select(F.sha2(F.col("id").cast("string"), 256).alias("id"), F.col("id").alias("n"))
+    gone = hashlib.sha256(b"none").hexdigest()
+    one = hashlib.sha256(b"123").hexdigest()
+    got = {}
+    for key in ("id", None):
+        sinks.write_part(rows_, str(tmp_path / str(key)), key)
+        back = spark.read.parquet(str(tmp_path / str(key)))
+        got[key] = [scanned(back.where(F.col("id") == v)) for v in (gone, one)]
+        assert [r["n"] for r in back.where(F.col("id") == one).collect()] == [123]
+    assert got[None][0] > 0 and got["id"][0] == 0 and 0 < got["id"][1] <= 10_000
