@@ -116,8 +116,8 @@ def in_vocabulary(found: Column, vocabulary: tuple[str, ...]) -> Column:
 
 
 def formula_guarded(cell: Column) -> Column:
-    """A spreadsheet must not run a cell: a quote goes before what starts like a formula."""
-    return F.when(cell.rlike(r"^(?U)\s*[=+\-@]"), F.concat(F.lit("'"), cell)).otherwise(cell)
+    """A spreadsheet must not run a cell: a quote goes before what starts, but for white space (Python's), like a formula."""
+    return F.when(cell.rlike(r"^(?U)[\s\x1c-\x1f]*[=+\-@]"), F.concat(F.lit("'"), cell)).otherwise(cell)
 
 
 def terminal_safe(text: str) -> str:

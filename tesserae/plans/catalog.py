@@ -187,6 +187,7 @@ ORACLES = {
     "alias_resolve": """select c.conv_id || ':' || c.turn as id, p.conv_id || ':' || p.turn as canonical_id, p.role as parent_role, length(c.text) as chars
         from conversations c join conversations p on c.conv_id = p.conv_id and p.turn = 0 where c.turn > 0""",
     "export_ordered": """select doc_id, source, '{"lang":"' || lang || '","source":"' || source || '"}' as cell from documents where lang = 'de'""",
-    "csv_formula_guard": """select doc_id, case when doc_id % 5 < 4 then '''' else '' end || ['=', ' +', '-', chr(9) || '@', ''][doc_id % 5 + 1] || text as cell from documents""",
+    "csv_formula_guard": r"""with c as (select doc_id, ['=', ' +', '-', chr(9) || '@', ''][doc_id % 5 + 1] || text as cell from documents)
+        select doc_id, case when regexp_matches(cell, '^[\x09-\x0D\x1C-\x1F\x{85}\p{Z}]*[=+@-]') then '''' else '' end || cell as cell from c""",
     "index_text": f"select conv_id, sha256(string_agg(text, ' ' order by turn, text)[1:{vocab.INDEX_CHARS}]) as digest from conversations group by conv_id",
 }
