@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.functions import text as T
 from tesserae.functions import urls
 from tesserae.operators import admission, consolidate, dedup, integrity
 from tesserae.operators.audits import exact
@@ -40,8 +41,8 @@ def count_distinct_canonical_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_url_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _pages(spark, sf_dir)
-    kept = dedup.first_wins(rows, [urls.canonical_url(F.col("url")), F.lower(F.trim("title"))], ["page_id"])
+    """The first page of a canonical URL and caseless title; of pages of one number, that of the least address."""
+    kept = dedup.first_wins(_pages(spark, sf_dir), [urls.canonical_url(F.col("url")), T.casefold(F.trim("title"))], ["page_id", "url"])
     return kept.select("page_id", "url")
 
 
@@ -205,7 +206,7 @@ ORACLES = {
     "project_url": f"{PAGES} select page_id, {PROJECT.format(_canon('url'))} as project from p",
     "normalized_url": f"{PAGES} select page_id, lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1)) || substr(url, length(regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1)) + 1) as normal from p",
     "count_distinct_canonical_url": f"{PAGES} select count(distinct {_canon('url')}) as links, count(*) as pages from p",
-    "dedup_url_title": f"{PAGES} select page_id, url from (select *, row_number() over (partition by {_canon('url')}, lower(trim(title)) order by page_id) as n from p) where n = 1",
+    "dedup_url_title": f"{PAGES} select page_id, url from (select *, row_number() over (partition by {_canon('url')}, replace(lower(trim(title)), 'ß', 'ss') order by page_id, url) as n from p) where n = 1",
     "last_wins_then_first_wins": "select user_id, event_type, max(event_id) as last_id, arg_max(value, event_id) as value, min(event_id) as first_id from events group by 1, 2",
     "fingerprint_exact_groups": "select min(doc_id) as first_id, count(*) as members, string_agg(doc_id::varchar, ',' order by doc_id) as ids from documents group by sha256(text) having count(*) > 1",
     "first_wins_antijoin": f"{MERGE} select id, coalesce(known, first_id) as same_as, input_name from m where known is not null or id <> first_id",

@@ -23,3 +23,13 @@ def test_cells_that_are_formulas_of_themselves(spark, tmp_path):
     assert got == want
     own = {texts[i // 5]: c for i, c in got if i % 5 == 4}
     assert {t for t, c in own.items() if c == "'" + t} == set(texts[:6])
+
+
+def test_titles_that_differ_in_case_alone(spark, tmp_path):
+    page = lambda i, url, title: (i, url, f"<title>{title}</title>")
+    rows = [page(3, "http://a.org/x#top", "Groß"), page(4, "http://a.org/x", "GROSS"), page(5, "http://a.org/y", "b"), page(6, "https://a.org/z", "c"), page(1_000_006, "https://a.org/z?a=1&b=2", "C")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got, want = both(spark, tmp_path, "dedup_url_title")
+    assert got == want
+    kept = dict(got)
+    assert 3 in kept and 4 not in kept and kept[1_000_006].startswith("HTTPS://")  # of two pages of one number, the least address
