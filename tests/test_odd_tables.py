@@ -33,3 +33,9 @@ def test_titles_that_differ_in_case_alone(spark, tmp_path):
     assert got == want
     kept = dict(got)
     assert 3 in kept and 4 not in kept and kept[1_000_006].startswith("HTTPS://")  # of two pages of one number, the least address
+
+
+def test_few_rows_go_to_python_at_once(spark, small):
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    registry.queries()["text_functions"](spark, small)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
