@@ -178,7 +178,7 @@ def glsl_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def glsl_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return glsl.counted(glsl.prepared(_shaders(spark, sf_dir)))
+    return glsl.counted_sources(_shaders(spark, sf_dir))
 
 
 def hamming_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,21 @@ def test_titles_that_differ_in_case_alone(spark, tmp_path):
     assert 3 in kept and 4 not in kept and kept[1_000_006].startswith("HTTPS://")  # of two pages of one number, the least address
 
 
+def tasks(df):
+    """How often Python work stands in the plan, and the plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("ArrowEvalPython"), plan
+
+
+def test_equal_shaders_are_read_once(spark, tmp_path):
+    from tesserae.operators.audits import glsl
+
+    rows = spark.createDataFrame([(i, f"float a{i % 3} = 1.0;") for i in range(9)] + [(20, None), (21, None), (22, "float b = 2.0;")], "id long, code string")
+    assert [tuple(r) for r in glsl.counted_sources(rows).collect()] == [(0, 9)] == [tuple(r) for r in glsl.counted(glsl.prepared(rows)).collect()]
+    n, plan = tasks(glsl.counted_sources(rows))
+    assert n == 1 and "partial_count" in plan[plan.index("ArrowEvalPython") :]  # below the reading: the texts are grouped
+
+
 def test_few_rows_go_to_python_at_once(spark, small):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     registry.queries()["text_functions"](spark, small)
