@@ -18,7 +18,7 @@ from tesserae.operators.features import css as css_features
 from tesserae.operators.features import svg as svg_features
 from tesserae.plans import measures
 from tesserae.scratch import written
-from tesserae.session import table
+from tesserae.session import spread, table
 
 
 def _text(template: str, **values) -> F.Column:
@@ -32,7 +32,7 @@ def _text(template: str, **values) -> F.Column:
 
 
 def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("id"))
+    return spread(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("id")), "id")
 
 
 def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,16 +46,21 @@ def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _suppliers(spark, sf_dir).select("id", F.translate(F.concat(body, more), "<>", "{}").alias("code"))
 
 
+def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sheets' ids and signatures, without their texts: written, as the classes read them twice."""
+    return written(css_audit.prepared(_sheets(spark, sf_dir)).select("id", "exact", "timeless", "motion", "error"), "sheets")
+
+
 def css_exact_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return css_audit.classes(css_audit.prepared(_sheets(spark, sf_dir)), "exact")
+    return css_audit.classes(_signed(spark, sf_dir), "exact")
 
 
 def css_near_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return css_audit.classes(css_audit.prepared(_sheets(spark, sf_dir)), "timeless", "exact")
+    return css_audit.classes(_signed(spark, sf_dir), "timeless", "exact")
 
 
 def css_motion_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return css_audit.classes(css_audit.prepared(_sheets(spark, sf_dir)), "motion", "timeless")
+    return css_audit.classes(_signed(spark, sf_dir), "motion", "timeless")
 
 
 def css_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
