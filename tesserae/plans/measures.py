@@ -131,7 +131,7 @@ def palette_near_permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
     three = two.select("id", F.array(F.col("colors")[0], F.col("colors")[1], third).alias("colors"))
     step = F.concat(F.substring(F.col("colors")[0], 1, 6), F.when(F.substring(F.col("colors")[0], 7, 1) == "0", "1").otherwise(F.substring(F.col("colors")[0], 7, 1)))
     turned = three.select((F.col("id") + 1_000_000).alias("id"), F.array(F.col("colors")[1], F.col("colors")[2], step).alias("colors"))
-    found = palette.classified(palette.prepared(three.unionByName(turned))[0]).where("relation = 'candidate-matched'")
+    found = palette.classified(written(palette.prepared(three.unionByName(turned))[0], "palettes")).where("relation = 'candidate-matched'")
     return found.select("a_id", "b_id", F.round("mean", 6).alias("mean"))
 
 
