@@ -41,6 +41,14 @@ def tasks(df):
     return plan.count("ArrowEvalPython"), plan
 
 
+def test_long_work_on_short_keys_has_several_tasks(spark, small):
+    for name in ("svg_element_counts", "css_text_functions"):
+        n, plan = tasks(registry.queries()[name](spark, small))
+        assert n == 1 and "REPARTITION_BY_NUM" in plan[plan.index("ArrowEvalPython") :], name  # read once, behind the exchange
+    for name in ("css_exact_classes", "css_near_classes", "css_motion_families", "palette_near_permuted"):
+        assert "ArrowEvalPython [signatures" not in tasks(registry.queries()[name](spark, small))[1], name  # written once, as two sides read it
+
+
 def test_equal_shaders_are_read_once(spark, tmp_path):
     from tesserae.operators.audits import glsl
 
