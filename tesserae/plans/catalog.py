@@ -25,7 +25,11 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _tokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and tokens alone: an index needs no facets, and token arrays pass no join for them."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(T.tokens(T.plain_fold(F.lower("text"))))).alias("tokens"))  # made once
+    return _tokens_of(table(spark, sf_dir, "documents"))
+
+
+def _tokens_of(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.explode(F.array(T.tokens(T.plain_fold(F.lower("text"))))).alias("tokens"))  # made once
 
 
 def _ranked(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
@@ -70,8 +74,8 @@ def search_no_word(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same ranking from an inverted index."""
-    index = S.Index.build(_items(spark, sf_dir), "doc_id", F.col("tokens"))
+    """The same ranking from an inverted index. Its tokens are written: each word, its count and the lengths read them."""
+    index = S.Index.build(written(_tokenised(spark, sf_dir), "tokens"), "doc_id", F.col("tokens"))
     return index.search(S.phrases(WORDS)).select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
 
 

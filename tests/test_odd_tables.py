@@ -62,3 +62,9 @@ def test_few_rows_go_to_python_at_once(spark, small):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     registry.queries()["text_functions"](spark, small)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
+def test_texts_are_split_into_tokens_once(spark, small):
+    for name, n in (("search_postings", 0), ):
+        plan = tasks(registry.queries()[name](spark, small))[1]
+        assert plan.count("regexp_extract_all(") == n, name  # none: read from what was written
