@@ -91,11 +91,13 @@ def prefix_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ranking from an index that is published first: sorted postings, lengths, the dictionary of prefixes, figures."""
-    items = _tokenised(spark, sf_dir)
+    items = written(_tokenised(spark, sf_dir), "tokens")  # lengths, postings and prefixes are made of them
     lengths = written(S.Index.build(items, "doc_id", F.col("tokens")).lengths, "lengths")
     # dealt by document: then the postings of a document meet where its tokens are, and no occurrence is shuffled
     index = S.Index.build(items.repartition("doc_id"), "doc_id", F.col("tokens"))
-    parts = S.Index(index.postings, lengths, S.prefix_documents(items, F.col("tokens")), S.corpus_figures(lengths)).sorted_parts()
+    # written before they are sorted: the ranges of terms are cut by a sample, for which all postings would be made once more
+    postings = written(index.postings, "postings-by-document")
+    parts = S.Index(postings, lengths, S.prefix_documents(items, F.col("tokens")), S.corpus_figures(lengths)).sorted_parts()
     published = S.Index(**{name: part if name == "lengths" else written(part, name) for name, part in parts.items()})
     return published.search(S.phrases(WORDS)).select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
 

@@ -65,6 +65,6 @@ def test_few_rows_go_to_python_at_once(spark, small):
 
 
 def test_texts_are_split_into_tokens_once(spark, small):
-    for name, n in (("search_postings", 0), ):
+    for name, n in (("search_postings", 0), ("search_published", 0)):
         plan = tasks(registry.queries()[name](spark, small))[1]
         assert plan.count("regexp_extract_all(") == n, name  # none: read from what was written
