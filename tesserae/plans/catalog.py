@@ -80,7 +80,9 @@ def search_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = S.Index.build(_items(spark, sf_dir), "doc_id", F.col("tokens"))
+    # texts are dealt by document: then its postings meet where its tokens are made, and no occurrence is shuffled
+    dealt = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    index = S.Index.build(_tokens_of(dealt), "doc_id", F.col("tokens"))
     return index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("occurrences")).where("docs >= 3")
 
 

@@ -65,6 +65,11 @@ def test_few_rows_go_to_python_at_once(spark, small):
 
 
 def test_texts_are_split_into_tokens_once(spark, small):
-    for name, n in (("search_postings", 0), ("search_published", 0)):
+    for name, n in (("search_postings", 0), ("search_published", 0), ("postings_stats", 1)):
         plan = tasks(registry.queries()[name](spark, small))[1]
         assert plan.count("regexp_extract_all(") == n, name  # none: read from what was written
+
+
+def test_a_documents_postings_meet_where_its_tokens_are_made(spark, small):
+    plan = tasks(registry.queries()["postings_stats"](spark, small))[1]
+    assert plan.count("Exchange hashpartitioning") == 2  # texts by document, counts by term
