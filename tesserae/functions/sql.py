@@ -1,38 +1,18 @@
-"""The library's helpers as SQL functions of a session, and a table function of index tokens.
+"""The library's helpers as SQL functions of a session, and table functions of index tokens.
 
 What built-in expressions can say is a SQL function, which Catalyst puts into the
 plan as it stands, so filters and columns are still pushed through it; the others
-are Arrow functions. All give null for null, and ``tokenize`` gives no row for it.
+are Arrow functions. All give null for null, and the table functions give no row for it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-import regex
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import color, matching, urls
 from tesserae.functions import text as T
 
-RUN = regex.compile(r"[\p{L}\p{N}\p{Co}]+")
-
-
-def index_terms(text: str) -> list[str]:
-    """Index tokens of a text: marks dropped, lower case, runs of letters and digits."""
-    return RUN.findall((text if text.isascii() else T.fold_text(text)).lower())
-
-
-class Tokenize:
-    """pos (from 0) and term of each index token of a text."""
-
-    def eval(self, text: str | None) -> Iterator[tuple[int, str]]:
-        if text is not None:
-            yield from enumerate(index_terms(text))
-
-
 def _part(url: str, i: int) -> str:
     return rf"regexp_extract({url}, r'^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#([\s\S]*))?$', {i})"
 
@@ -71,6 +51,18 @@ BUILT_IN = (
     ("numeric_skeleton", "text string", "string", r"regexp_replace(text, r'[-+]?(?:\d*\.\d+|\d+)', '#')"),
 )
 
+_MARKED, _BARE = T.MARKED + T.MARKED.upper(), T.PLAIN + T.PLAIN.upper()
+#: Signs beyond ASCII are sought first: what looks at each of them closer is many times as slow.
+_ODD = rf"text rlike r'[^\x00-\x7F](?<=[^{T.UNMARKED}{_MARKED}])'"
+_UNMARKED = f"coalesce(fold_marks(if({_ODD}, text, null)), if(octet_length(text) = char_length(text), text, translate(text, '{_MARKED}', '{_BARE}')))"
+#: The same with functions of Python in them: only texts with signs beyond the usual ones go there, the others as null.
+#: ``tokenize`` gives pos (from 0) and term of each index token of a text, ``plain_tokens`` those of an unmarked one.
+MIXED = (
+    ("unmarked", "text string", "string", _UNMARKED),
+    ("plain_tokens", "text string", "table(pos int, term string)", f"select pos, col from posexplode(regexp_extract_all(lower(text), r'{T.TOKEN}', 1))"),
+    ("tokenize", "text string", "table(pos int, term string)", f"select pos, col from posexplode(regexp_extract_all(lower({_UNMARKED}), r'{T.TOKEN}', 1))"),
+)
+
 
 def register(spark: SparkSession) -> list[str]:
     """Names of the functions that the session's SQL has from now on; registering again replaces them."""
@@ -85,5 +77,6 @@ def register(spark: SparkSession) -> list[str]:
     }
     for name, function in fast.items():
         spark.udf.register(name, function)
-    spark.udtf.register("tokenize", F.udtf(Tokenize, returnType="pos int, term string", useArrow=True))
-    return [*(b[0] for b in BUILT_IN), *fast, "tokenize"]
+    for name, parameters, result, expression in MIXED:
+        spark.sql(f"create or replace temporary function {name}({parameters}) returns {result} return {expression}")
+    return [*(b[0] for b in BUILT_IN), *fast, *(m[0] for m in MIXED)]

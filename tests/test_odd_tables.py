@@ -73,3 +73,13 @@ def test_texts_are_split_into_tokens_once(spark, small):
 def test_a_documents_postings_meet_where_its_tokens_are_made(spark, small):
     plan = tasks(registry.queries()["postings_stats"](spark, small))[1]
     assert plan.count("Exchange hashpartitioning") == 2  # texts by document, counts by term
+
+
+def test_terms_beside_documents(spark, tmp_path):
+    """Documents of one number count once; marks are dropped; the pairs of a term and a document are not shuffled."""
+    rows = [(1, "the Été ete"), (1, "The end"), (2, None), (None, "the the"), (3, ""), (4, "ÉTÉ ß the"), (4, "ÉTÉ ß the")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = registry.queries()["lateral_terms"](spark, str(tmp_path))
+    assert sorted(map(tuple, df.select("term", "docs", "occurrences", "furthest").collect())) == [("end", 1, 1, 2), ("ete", 2, 4, 3), ("the", 2, 6, 3), ("ß", 1, 2, 2)]
+    plan = tasks(df)[1]
+    assert "UDTF" not in plan and plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 2

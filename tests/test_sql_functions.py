@@ -58,6 +58,29 @@ def test_tokens_beside_rows(spark):
     assert got == want and (4, 2, "a") in got and not any(i in (2, 3) for i, _, _ in got)
 
 
+def test_usual_signs_need_no_python():
+    import re
+
+    usual = re.compile(f"[{T.UNMARKED}{T.MARKED}{T.MARKED.upper()}]")
+    own = dict(zip(T.MARKED + T.MARKED.upper(), T.PLAIN + T.PLAIN.upper(), strict=True))
+    for c in filter(usual.match, map(chr, [*range(0xD800), *range(0xE000, 0x110000)])):
+        assert T.fold_text(c) == own.get(c, c), hex(ord(c))
+
+
+def test_tokens_beside_rows_are_made_in_place(spark):
+    sql.register(spark)
+    texts = [None, "", "ÀÉ Ÿÿ ß·Æ “x” 漢字", "a" * 5000 + "é", "e\u0301 Å가 ᄀ\u1161", "Đđ ё Ё ij Ⅷ", "İI ΑΣ", "x\ud83d\ude00y".encode("utf-16", "surrogatepass").decode("utf-16")]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    rows.createOrReplaceTempView("marked_rows")
+    got = spark.sql("select id, unmarked(text) as bare from marked_rows").collect()
+    assert {r["id"]: r["bare"] for r in got} == {i: None if t is None else T.fold_text(t) for i, t in enumerate(texts)}
+    beside = spark.sql("select id, t.pos, t.term from marked_rows, lateral tokenize(text) t")
+    want = rows.select("id", F.posexplode(T.tokens(T.fold(F.col("text")))).alias("pos", "term"))
+    assert sorted(beside.collect()) == sorted(want.collect())
+    plan = beside._jdf.queryExecution().executedPlan().toString()
+    assert "UDTF" not in plan and "Join" not in plan and "Generate posexplode" in plan
+
+
 def test_dictionary_against_plain_counts_and_search(spark, tmp_path):
     random.seed(5)
     words = ["".join(random.choices("abé", k=random.randint(1, 9))) for _ in range(60)]
