@@ -38,6 +38,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from string import punctuation
 
 import numpy as np
 import pandas as pd
@@ -54,7 +55,7 @@ DECAY = 0.7
 #: Letters in a string that counts as one; longer runs count as the overlapping windows that cover them.
 LONGEST = 24
 #: Strings that a task keeps with their values.
-MEMO = 300_000
+MEMO = 500_000
 #: Partitions of the labelled sample, rounds of training, and Newton steps in each, at most.
 PARTS, ROUNDS, STEPS = 16, 3, 30
 
@@ -72,18 +73,26 @@ SINGLES = re.compile(r"(?<!\S)(?:\w[\W_]?\s+){3,}\w(?!\w)")
 ENDS = re.compile(r"(?<=[.!?;:])\s+|[\r\n]+")
 
 
+def spelt_out(lower: str, words: list[str]) -> list[str]:
+    """The words of a text (``words``: its runs between white space) that are written letter by letter."""
+    if b"\1\1\1" not in bytes([len(w) < 3 for w in words]):  # such a word has three short runs behind one another; the pattern tries every place
+        return []
+    return ["".join(m.group().split()) for m in SINGLES.finditer(lower)]
+
+
 def sentences(text: str) -> list[list[str]]:
     """The strings of each sentence, each once; a word written letter by letter is a sentence, too."""
     lower = text.lower()
     out = [list(dict.fromkeys(part.split())) for part in ENDS.split(lower)]
-    out += [["".join(m.group().split())] for m in SINGLES.finditer(lower)]
+    out += [[word] for word in spelt_out(lower, lower.split())]
     return [found for found in out if found]
 
 
 def strings(text: str) -> set[str]:
     """The strings of all sentences."""
     lower = text.lower()
-    return {*lower.split(), *("".join(m.group().split()) for m in SINGLES.finditer(lower))}
+    words = lower.split()
+    return {*words, *spelt_out(lower, words)}
 
 
 def _table() -> np.ndarray:
@@ -101,8 +110,14 @@ def _table() -> np.ndarray:
 CODES = _table()
 
 
+def bare(word: str) -> str:
+    """Without signs at its edges; most words have none, or usual ones."""
+    word = word.strip(punctuation)
+    return word if not word or (word[0].isalnum() and word[-1].isalnum()) else EDGES.sub("", word)
+
+
 def windows(word: str) -> list[str]:
-    word = EDGES.sub("", word)
+    word = bare(word)
     if len(word) <= LONGEST:
         return [word]
     return [word[i : i + LONGEST] for i in range(0, len(word) - LONGEST // 2, LONGEST // 2)]
@@ -257,6 +272,12 @@ class Model:
         """The SVM's value for each word; a word in windows has its greatest."""
         cut = [windows(w) for w in words]
         flat = [v for vs in cut for v in vs]
+        values = self.strings(flat)
+        starts = np.cumsum([0] + [len(vs) for vs in cut[:-1]])
+        return np.maximum.reduceat(values, starts) if len(flat) else values
+
+    def strings(self, flat: list[str]) -> np.ndarray:
+        """The SVM's value for each string, which has no signs at its edges and no more letters than count as one."""
         values = np.full(len(flat), self.bias)
         for at in range(0, len(flat), 20_000):
             x = coded(flat[at : at + 20_000])
@@ -266,8 +287,7 @@ class Model:
                 found = self.weights[code]
                 found = found @ weight[0] if len(weight) == 1 else (found * weight).sum(axis=1)
                 values[at + rows] += found / np.sqrt(kernel(part, part))
-        starts = np.cumsum([0] + [len(vs) for vs in cut[:-1]])
-        return np.maximum.reduceat(values, starts) if len(flat) else values
+        return values
 
     def probability(self, value: np.ndarray) -> np.ndarray:
         """Of documents by their ``_values``; 0 for texts without words."""
@@ -280,11 +300,17 @@ FLOOR = -3.0
 
 
 def _learn(model: Model, words: set[str], memo: dict[str, float]) -> None:
-    """Sees to it that the memo has these words."""
+    """Sees to it that the memo has these words. A word counts as it does without signs at its edges, which is looked at once."""
     if len(memo) > MEMO:
         memo.clear()
-    new = list(words.difference(memo))
-    memo.update(zip(new, model.words(new).tolist(), strict=True))
+    new = words.difference(memo)
+    own = list(map(bare, new))
+    plain = set(own).difference(memo)
+    long = [word for word in plain if len(word) > LONGEST]
+    short = list(plain.difference(long))
+    memo.update(zip(short, model.strings(short).tolist(), strict=True))
+    memo.update(zip(long, model.words(long).tolist(), strict=True))
+    memo.update(zip(new, map(memo.__getitem__, own), strict=True))
 
 
 def _values(model: Model, texts: list[str], memo: dict[str, float]) -> np.ndarray:

@@ -303,3 +303,26 @@ def test_pipeline_keeps_columns_with_clashing_names(spark, tmp_path):
         assert held.columns == clash.columns
     rows = held.collect()
     assert rows and all(r["_id"] == r["doc_id"] == r["b"] and r["row"] == r["word"] for r in rows)
+
+
+def test_a_word_is_valued_once_whatever_stands_at_its_edges():
+    rng, asked = np.random.default_rng(1), []
+
+    class Counted(toxicity.Model):
+        def strings(self, flat):
+            asked.extend(flat)
+            return super().strings(flat)
+
+    model, memo = Counted(rng.normal(size=toxicity.SYMBOLS**3), -0.5, np.ones(4), -1.0), {}
+    words = {"idiot", "idiot,", "(idiot)", "¿idiot?!", "...", "½x", "a_b", "x" * 60, "x" * 60 + "!"}
+    toxicity._learn(model, words, memo)
+    assert sorted(w for w in asked if len(w) < 24) == ["", "a_b", "idiot", "½x"]
+    assert {w: memo[w] for w in words} == pytest.approx(dict(zip(sorted(words), model.words(sorted(words)), strict=True)))
+    seen = len(asked)
+    toxicity._learn(model, {"idiot;", "a_b"}, memo)
+    assert len(asked) == seen
+
+
+def test_words_written_letter_by_letter_are_what_the_pattern_says():
+    for text in ("i d i o t", "x. y, z! w", "a b c", "a  b\tc d", "\u3000a b c d", "_a b_ c! d", "...", "--- a_ b_ c_ d", "\x1ca \x85b c d", "a'b c d e f", "ab cd ef gh", "", "a b c d e; f g hi"):
+        assert toxicity.spelt_out(text, text.split()) == ["".join(m.group().split()) for m in toxicity.SINGLES.finditer(text)], text
