@@ -45,6 +45,8 @@ from tesserae.llm.common import bucket, cuts, documents, parts
 LEAST, USUAL, MOST = 128, 512, 4096
 #: Runs between white space that a worker keeps with their ids.
 MEMO = 1_000_000
+#: Letters of texts whose runs are looked up together, about; and signs that often end a run.
+TOGETHER, SIGNS = 1 << 20, frozenset(".,;:!?")
 
 PROSE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
 UNUSUAL = re.compile(r"[^\t-\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]|<\|")
@@ -86,23 +88,40 @@ class WordIds:
             self.words[word] = data[a:b]
 
     def encode(self, text: str) -> bytes:
-        if unusual(text):
-            return self._ids(text).tobytes()
-        runs = text.lower().split()
-        new = set(runs).difference(self.runs)
-        if new:
-            if len(self.runs) > MEMO:
-                self.runs.clear()
-                self.words.clear()
-                new = set(runs)
-            parts = {run: PROSE.findall(run) for run in new}
-            unknown = {w for words in parts.values() for w in words}.difference(self.words)
-            if unknown:
-                self._learn(list(unknown))
-            known = self.words.__getitem__
-            for run, words in parts.items():
-                self.runs[run] = known(words[0]) if len(words) == 1 else b"".join(map(known, words))
-        return b"".join(map(self.runs.__getitem__, runs))
+        return self.encoded([text])[0]
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; what is new in about ``TOGETHER`` letters goes to the library at once."""
+        out, at = [], 0
+        while at < len(texts):
+            start, letters = at, 0
+            while at < len(texts) and (at == start or letters + len(texts[at]) <= TOGETHER):
+                letters += len(texts[at])
+                at += 1
+            split = [None if unusual(text) else text.lower().split() for text in texts[start:at]]
+            self._see(set().union(*(runs for runs in split if runs)))
+            known = self.runs.__getitem__
+            out += [self._ids(text).tobytes() if runs is None else b"".join(map(known, runs)) for text, runs in zip(texts[start:at], split, strict=True)]
+        return out
+
+    def _see(self, runs: set[str]) -> None:
+        """Sees to it that the ids of these runs are known."""
+        new = runs.difference(self.runs)
+        if new and len(self.runs) > MEMO:
+            self.runs.clear()
+            self.words.clear()
+            new = runs
+        # letters alone are one word, and most other runs are letters with a sign behind them, of which the pattern makes two
+        whole = [run for run in new if run.isalpha()]
+        ended = [run for run in new if run[-1] in SIGNS and run[:-1].isalpha()]
+        parts = {run: PROSE.findall(run) for run in new.difference(whole, ended)}
+        words = {*whole, *(run[:-1] for run in ended), *(run[-1] for run in ended)}.union(*parts.values())
+        if unknown := words.difference(self.words):
+            self._learn(list(unknown))
+        known = self.words.__getitem__
+        self.runs.update(zip(whole, map(known, whole), strict=True))
+        self.runs.update((run, known(run[:-1]) + known(run[-1])) for run in ended)
+        self.runs.update((run, b"".join(map(known, words))) for run, words in parts.items())
 
 
 @lru_cache(maxsize=2)
@@ -232,7 +251,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 payloads, names, n_ids, digests, lengths, roots = [], [], [], [], [], []
-                streams = [coder.encode(text) + end for text in batch.column("text").to_pylist()]
+                streams = [ids + end for ids in coder.encoded(batch.column("text").to_pylist())]
                 data = b"".join(streams)
                 cuts_at = marks(np.frombuffer(data, dtype))
                 stops = np.cumsum([len(s) // width for s in streams])

@@ -682,3 +682,12 @@ def test_an_entity_in_a_third_of_the_texts_has_its_own_terms_only(spark, monkeyp
         monkeypatch.setattr(pii, "CARRIED", carried)
         found = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
         assert {r["doc_id"]: sorted((s["start"], s["end"]) for s in r["spans"] if s["kind"] == "term") for r in found} == want
+
+
+def test_new_words_of_several_texts_go_to_the_library_together():
+    coder, calls = store.WordIds(queries.WORD_BPE), []
+    coder._learn = lambda words, learn=coder._learn: (calls.append(len(words)), learn(words))
+    texts = ["don't. it's, a.b c,, ß? é! 1. 12, x1, _a_, ' 's '", "", " ", "<|endoftext|>", "İ", "aª, º. ²", "Don't; c, C. b" + "b" * 3000 + "!", "a b, c."]
+    want = [WORD.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, coder.dtype).tolist() for x in coder.encoded(texts)] == want and len(calls) == 1
+    assert [np.frombuffer(coder.encode(t), coder.dtype).tolist() for t in texts] == want and len(calls) == 1
